@@ -276,3 +276,20 @@ def edge_flags(seed: DataFrame, edges: DataFrame) -> DataFrame:
             F.array_contains("hit", F.col("hi")).alias("grow_upper"),
         )
     )
+
+
+def first_grid_flags(
+    study: DataFrame,
+    packed: DataFrame,
+    seed: DataFrame,
+    step: float,
+    alpha: float = 0.1,
+    uniform: bool = False,
+    periods_per_task: int = 8,
+) -> DataFrame:
+    """Which sides of the first grid have to grow."""
+    grids = seed.select("study_id", "T0", "T1", "lo", "hi", "pad")
+    tasks = _post_chunks(edge_points(grids, 0), study, periods_per_task).select(
+        "study_id", "batch_id", "treated", "chunk", F.lit(0).alias("block"), "first_post", "last_post", "ks"
+    )
+    return edge_flags(grids, accepted_points(tasks, packed, step, alpha, uniform))
