@@ -93,7 +93,8 @@ def ci_band(frame: DataFrame, markers: DataFrame) -> DataFrame:
 
 
 def zero_lines(frame: DataFrame) -> DataFrame:
-    """Two constant reference rows at zero for each reported outcome's gap panel."""
-    return frame.select("outcome", "subplot").filter(F.col("subplot") == "Difference").distinct().select(
-        "outcome", F.explode(F.array(F.lit(0.0), F.lit(0.0))).alias("value"), "subplot"
+    """Two constant reference rows at zero for the gap subplot of each outcome."""
+    gaps = frame.filter(F.col("subplot") == "Difference").select("outcome", "subplot", "subplot_ord")
+    return gaps.distinct().select(
+        "outcome", F.explode(F.array(F.lit(0.0), F.lit(0.0))).alias("value"), "subplot", "subplot_ord"
     )

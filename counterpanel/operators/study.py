@@ -71,35 +71,45 @@ def expand_studies(
     )
 
 
-def exclude_other_treated(panel: DataFrame, roles: DataFrame, study: DataFrame) -> DataFrame:
-    """Panel rows each study may use: its own unit and every control.
+def with_roles(panel: DataFrame, roles: DataFrame) -> DataFrame:
+    """Panel rows of units in the pool, with their role."""
+    return panel.join(roles.select("unit", "role"), "unit").select("outcome", "unit", "role", "t", "y")
+
+
+def exclude_other_treated(pool: DataFrame, study: DataFrame) -> DataFrame:
+    """Pool rows each study may use: its own unit and every control.
 
     Any other treated unit is dropped, for any number of treated units.
     """
-    rows = panel.join(roles.select("unit", "role"), "unit")
     return (
         study.select("study_id", "outcome", "treated")
-        .join(rows, "outcome")
+        .join(pool, "outcome")
         .filter((F.col("role") == "control") | (F.col("unit") == F.col("treated")))
         .select("study_id", "outcome", "treated", "unit", "role", "t", "y")
     )
 
 
-def study_periods(panel: DataFrame, roles: DataFrame, study: DataFrame) -> DataFrame:
-    """Ordered study window of each batch, cut to its first T0 + T1 periods.
+def control_calendar(pool: DataFrame) -> DataFrame:
+    """Dates of each outcome at which a control was seen, numbered in order.
 
     ``level`` is the mean over controls at a date. Weights sum to one, so taking
     it off every series leaves all gaps unchanged and conditions the fit.
     """
-    controls = roles.filter(F.col("role") == "control").select("unit")
-    calendar = (
-        panel.join(controls, "unit", "left_semi")
+    order = Window.partitionBy("outcome").orderBy("t")
+    return (
+        pool.filter(F.col("role") == "control")
         .groupBy("outcome", "t")
         .agg(F.coalesce(F.avg(F.when(present(F.col("y")), F.col("y"))), F.lit(0.0)).alias("level"))
+        .withColumn("date_no", F.row_number().over(order))
     )
+
+
+def study_periods(calendar: DataFrame, study: DataFrame) -> DataFrame:
+    """Ordered study window of each batch, cut to its first T0 + T1 periods."""
     batch = study.select(*BATCH_COLUMNS).distinct()
     every = Window.partitionBy("batch_id")
-    placebo_cap = F.coalesce("t1_cap", "real_post")
+    real = F.col("t") >= F.col("base_treatment_date")
+    cap = F.coalesce("t1_cap", "real_post")
     return (
         batch.join(calendar, "outcome")
         .filter(in_window(F.col("t"), F.col("start_date"), F.col("end_date")))
@@ -107,40 +117,56 @@ def study_periods(panel: DataFrame, roles: DataFrame, study: DataFrame) -> DataF
         .withColumn("period_idx", F.row_number().over(every.orderBy("t")))
         .withColumn("n_post", F.count_if("is_post").over(every).cast("int"))
         .withColumn("T0", F.count_if(~F.col("is_post")).over(every).cast("int"))
-        .withColumn("real_post", F.count_if(F.col("t") >= F.col("base_treatment_date")).over(every).cast("int"))
+        .withColumn("real_post", F.count_if(real).over(every).cast("int"))
         .withColumn(
             "T1",
-            F.when(F.col("placebo_shift") == 0, F.col("n_post")).otherwise(
-                F.least(F.col("n_post"), placebo_cap)
-            ),
+            F.when(F.col("placebo_shift") == 0, F.col("n_post")).otherwise(F.least("n_post", cap)),
         )
         .filter(F.col("period_idx") <= F.col("T0") + F.col("T1"))
-        .select("batch_id", "outcome", "t", "period_idx", "is_post", "T0", "T1", "n_post", "level")
+        .select(
+            "batch_id", "outcome", "t", "date_no", "period_idx", "is_post", "T0", "T1", "n_post", "level"
+        )
     )
 
 
-def pack_series(panel: DataFrame, roles: DataFrame, periods: DataFrame) -> DataFrame:
-    """Complete series of each batch, one row per unit, as centred arrays.
+def unit_series(pool: DataFrame, calendar: DataFrame) -> DataFrame:
+    """One row per (outcome, unit): its centred values on the calendar.
 
-    A unit with a NULL or absent cell inside the window is left out: its array
-    is shorter than T0 + T1.
+    The only place where the panel itself is shuffled, however many studies,
+    windows and placebo shifts read it. An array is bounded by the calendar.
     """
-    cells = (
-        panel.filter(present(F.col("y")))
-        .join(roles.select("unit", "role"), "unit")
-        .join(periods, ["outcome", "t"])
-    )
     return (
-        cells.groupBy("batch_id", "unit", "role")
+        pool.filter(present(F.col("y")))
+        .join(calendar, ["outcome", "t"])
+        .groupBy("outcome", "unit", "role")
         .agg(
             F.sort_array(
-                F.collect_list(F.struct("period_idx", (F.col("y") - F.col("level")).alias("x")))
-            ).alias("cells"),
-            F.first("T0").alias("T0"),
-            F.first("T1").alias("T1"),
+                F.collect_list(F.struct("date_no", (F.col("y") - F.col("level")).alias("x")))
+            ).alias("cells")
         )
-        .filter(F.size("cells") == F.col("T0") + F.col("T1"))
-        .select("batch_id", "unit", "role", "T0", "T1", F.col("cells.x").alias("xs"))
+    )
+
+
+def pack_series(units: DataFrame, periods: DataFrame) -> DataFrame:
+    """Series of each batch's window, one row per unit, as centred arrays.
+
+    A window is a run of calendar dates. A unit with a NULL or absent cell in
+    it has fewer than T0 + T1 values there and is left out.
+    """
+    windows = periods.groupBy("batch_id", "outcome").agg(
+        F.min("date_no").alias("first_no"),
+        F.max("date_no").alias("last_no"),
+        F.first("T0").alias("T0"),
+        F.first("T1").alias("T1"),
+    )
+    inside = F.filter(
+        "cells", lambda c: (c["date_no"] >= F.col("first_no")) & (c["date_no"] <= F.col("last_no"))
+    )
+    return (
+        units.join(windows, "outcome")
+        .withColumn("inside", inside)
+        .filter(F.size("inside") == F.col("T0") + F.col("T1"))
+        .select("batch_id", "unit", "role", "T0", "T1", F.col("inside.x").alias("xs"))
     )
 
 
@@ -154,7 +180,7 @@ def donor_pool_size(packed: DataFrame) -> DataFrame:
 
 
 def study_status(
-    panel: DataFrame,
+    pool: DataFrame,
     study: DataFrame,
     periods: DataFrame,
     packed: DataFrame,
@@ -173,7 +199,8 @@ def study_status(
     )
     lonely = (
         study.join(
-            panel.select("outcome", F.col("unit").alias("treated"), "t"), ["outcome", "treated"]
+            pool.filter(F.col("role") == "treated").select("outcome", F.col("unit").alias("treated"), "t"),
+            ["outcome", "treated"],
         )
         .filter(in_window(F.col("t"), F.col("start_date"), F.col("end_date")))
         .join(periods.select("batch_id", "t"), ["batch_id", "t"], "left_anti")

@@ -83,23 +83,23 @@ def estimate(
     if bad:
         raise ValueError(f"placebo shifts must be integers between 0 and {max_shift}: {bad}")
 
-    roles = written_table(unit_roles(panel, treated, controls), "roles")
-    pool = shaping.keep_pool(panel.select(*shaping.PANEL_COLUMNS), roles)
     unknown = checks.unsupported_outcomes(outcomes, panel).collect()
     if unknown:
         raise ValueError(
             checks.unsupported_message([r["outcome"] for r in unknown], unknown[0]["supported"])
         )
+    pool = st.with_roles(panel.select(*shaping.PANEL_COLUMNS), unit_roles(panel, treated, controls))
     if whole_series_outcomes:
         whole = F.col("outcome").isin(list(whole_series_outcomes))
         pool = shaping.drop_units_with_nulls(pool.filter(whole)).unionByName(pool.filter(~whole))
-    pool = written_table(pool, "panel")
+    pool = written_table(pool, "pool")
     if not checks.duplicate_panel_keys(pool).isEmpty():
         raise ValueError("panel keys (outcome, unit, t) are not unique")
 
     requested = st.expand_studies(outcomes, treated, shifts, grain, t1_cap)
-    periods = written_table(st.study_periods(pool, roles, requested), "periods")
-    packed = written_table(st.pack_series(pool, roles, periods), "packed")
+    calendar = written_table(st.control_calendar(pool), "calendar")
+    periods = written_table(st.study_periods(calendar, requested), "periods")
+    packed = written_table(st.pack_series(st.unit_series(pool, calendar), periods), "packed")
     status = written_table(
         st.study_status(pool, requested, periods, packed, max(2, folds)), "status"
     )

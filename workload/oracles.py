@@ -332,10 +332,9 @@ def accepted(name: str, points: str, equal_weights: bool) -> str:
 # a pool of one donor enters the closed form as two equal donors
 WIDE2 = f"""
 wide2 AS (
-  SELECT {KEYS}, idx, is_post, t0, obs, a, b + CASE WHEN same THEN 0 ELSE 0 END AS b FROM (
-    SELECT {KEYS}, idx, is_post, t0, obs, a, b, false AS same FROM wide
-    UNION ALL SELECT {KEYS}, idx, is_post, t0, obs, synth, synth, true FROM gaps
-    WHERE fit = 'main' AND ({KEYS}) NOT IN (SELECT ({KEYS}) FROM wide)))"""
+  SELECT {KEYS}, idx, is_post, t0, obs, a, b FROM wide
+  UNION ALL SELECT {KEYS}, idx, is_post, t0, obs, synth, synth FROM gaps
+  WHERE fit = 'main' AND ({KEYS}) NOT IN (SELECT ({KEYS}) FROM wide))"""
 
 
 def ci(equal_weights: bool) -> str:
@@ -404,7 +403,7 @@ q("report_frame", f"{uniform()},{ci(True)},{SERIES}", """
 SELECT date, round(value, 6) AS value, upper_ci, lower_ci, series, subplot, 'Nation ' || replace(treated, 'NATION_', '') AS country,
   color, color_ord, subplot_ord, outcome, treated FROM lines
 UNION ALL
-SELECT NULL, 0.0, NULL, NULL, 'Zero', 'Difference', NULL, NULL, NULL, NULL, outcome, NULL
+SELECT NULL, 0.0, NULL, NULL, 'Zero', 'Difference', NULL, NULL, 0, 2, outcome, NULL
 FROM (SELECT DISTINCT outcome FROM series), (SELECT unnest([1, 2]))""".lstrip("\n"))
 ORACLES["report_frame"] = ORACLES["report_frame"].replace("\n, lines AS", ",\nlines AS")
 q("treatment_marker", uniform("month", (0, 12)), f"""SELECT {KEYS},

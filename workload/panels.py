@@ -135,22 +135,31 @@ class Setup:
             F.lit(None).cast("date").alias("end_date"),
         )
 
+    @cached_property
+    def pool(self) -> DataFrame:
+        return st.with_roles(self.panel, self.roles)
+
+    @cached_property
+    def calendar(self) -> DataFrame:
+        return written_table(st.control_calendar(self.pool), "calendar")
+
     @cached_property
     def requested(self) -> DataFrame:
         return st.expand_studies(self.outcomes, self.treated, self.shifts, self.kind)
 
     @cached_property
     def periods(self) -> DataFrame:
-        return written_table(st.study_periods(self.panel, self.roles, self.requested), "periods")
+        return written_table(st.study_periods(self.calendar, self.requested), "periods")
 
     @cached_property
     def packed(self) -> DataFrame:
-        return written_table(st.pack_series(self.panel, self.roles, self.periods), "packed")
+        units = st.unit_series(self.pool, self.calendar)
+        return written_table(st.pack_series(units, self.periods), "packed")
 
     @cached_property
     def status(self) -> DataFrame:
         return written_table(
-            st.study_status(self.panel, self.requested, self.periods, self.packed), "status"
+            st.study_status(self.pool, self.requested, self.periods, self.packed), "status"
         )
 
     @cached_property

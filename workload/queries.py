@@ -134,7 +134,7 @@ def date_window(spark, sf_dir):
 @query
 def exclude_other_treated(spark, sf_dir):
     s = Setup(spark, sf_dir)
-    rows = st.exclude_other_treated(s.panel, s.roles, s.requested)
+    rows = st.exclude_other_treated(s.pool, s.requested)
     return rows.select("outcome", "treated", "unit", "role", "t", "y")
 
 
@@ -473,7 +473,7 @@ def _uniform_with_bands(s: Setup) -> DataFrame:
 def report_frame(spark, sf_dir):
     s = Setup(spark, sf_dir)
     frame = report.report_frame(_uniform_with_bands(s), _labels(spark, sf_dir))
-    zeros = report.zero_lines(frame).withColumn("series", F.lit("Zero"))
+    zeros = report.zero_lines(frame).withColumns({"series": F.lit("Zero"), "color_ord": F.lit(0)})
     both = shaping.union_results(frame.drop("placebo"), zeros)
     return rounded(both, "value", digits=6)
 
