@@ -69,37 +69,35 @@ def simplex_ls(
 
 def simplex_path(
     G: np.ndarray, c0: np.ndarray, c1: np.ndarray, thetas: np.ndarray
-) -> np.ndarray:
+) -> tuple[np.ndarray, list[int]]:
     """Weights for every ``c = c0 - theta * c1`` (thetas sorted), one row each.
 
     For a fixed support the weights are linear in theta, so one solve serves
-    every following theta at which that line stays feasible and optimal.
+    every following theta at which that line stays feasible and optimal. Also
+    returns the row numbers at which such a run starts or ends.
     """
     out = np.zeros((len(thetas), len(c0)))
     scale = max(float(np.abs(np.diag(G)).max()), float(np.abs(c0).max()), 1e-300)
+    ends: list[int] = []
     w, at = None, 0
     while at < len(thetas):
         w, support = simplex_ls(G, c0 - thetas[at] * c1, w)
         out[at] = w
+        ends.append(at)
         rest = thetas[at + 1 :]
-        if len(rest):
-            m = len(support)
-            rhs = np.zeros((m + 1, 2))
-            rhs[:m, 0], rhs[:m, 1], rhs[m, 0] = c0[support], -c1[support], 1.0
-            line = _on_face(G, rhs, support)
-            path = line[:m, 0] + rest[:, None] * line[:m, 1]
-            reduced = (
-                path @ G[support]
-                - c0
-                + rest[:, None] * c1
-                + (line[m, 0] + rest * line[m, 1])[:, None]
-            )
-            reduced[:, support] = 0.0
-            good = (path.min(axis=1) > 0) & (reduced.min(axis=1) >= -REL_TOL * scale)
-            run = len(rest) if good.all() else int(np.argmin(good))
+        m = len(support)
+        rhs = np.zeros((m + 1, 2))
+        rhs[:m, 0], rhs[:m, 1], rhs[m, 0] = c0[support], -c1[support], 1.0
+        line = _on_face(G, rhs, support)
+        path = line[:m, 0] + rest[:, None] * line[:m, 1]
+        reduced = path @ G[support] - c0 + rest[:, None] * c1
+        reduced += (line[m, 0] + rest * line[m, 1])[:, None]
+        reduced[:, support] = 0.0
+        good = (path > 0).all(axis=1) & (reduced >= -REL_TOL * scale).all(axis=1)
+        run = len(rest) if good.all() else int(np.argmin(good))
+        if run:
             out[at + 1 : at + 1 + run, support] = path[:run]
-            if run:
-                w = out[at + run].copy()
-            at += run
-        at += 1
-    return out
+            w = out[at + run].copy()
+            ends.append(at + run)
+        at += run + 1
+    return out, ends

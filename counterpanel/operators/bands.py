@@ -10,6 +10,8 @@ for every study, a second pass evaluates the final grid.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -20,9 +22,21 @@ from counterpanel.functions.scalars import round_to_step, step_decimals
 from counterpanel.functions.session import spread, written_table
 from counterpanel.functions.simplex import simplex_path
 from counterpanel.operators.inference import REL_SLACK
+from counterpanel.operators.wide import (
+    ADDED_PER_ROUND,
+    MAX_CELLS,
+    MAX_POOL,
+    as_own_batch,
+    closest_donors,
+    is_wide,
+    price_out,
+    working_rows,
+)
 
 PAD_SHARE = 0.33  # fixed value: share of the gap range added per growth round
+TASK_KEYS = ("study_id", "chunk", "block")
 ACCEPT_SCHEMA = "study_id string, period_idx int, accepted array<int>"
+RESIDUAL_SCHEMA = "study_id string, fit_id string, us array<double>, synths array<double>"
 
 
 def grid_seed(summary: DataFrame, step: float) -> DataFrame:
@@ -60,71 +74,122 @@ def grid_seed(summary: DataFrame, step: float) -> DataFrame:
     )
 
 
-def accepted_points(
-    tasks: DataFrame,
-    packed: DataFrame,
-    step: float,
-    alpha: float = 0.1,
-    uniform: bool = False,
-) -> DataFrame:
+def _each_period(table: pa.Table, step: float) -> Iterator[tuple]:
+    """Weights on the simplex for every post period and grid point of a task.
+
+    For each period the fit uses the pre periods and that period, with the
+    hypothesised effect taken off the treated value.
+    """
+    donors, treated = split_roles(table)
+    if not (len(donors) and len(treated)):
+        return
+    X, y = matrix(donors["xs"]), matrix(treated["xs"])[0]
+    ks = np.asarray(treated["ks"][0].as_py(), dtype=np.int64)
+    thetas = np.round(ks * step, step_decimals(step))
+    t0 = table["T0"][0].as_py()
+    pre = X[:, :t0]
+    G, c = pre @ pre.T, pre @ y[:t0]
+    for idx in range(table["first_post"][0].as_py(), table["last_post"][0].as_py() + 1):
+        x, value = X[:, idx - 1], y[idx - 1]
+        W, ends = simplex_path(G + np.outer(x, x), c + x * value, x, thetas)
+        yield idx, ks, W, ends, X, y[:t0], value - thetas
+
+
+def _task_rows(tasks: DataFrame, packed: DataFrame) -> DataFrame:
+    """Donor and own series of every task."""
+    rows = (
+        tasks.drop("T0", "T1")
+        .join(packed, "batch_id")
+        .filter((F.col("role") == "control") | (F.col("unit") == F.col("treated")))
+        .select(
+            *TASK_KEYS,
+            "first_post",
+            "last_post",
+            "unit",
+            "role",
+            "T0",
+            "xs",
+            F.when(F.col("role") == "treated", F.col("ks")).alias("ks"),
+        )
+    )
+    return spread(rows, *TASK_KEYS)
+
+
+def accepted_points(tasks: DataFrame, packed: DataFrame, step: float, alpha: float = 0.1) -> DataFrame:
     """Grid points not rejected at level alpha, per study and post period.
 
     A task is ``study_id, batch_id, treated, chunk, block, first_post,
-    last_post, ks``: some post periods of a study and some grid points. For each
-    period the weights are refitted on the pre periods and that period, with the
-    hypothesised effect taken off; the p-value is the rank of its gap.
+    last_post, ks``: some post periods of a study and some grid points. The
+    p-value of a point is the rank of the period's gap among the pre gaps.
     """
-    d = step_decimals(step)
 
     def evaluate(table: pa.Table) -> pa.Table:
-        donors, treated = split_roles(table)
-        out: dict[str, list] = {"period_idx": [], "accepted": []}
-        sid = table["study_id"][0].as_py()
-        t0 = table["T0"][0].as_py()
-        if len(donors) and len(treated):
-            X, y = matrix(donors["xs"]), matrix(treated["xs"])[0]
-            ks = np.asarray(treated["ks"][0].as_py(), dtype=np.int64)
-            thetas = np.round(ks * step, d)
-            pre = X[:, :t0]
-            G, c = pre @ pre.T, pre @ y[:t0]
-            slack = REL_SLACK * float(np.abs(y).max())
-            equal = np.full((1, len(X)), 1.0 / len(X))
-            first, last = table["first_post"][0].as_py(), table["last_post"][0].as_py()
-            for idx in range(first, last + 1):
-                x, value = X[:, idx - 1], y[idx - 1]
-                if uniform:
-                    W = np.broadcast_to(equal, (len(ks), len(X)))
-                else:
-                    W = simplex_path(G + np.outer(x, x), c + x * value, x, thetas)
-                own = np.abs(value - thetas - W @ x)
-                others = np.abs(y[:t0, None] - pre.T @ W.T)
-                rank = 1 + (others >= own - slack).sum(axis=0)
-                keep = rank / (t0 + 1) > alpha
-                out["period_idx"].append(idx)
-                out["accepted"].append(ks[keep].tolist())
+        idxs, accepted = [], []
+        for idx, ks, W, _, X, own, targets in _each_period(table, step):
+            t0 = len(own)
+            slack = REL_SLACK * max(float(np.abs(own).max()), 1e-300)
+            gap = np.abs(targets - W @ X[:, idx - 1])
+            others = np.abs(own[:, None] - X[:, :t0].T @ W.T)
+            rank = 1 + (others >= gap - slack).sum(axis=0)
+            idxs.append(idx)
+            accepted.append(ks[rank / (t0 + 1) > alpha].tolist())
         return pa.table(
             {
-                "study_id": pa.array([sid] * len(out["accepted"]), pa.string()),
-                "period_idx": pa.array(out["period_idx"], pa.int32()),
-                "accepted": pa.array(out["accepted"], pa.list_(pa.int32())),
+                "study_id": pa.array([table["study_id"][0].as_py()] * len(idxs), pa.string()),
+                "period_idx": pa.array(idxs, pa.int32()),
+                "accepted": pa.array(accepted, pa.list_(pa.int32())),
             }
         )
 
-    columns = ["study_id", "batch_id", "chunk", "block", "first_post", "last_post"]
-    rows = (
-        tasks.join(packed, "batch_id")
-        .filter((F.col("role") == "control") | (F.col("unit") == F.col("treated")))
-        .select(
-            *columns,
-            "unit",
-            "role",
-            "T0",
-            "xs",
-            F.when(F.col("role") == "treated", F.col("ks")).alias("ks"),
+    return _task_rows(tasks, packed).groupBy(*TASK_KEYS).applyInArrow(evaluate, ACCEPT_SCHEMA)
+
+
+def run_end_residuals(tasks: DataFrame, packed: DataFrame, step: float) -> DataFrame:
+    """Gaps and synthetic values where a linear run of the weights starts or ends.
+
+    Along a run every optimality condition is linear in the hypothesised
+    effect, so a donor that is priced out at both ends is priced out between.
+    """
+
+    def evaluate(table: pa.Table) -> pa.Table:
+        names, us, synths = [], [], []
+        for idx, ks, W, ends, X, own, targets in _each_period(table, step):
+            t0 = len(own)
+            for e in ends:
+                fitted, gap = np.zeros(X.shape[1]), np.zeros(X.shape[1])
+                fitted[:t0], fitted[idx - 1] = W[e] @ X[:, :t0], W[e] @ X[:, idx - 1]
+                gap[:t0], gap[idx - 1] = own - fitted[:t0], targets[e] - fitted[idx - 1]
+                names.append(f"{idx}:{ks[e]}")
+                us.append(gap.tolist())
+                synths.append(fitted.tolist())
+        return pa.table(
+            {
+                "study_id": pa.array([table["study_id"][0].as_py()] * len(names), pa.string()),
+                "fit_id": pa.array(names, pa.string()),
+                "us": pa.array(us, pa.list_(pa.float64())),
+                "synths": pa.array(synths, pa.list_(pa.float64())),
+            }
+        )
+
+    return _task_rows(tasks, packed).groupBy(*TASK_KEYS).applyInArrow(evaluate, RESIDUAL_SCHEMA)
+
+
+def mean_donor(packed: DataFrame) -> DataFrame:
+    """Replace each donor pool by its average, as a pool of one donor."""
+    means = (
+        packed.filter(F.col("role") == "control")
+        .select("batch_id", "T0", "T1", F.posexplode("xs").alias("pos", "x"))
+        .groupBy("batch_id", "pos")
+        .agg(F.first("T0").alias("T0"), F.first("T1").alias("T1"), F.avg("x").alias("x"))
+        .groupBy("batch_id")
+        .agg(
+            F.first("T0").alias("T0"),
+            F.first("T1").alias("T1"),
+            F.sort_array(F.collect_list(F.struct("pos", "x"))).alias("cells"),
         )
+        .select("batch_id", F.lit("mean").alias("unit"), F.lit("control").alias("role"), "T0", "T1", F.col("cells.x").alias("xs"))
     )
-    keys = ["study_id", "chunk", "block"]
-    return spread(rows, *keys).groupBy(*keys).applyInArrow(evaluate, ACCEPT_SCHEMA)
+    return packed.filter(F.col("role") == "treated").unionByName(means)
 
 
 def _post_chunks(grids: DataFrame, study: DataFrame, periods_per_task: int) -> DataFrame:
@@ -174,60 +239,93 @@ def grow_grids(seed: DataFrame, edges: DataFrame, max_rounds: int) -> DataFrame:
     )
 
 
-def confidence_bands(
+def _search(
     study: DataFrame,
-    packed: DataFrame,
+    rows_for: Callable[[DataFrame], DataFrame],
     seed: DataFrame,
     step: float,
-    alpha: float = 0.1,
-    max_rounds: int = 50,
-    uniform: bool = False,
-    periods_per_task: int = 8,
-    points_per_task: int = 4096,
+    alpha: float,
+    max_rounds: int,
+    periods_per_task: int,
+    points_per_task: int,
 ) -> DataFrame:
-    """Bounds per study and post period: the hull of the accepted grid points.
-
-    ``ci_status``: ``found``; ``unbounded`` if T0 + 1 < 1 / alpha, where no
-    effect can be rejected; ``max_rounds`` if a grid edge was still accepted
-    after the last round; ``empty`` if no point was accepted.
-    """
-    bounded = F.lit(1.0) / (F.col("T0") + 1) <= F.lit(alpha)
+    """Edge pass, final grids, and the pass over the final grids."""
     # both passes start from these rows, one per study
-    grids = written_table(seed.select("study_id", "T0", "T1", "lo", "hi", "pad"), "grids")
-    usable = grids.filter(bounded)
-    edge_tasks = _post_chunks(edge_points(usable, max_rounds), study, periods_per_task).select(
-        "study_id", "batch_id", "treated", "chunk", F.lit(0).alias("block"), "first_post", "last_post", "ks"
+    grids = written_table(
+        seed.join(study.select("study_id"), "study_id", "left_semi").select(
+            "study_id", "T0", "T1", "lo", "hi", "pad"
+        ),
+        "grids",
     )
-    edges = accepted_points(edge_tasks, packed, step, alpha, uniform)
+    usable = grids.filter(F.lit(1.0) / (F.col("T0") + 1) <= F.lit(alpha))
+    edge_tasks = _post_chunks(edge_points(usable, max_rounds), study, periods_per_task).withColumn(
+        "block", F.lit(0)
+    )
+    edges = accepted_points(edge_tasks, rows_for(edge_tasks), step, alpha)
     grown = written_table(grow_grids(usable, edges, max_rounds), "grown")
-    final = grown.withColumn(
-        "first_k", F.col("lo") - F.coalesce("lower_rounds", F.lit(max_rounds)) * F.col("pad")
-    ).withColumn("last_k", F.col("hi") + F.coalesce("upper_rounds", F.lit(max_rounds)) * F.col("pad"))
+    rounds = F.lit(max_rounds)
     size = F.lit(points_per_task)
-    blocks = F.sequence(F.lit(0), F.floor((F.col("last_k") - F.col("first_k")) / size).cast("int"))
+    first = F.col("lo") - F.coalesce("lower_rounds", rounds) * F.col("pad")
+    last = F.col("hi") + F.coalesce("upper_rounds", rounds) * F.col("pad")
     start = F.col("first_k") + F.col("block") * size
     point_tasks = (
-        _post_chunks(final, study, periods_per_task)
-        .withColumn("block", F.explode(blocks))
-        .select(
-            "study_id",
-            "batch_id",
-            "treated",
-            "chunk",
+        _post_chunks(grown, study, periods_per_task)
+        .withColumns({"first_k": first, "last_k": last})
+        .withColumn(
             "block",
-            "first_post",
-            "last_post",
-            F.sequence(start, F.least(start + size - 1, F.col("last_k"))).alias("ks"),
+            F.explode(F.sequence(F.lit(0), F.floor((F.col("last_k") - F.col("first_k")) / size).cast("int"))),
         )
+        .withColumn("ks", F.sequence(start, F.least(start + size - 1, F.col("last_k"))))
     )
     hull = (
-        accepted_points(point_tasks, packed, step, alpha, uniform)
+        accepted_points(point_tasks, rows_for(point_tasks), step, alpha)
         .groupBy("study_id", "period_idx")
-        .agg(F.min(F.array_min("accepted")).alias("lower_k"), F.max(F.array_max("accepted")).alias("upper_k"))
+        .agg(
+            F.min(F.array_min("accepted")).alias("lower_k"),
+            F.max(F.array_max("accepted")).alias("upper_k"),
+        )
     )
     return band_table(grids, grown, hull, step, alpha)
 
 
+def confidence_bands(
+    study: DataFrame,
+    packed: DataFrame,
+    seed: DataFrame,
+    step: float,
+    alpha: float = 0.1,
+    max_rounds: int = 50,
+    periods_per_task: int = 8,
+    points_per_task: int = 4096,
+    max_pool: int = MAX_POOL,
+    max_cells: int = MAX_CELLS,
+) -> DataFrame:
+    """Bounds per study and post period: the hull of the accepted grid points.
+
+    ``ci_status``: ``found``; ``unbounded`` if T0 + 1 < 1 / alpha, where no
+    effect can be rejected; ``max_rounds`` if a grid edge was still accepted
+    after the last round; ``empty`` if no point was accepted. ``study`` carries
+    ``n_donors, T0, T1`` and should be a stored table.
+    """
+    limits = (step, alpha, max_rounds, periods_per_task, points_per_task)
+    wide = as_own_batch(study.filter(is_wide(max_pool, max_cells)))
+    narrow = study.filter(~is_wide(max_pool, max_cells))
+    direct = _search(narrow, lambda tasks: packed, seed, *limits)
+    if wide.isEmpty():
+        return direct
+    pools = study.filter(is_wide(max_pool, max_cells))
+
+    def priced_rows(tasks: DataFrame) -> DataFrame:
+        def residuals(still_open: DataFrame, rows: DataFrame) -> DataFrame:
+            mine = tasks.join(still_open.select("study_id"), "study_id", "left_semi")
+            return run_end_residuals(mine, rows, step)
+
+        first = closest_donors(pools, packed, ADDED_PER_ROUND)
+        return working_rows(pools, packed, price_out(pools, packed, first, residuals))
+
+    return direct.unionByName(_search(wide, priced_rows, seed, *limits))
+
+
 def band_table(
     grids: DataFrame, grown: DataFrame, hull: DataFrame, step: float, alpha: float
 ) -> DataFrame:
@@ -284,12 +382,9 @@ def first_grid_flags(
     seed: DataFrame,
     step: float,
     alpha: float = 0.1,
-    uniform: bool = False,
     periods_per_task: int = 8,
 ) -> DataFrame:
     """Which sides of the first grid have to grow."""
     grids = seed.select("study_id", "T0", "T1", "lo", "hi", "pad")
-    tasks = _post_chunks(edge_points(grids, 0), study, periods_per_task).select(
-        "study_id", "batch_id", "treated", "chunk", F.lit(0).alias("block"), "first_post", "last_post", "ks"
-    )
-    return edge_flags(grids, accepted_points(tasks, packed, step, alpha, uniform))
+    tasks = _post_chunks(edge_points(grids, 0), study, periods_per_task).withColumn("block", F.lit(0))
+    return edge_flags(grids, accepted_points(tasks, packed, step, alpha))

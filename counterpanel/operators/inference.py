@@ -23,7 +23,7 @@ def cross_fit_ttest(
     if folds < 2:
         raise ValueError("the t-test needs at least two folds")
     idx, t0, t1 = F.col("period_idx"), F.col("T0"), F.col("T1")
-    fold = F.substring_index("fit_id", "_", -1).cast("int")
+    fold = F.substring_index("fit_id", "_", -1).try_cast("int")
     taus = (
         paths.filter(F.col("fit_id").startswith("fold_"))
         .withColumn("block", fold_of(idx, t0, t1, folds, anchor))

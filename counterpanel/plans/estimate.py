@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from counterpanel.functions.scalars import step_decimals
 from counterpanel.functions.session import written_table
-from counterpanel.operators import bands, checks, fit, inference, panel as shaping, series, study as st
+from counterpanel.operators import bands, checks, fit, inference, panel as shaping, series, study as st, wide
 from counterpanel.sources import sinks
 
 
@@ -68,6 +68,7 @@ def estimate(
     seed: int = 61876,
     max_rounds: int = 50,
     whole_series_outcomes: Sequence[str] = (),
+    max_pool: int = wide.MAX_POOL,
 ) -> StudyResult:
     """Estimate every (outcome, treated unit, placebo shift).
 
@@ -106,7 +107,7 @@ def estimate(
     study = status.filter("reason IS NULL")
     fits = ("main", "folds") if infer_method == "ttest" else ("main", "full")
     weights = written_table(
-        fit.solve_weights(study, packed, fits, folds, fold_anchor, theta0), "weights"
+        wide.fit_weights(study, packed, fits, folds, fold_anchor, theta0, max_pool), "weights"
     )
     paths = written_table(series.counterfactual(packed, weights), "paths")
 
@@ -120,7 +121,8 @@ def estimate(
     if compute_ci:
         grid = bands.grid_seed(series.gap_summary(paths), step)
         intervals = written_table(
-            bands.confidence_bands(study, packed, grid, step, alpha, max_rounds), "bands"
+            bands.confidence_bands(study, packed, grid, step, alpha, max_rounds, max_pool=max_pool),
+            "bands",
         )
     return StudyResult(
         series=series.dated_series(study, periods, paths, intervals),

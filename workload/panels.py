@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from counterpanel.functions.session import written_table
-from counterpanel.operators import fit, series, study as st
+from counterpanel.operators import fit, series, study as st, wide
 from counterpanel.operators.panel import union_panels
 
 TREATED = ("NATION_10", "NATION_19")
@@ -167,7 +167,7 @@ class Setup:
         return self.status.filter("reason IS NULL")
 
     def weights(self, *fits: str, theta0: float = 0.0) -> DataFrame:
-        return fit.solve_weights(self.study, self.packed, fits, theta0=theta0)
+        return wide.fit_weights(self.study, self.packed, fits, theta0=theta0)
 
     def uniform(self, *fits: str) -> DataFrame:
         return fit.uniform_weights(self.study, self.packed, fits)

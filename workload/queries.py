@@ -9,7 +9,17 @@ from pyspark.sql import functions as F
 
 from counterpanel.functions import scalars as sc
 from counterpanel.functions.session import shared_dir, written_table
-from counterpanel.operators import bands, checks, fit, inference, panel as shaping, rates, report, series, study as st
+from counterpanel.operators import (
+    bands,
+    checks,
+    fit,
+    inference,
+    panel as shaping,
+    rates,
+    report,
+    series,
+    study as st,
+)
 from counterpanel.sources import tables as src
 from workload.panels import (
     PAIR,
@@ -377,8 +387,10 @@ def conformal_iid_two_donor(spark, sf_dir):
 
 
 def _bands(s: Setup, weights: DataFrame, uniform: bool) -> DataFrame:
+    """Bands by refitting, or with the equal weights held fixed."""
     seed = bands.grid_seed(series.gap_summary(s.paths(weights)), STEP)
-    return bands.confidence_bands(s.study, s.packed, seed, STEP, uniform=uniform)
+    packed = bands.mean_donor(s.packed) if uniform else s.packed
+    return bands.confidence_bands(s.study, packed, seed, STEP)
 
 
 def _band_rows(s: Setup, table_: DataFrame) -> DataFrame:
@@ -410,7 +422,7 @@ def ci_grid(spark, sf_dir):
 def ci_grid_edge_flags(spark, sf_dir):
     s = Setup(spark, sf_dir)
     seed = written_table(bands.grid_seed(series.gap_summary(s.paths(s.uniform("main"))), STEP), "seed")
-    flags = bands.first_grid_flags(s.study, s.packed, seed, STEP, uniform=True)
+    flags = bands.first_grid_flags(s.study, bands.mean_donor(s.packed), seed, STEP)
     return s.tagged(flags).select(*TAGS, "lo", "hi", "pad", "grow_lower", "grow_upper")
 
 
