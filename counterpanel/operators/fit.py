@@ -59,44 +59,68 @@ def block_products(
     }
 
 
-def gram_matrix(packed: DataFrame, folds: int = 2, anchor: str = "end") -> DataFrame:
+def gram_matrix(
+    packed: DataFrame, folds: int = 2, anchor: str = "end", bucket_size: int = 256
+) -> DataFrame:
     """Cross-products of each batch as long rows: donor pairs (i <= j) and
-    treated x donor, per block of periods."""
+    treated x donor, per block of periods.
+
+    Donors are hashed into buckets and a task multiplies two buckets, so no task
+    holds a whole wide pool.
+    """
+    counts = (
+        packed.filter(F.col("role") == "control")
+        .groupBy("batch_id")
+        .agg(F.ceil(F.count(F.lit(1)) / F.lit(bucket_size)).cast("int").alias("buckets"))
+    )
+    bucket = F.pmod(F.xxhash64("unit"), F.col("buckets")).cast("int")
+    other = F.sequence(F.lit(0), F.col("buckets") - 1)
+    placed = (
+        packed.join(counts, "batch_id")
+        .withColumn("bucket", F.when(F.col("role") == "control", bucket))
+        .withColumn("other", F.explode(other))
+        .withColumn("left", F.least("bucket", "other"))
+        .withColumn("right", F.greatest("bucket", "other"))
+    )
 
     def products(table: pa.Table) -> pa.Table:
         donors, treated = split_roles(table)
-        t0, t1 = table["T0"][0].as_py(), table["T1"][0].as_py()
-        labels = block_labels(t0, t1, folds, anchor)
-        names = donors["unit"].to_numpy()
-        X, Y = matrix(donors["xs"]), matrix(treated["xs"])
-        upper = np.triu_indices(len(names))
-        cols: dict[str, list] = {"block": [], "i": [], "j": [], "g": []}
+        labels = block_labels(table["T0"][0].as_py(), table["T1"][0].as_py(), folds, anchor)
+        left, right = table["left"][0].as_py(), table["right"][0].as_py()
+        side = donors["bucket"].to_numpy()
+        names, X = donors["unit"].to_numpy(), matrix(donors["xs"])
+        parts: list[tuple] = []
+
+        def add(rows, row_names, cols, col_names, keep, by_name=False):
+            i, j = np.nonzero(keep)
+            first, second = row_names[i], col_names[j]
+            if by_name:
+                swap = first > second
+                first, second = np.where(swap, second, first), np.where(swap, first, second)
+            for b, g in block_products(rows, cols, labels).items():
+                parts.append((np.full(len(i), b, dtype=np.int32), first, second, g[i, j]))
+
         if len(names):
-            for b, g in block_products(X, X, labels).items():
-                cols["block"].append(np.full(len(upper[0]), b, dtype=np.int32))
-                cols["i"].append(names[upper[0]])
-                cols["j"].append(names[upper[1]])
-                cols["g"].append(g[upper])
-            if len(Y):
+            X, Z = X[side == left], X[side == right]
+            a, b = names[side == left], names[side == right]
+            every = np.ones((len(a), len(b)))
+            add(X, a, Z, b, np.triu(every) if left == right else every, by_name=True)
+            if left == right and len(treated):
                 own = treated["unit"].to_numpy()
-                for b, g in block_products(Y, X, labels).items():
-                    cols["block"].append(np.full(g.size, b, dtype=np.int32))
-                    cols["i"].append(np.repeat(own, len(names)))
-                    cols["j"].append(np.tile(names, len(own)))
-                    cols["g"].append(g.ravel())
-        n = sum(len(part) for part in cols["g"])
-        join = lambda parts, kind: pa.array(np.concatenate(parts) if parts else [], kind)
+                add(matrix(treated["xs"]), own, X, a, np.ones((len(own), len(a))))
+        joined = [np.concatenate(p) for p in zip(*parts)] if parts else [[]] * 4
         return pa.table(
             {
-                "batch_id": pa.array([table["batch_id"][0].as_py()] * n, pa.string()),
-                "block": join(cols["block"], pa.int32()),
-                "i": join(cols["i"], pa.string()),
-                "j": join(cols["j"], pa.string()),
-                "g": join(cols["g"], pa.float64()),
+                "batch_id": pa.array([table["batch_id"][0].as_py()] * len(joined[3]), pa.string()),
+                "block": pa.array(joined[0], pa.int32()),
+                "i": pa.array(joined[1], pa.string()),
+                "j": pa.array(joined[2], pa.string()),
+                "g": pa.array(joined[3], pa.float64()),
             }
         )
 
-    return spread(packed, "batch_id").groupBy("batch_id").applyInArrow(products, GRAM_SCHEMA)
+    keys = ["batch_id", "left", "right"]
+    return spread(placed, *keys).groupBy(*keys).applyInArrow(products, GRAM_SCHEMA)
 
 
 def fit_names(fits: Sequence[str], folds: int) -> list[str]:

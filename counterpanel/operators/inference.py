@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from counterpanel.functions.scalars import t_quantile
+from counterpanel.functions.session import spread
 from counterpanel.operators.fit import POST_BLOCK, fold_of
 
 # Statistics are compared up to this relative slack, so that the order in which
@@ -133,10 +134,10 @@ def conformal_iid(
         chosen = F.slice(F.array_sort(keyed), 1, F.col("T1"))
         return F.aggregate(chosen, F.lit(0.0), lambda acc, v: acc + v["a"])
 
-    fanned = (
-        rows.withColumn("identity", identity)
-        .withColumn("first_perm", F.explode(blocks))
-        .repartition("study_id", "first_perm")
+    fanned = spread(
+        rows.withColumn("identity", identity).withColumn("first_perm", F.explode(blocks)),
+        "study_id",
+        "first_perm",
     )
     perms = F.sequence(
         F.col("first_perm"), F.least(F.col("first_perm") + perms_per_task - 1, F.lit(n_perm))

@@ -134,16 +134,14 @@ def unit_series(pool: DataFrame, calendar: DataFrame) -> DataFrame:
 
     The only place where the panel itself is shuffled, however many studies,
     windows and placebo shifts read it. An array is bounded by the calendar.
+    ``repeated`` marks a unit with two rows for one date.
     """
+    cell = F.struct("date_no", (F.col("y") - F.col("level")).alias("x"))
     return (
-        pool.filter(present(F.col("y")))
-        .join(calendar, ["outcome", "t"])
+        pool.join(calendar, ["outcome", "t"])
         .groupBy("outcome", "unit", "role")
-        .agg(
-            F.sort_array(
-                F.collect_list(F.struct("date_no", (F.col("y") - F.col("level")).alias("x")))
-            ).alias("cells")
-        )
+        .agg(F.sort_array(F.collect_list(cell)).alias("cells"))
+        .withColumn("repeated", F.size("cells") > F.size(F.array_distinct("cells.date_no")))
     )
 
 
@@ -160,7 +158,10 @@ def pack_series(units: DataFrame, periods: DataFrame) -> DataFrame:
         F.first("T1").alias("T1"),
     )
     inside = F.filter(
-        "cells", lambda c: (c["date_no"] >= F.col("first_no")) & (c["date_no"] <= F.col("last_no"))
+        "cells",
+        lambda c: (c["date_no"] >= F.col("first_no"))
+        & (c["date_no"] <= F.col("last_no"))
+        & present(c["x"]),
     )
     return (
         units.join(windows, "outcome")
@@ -171,17 +172,18 @@ def pack_series(units: DataFrame, periods: DataFrame) -> DataFrame:
 
 
 def donor_pool_size(packed: DataFrame) -> DataFrame:
-    """Donors with a complete series, per batch."""
-    return (
-        packed.filter(F.col("role") == "control")
-        .groupBy("batch_id")
-        .agg(F.count(F.lit(1)).alias("n_donors"))
+    """Complete donors per batch, and which treated units are complete."""
+    own = F.when(F.col("role") == "treated", F.col("unit"))
+    return packed.groupBy("batch_id").agg(
+        F.count_if(F.col("role") == "control").alias("n_donors"),
+        F.collect_set(own).alias("complete_treated"),
     )
 
 
 def study_status(
     pool: DataFrame,
     study: DataFrame,
+    calendar: DataFrame,
     periods: DataFrame,
     packed: DataFrame,
     min_pre: int = 2,
@@ -197,30 +199,29 @@ def study_status(
         F.first("n_post").alias("n_post"),
         F.max("t").alias("last_t"),
     )
+    alone = (
+        pool.filter(F.col("role") == "treated")
+        .select("outcome", F.col("unit").alias("treated"), "t")
+        .join(calendar.select("outcome", "t"), ["outcome", "t"], "left_anti")
+    )
+    after = is_post(F.col("t"), F.col("treatment_date"))
+    in_cap = F.col("last_t").isNull() | (F.col("t") <= F.col("last_t")) | (F.col("n_post") <= F.col("T1c"))
     lonely = (
-        study.join(
-            pool.filter(F.col("role") == "treated").select("outcome", F.col("unit").alias("treated"), "t"),
-            ["outcome", "treated"],
-        )
+        alone.join(study, ["outcome", "treated"])
         .filter(in_window(F.col("t"), F.col("start_date"), F.col("end_date")))
-        .join(periods.select("batch_id", "t"), ["batch_id", "t"], "left_anti")
         .join(lengths, "batch_id", "left")
-        .filter((F.col("t") <= F.col("last_t")) | (F.col("n_post") <= F.col("T1c")) | F.col("last_t").isNull())
+        .filter(in_cap)
         .groupBy("study_id")
         .agg(
-            F.count_if(~is_post(F.col("t"), F.col("treatment_date"))).cast("int").alias("extra_pre"),
-            F.count_if(is_post(F.col("t"), F.col("treatment_date"))).cast("int").alias("extra_post"),
+            F.count_if(~after).cast("int").alias("extra_pre"),
+            F.count_if(after).cast("int").alias("extra_post"),
         )
     )
-    own = packed.filter(F.col("role") == "treated").select(
-        "batch_id", F.col("unit").alias("treated"), F.lit(True).alias("treated_complete")
-    )
     zero = F.lit(0)
     extra_pre, extra_post = F.coalesce("extra_pre", zero), F.coalesce("extra_post", zero)
     joined = (
         study.join(lengths, "batch_id", "left")
         .join(lonely, "study_id", "left")
-        .join(own, ["batch_id", "treated"], "left")
         .join(donor_pool_size(packed), "batch_id", "left")
         .withColumn("T0", F.coalesce("T0c", zero) + extra_pre)
         .withColumn("T1", F.coalesce("T1c", zero) + extra_post)
@@ -230,7 +231,10 @@ def study_status(
         "reason",
         F.when(F.col("T0") < min_pre, F.lit("too_few_pre_periods"))
         .when(F.col("T1") < 1, F.lit("no_post_period"))
-        .when(F.col("treated_complete").isNull(), F.lit("treated_incomplete"))
+        .when(
+            ~F.coalesce(F.array_contains("complete_treated", F.col("treated")), F.lit(False)),
+            F.lit("treated_incomplete"),
+        )
         .when(F.col("n_donors") == 0, F.lit("no_complete_donor")),
     ).select(
         *study.columns,

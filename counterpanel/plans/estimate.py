@@ -84,7 +84,8 @@ def estimate(
     if bad:
         raise ValueError(f"placebo shifts must be integers between 0 and {max_shift}: {bad}")
 
-    unknown = checks.unsupported_outcomes(outcomes, panel).collect()
+    # an error message, so a few names will do
+    unknown = checks.unsupported_outcomes(outcomes, panel).limit(20).collect()
     if unknown:
         raise ValueError(
             checks.unsupported_message([r["outcome"] for r in unknown], unknown[0]["supported"])
@@ -94,15 +95,16 @@ def estimate(
         whole = F.col("outcome").isin(list(whole_series_outcomes))
         pool = shaping.drop_units_with_nulls(pool.filter(whole)).unionByName(pool.filter(~whole))
     pool = written_table(pool, "pool")
-    if not checks.duplicate_panel_keys(pool).isEmpty():
-        raise ValueError("panel keys (outcome, unit, t) are not unique")
-
     requested = st.expand_studies(outcomes, treated, shifts, grain, t1_cap)
     calendar = written_table(st.control_calendar(pool), "calendar")
     periods = written_table(st.study_periods(calendar, requested), "periods")
-    packed = written_table(st.pack_series(st.unit_series(pool, calendar), periods), "packed")
+    units = written_table(st.unit_series(pool, calendar), "units")
+    if not units.filter("repeated").isEmpty():
+        raise ValueError("panel keys (outcome, unit, t) are not unique")
+    # a view of the stored series: windows are cut out where they are read
+    packed = st.pack_series(units, periods)
     status = written_table(
-        st.study_status(pool, requested, periods, packed, max(2, folds)), "status"
+        st.study_status(pool, requested, calendar, periods, packed, max(2, folds)), "status"
     )
     study = status.filter("reason IS NULL")
     fits = ("main", "folds") if infer_method == "ttest" else ("main", "full")

@@ -155,3 +155,23 @@ def test_wide_pools_give_the_same_results(result):
                 assert np.allclose(x[c], y[c], atol=1e-9, equal_nan=True), c
             else:
                 assert (x[c] == y[c]).all(), c
+
+
+def test_cross_products_do_not_depend_on_buckets(spark, data):
+    from counterpanel.operators import fit
+    from tests.test_inference import T0 as t0, T1 as t1
+
+    donors, treated = data
+    rows = [("b", u, "control", t0, t1, [float(x) for x in xs]) for u, xs in donors.items()]
+    rows += [("b", u, "treated", t0, t1, [float(x) for x in xs]) for u, xs in treated.items()]
+    packed = spark.createDataFrame(
+        rows, "batch_id string, unit string, role string, T0 int, T1 int, xs array<double>"
+    )
+    a, b = (
+        {(r["block"], r["i"], r["j"]): r["g"] for r in fit.gram_matrix(packed, bucket_size=k).collect()}
+        for k in (256, 2)
+    )
+    assert a.keys() == b.keys() and len(a) == 4 * (J * (J + 1) // 2 + 2 * J)
+    assert all(a[k] == pytest.approx(b[k]) for k in a)
+    total = sum(v for (_, i, j), v in a.items() if (i, j) == ("T_a", "d3"))
+    assert total == pytest.approx(np.dot(treated["T_a"], donors["d3"]))

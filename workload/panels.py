@@ -145,21 +145,26 @@ class Setup:
 
     @cached_property
     def requested(self) -> DataFrame:
-        return st.expand_studies(self.outcomes, self.treated, self.shifts, self.kind)
+        return written_table(
+            st.expand_studies(self.outcomes, self.treated, self.shifts, self.kind), "requested"
+        )
 
     @cached_property
     def periods(self) -> DataFrame:
         return written_table(st.study_periods(self.calendar, self.requested), "periods")
 
+    @cached_property
+    def units(self) -> DataFrame:
+        return written_table(st.unit_series(self.pool, self.calendar), "units")
+
     @cached_property
     def packed(self) -> DataFrame:
-        units = st.unit_series(self.pool, self.calendar)
-        return written_table(st.pack_series(units, self.periods), "packed")
+        return st.pack_series(self.units, self.periods)
 
     @cached_property
     def status(self) -> DataFrame:
         return written_table(
-            st.study_status(self.pool, self.requested, self.periods, self.packed), "status"
+            st.study_status(self.pool, self.requested, self.calendar, self.periods, self.packed), "status"
         )
 
     @cached_property

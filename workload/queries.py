@@ -243,7 +243,8 @@ def complete_donors(spark, sf_dir):
 @query
 def donor_pool_size(spark, sf_dir):
     s = Setup(spark, sf_dir, "day")
-    return _batch_tagged(s, st.donor_pool_size(s.packed)).select("outcome", "placebo", "n_donors")
+    sizes = st.donor_pool_size(s.packed).filter("n_donors > 0")
+    return _batch_tagged(s, sizes).select("outcome", "placebo", "n_donors")
 
 
 @query
