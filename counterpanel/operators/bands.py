@@ -34,6 +34,8 @@ from counterpanel.operators.wide import (
 )
 
 PAD_SHARE = 0.33  # fixed value: share of the gap range added per growth round
+EARLY_ROUNDS = 4
+ADDED_PER_RUN_END = 4
 TASK_KEYS = ("study_id", "chunk", "block")
 ACCEPT_SCHEMA = "study_id string, period_idx int, accepted array<int>"
 RESIDUAL_SCHEMA = "study_id string, fit_id string, us array<double>, synths array<double>"
@@ -204,9 +206,9 @@ def _post_chunks(grids: DataFrame, study: DataFrame, periods_per_task: int) -> D
     )
 
 
-def edge_points(grids: DataFrame, max_rounds: int) -> DataFrame:
-    """The lowest and highest grid point of every growth round."""
-    rounds = F.sequence(F.lit(0), F.lit(max_rounds))
+def edge_points(grids: DataFrame, first: int, last: int) -> DataFrame:
+    """The lowest and highest grid point of growth rounds ``first..last``."""
+    rounds = F.sequence(F.lit(first), F.lit(last))
     return grids.withColumn(
         "ks",
         F.array_sort(
@@ -218,27 +220,64 @@ def edge_points(grids: DataFrame, max_rounds: int) -> DataFrame:
     )
 
 
-def grow_grids(seed: DataFrame, edges: DataFrame, max_rounds: int) -> DataFrame:
-    """Final grid per study from the accepted edge points of all its periods."""
+def grow_grids(grids: DataFrame, edges: DataFrame, first: int, last: int) -> DataFrame:
+    """Rounds each side has to grow, NULL if still accepted in round ``last``.
+
+    A side stops at the first edge that no post period of the study accepts. A
+    side that an earlier call settled keeps its value.
+    """
     hits = (
         edges.select("study_id", F.explode("accepted").alias("k"))
         .groupBy("study_id")
         .agg(F.collect_set("k").alias("hit"))
     )
-    rounds = F.sequence(F.lit(0), F.lit(max_rounds))
+    rounds = F.sequence(F.lit(first), F.lit(last))
 
-    def settled(edge) -> Column:
+    def settled(edge: Callable[[Column], Column]) -> Column:
         return F.array_min(F.filter(rounds, lambda n: ~F.array_contains("hit", edge(n))))
 
     return (
-        seed.join(hits, "study_id", "left")
+        grids.join(hits, "study_id", "left")
         .withColumn("hit", F.coalesce("hit", F.array().cast("array<int>")))
-        .withColumn("lower_rounds", settled(lambda n: F.col("lo") - n * F.col("pad")))
-        .withColumn("upper_rounds", settled(lambda n: F.col("hi") + n * F.col("pad")))
+        .withColumn(
+            "lower_rounds",
+            F.coalesce("lower_rounds", settled(lambda n: F.col("lo") - n * F.col("pad"))),
+        )
+        .withColumn(
+            "upper_rounds",
+            F.coalesce("upper_rounds", settled(lambda n: F.col("hi") + n * F.col("pad"))),
+        )
         .drop("hit")
     )
 
 
+def final_grids(
+    grids: DataFrame,
+    study: DataFrame,
+    rows_for: Callable[[DataFrame], DataFrame],
+    step: float,
+    alpha: float,
+    max_rounds: int,
+    periods_per_task: int,
+) -> DataFrame:
+    """Grids with their growth rounds. Most studies settle within a few rounds;
+    the far edges are evaluated only for those that do not."""
+    unknown = F.lit(None).cast("int")
+    waiting = grids.withColumns({"lower_rounds": unknown, "upper_rounds": unknown})
+    done = None
+    for first, last in ((0, min(EARLY_ROUNDS, max_rounds)), (EARLY_ROUNDS + 1, max_rounds)):
+        tasks = _post_chunks(edge_points(waiting, first, last), study, periods_per_task)
+        tasks = tasks.withColumn("block", F.lit(0))
+        edges = accepted_points(tasks, rows_for(tasks), step, alpha)
+        grown = written_table(grow_grids(waiting, edges, first, last), "grown")
+        if last == max_rounds:
+            return grown if done is None else done.unionByName(grown)
+        is_open = F.col("lower_rounds").isNull() | F.col("upper_rounds").isNull()
+        done, waiting = grown.filter(~is_open), grown.filter(is_open)
+        if waiting.isEmpty():
+            return grown
+
+
 def _search(
     study: DataFrame,
     rows_for: Callable[[DataFrame], DataFrame],
@@ -258,11 +297,7 @@ def _search(
         "grids",
     )
     usable = grids.filter(F.lit(1.0) / (F.col("T0") + 1) <= F.lit(alpha))
-    edge_tasks = _post_chunks(edge_points(usable, max_rounds), study, periods_per_task).withColumn(
-        "block", F.lit(0)
-    )
-    edges = accepted_points(edge_tasks, rows_for(edge_tasks), step, alpha)
-    grown = written_table(grow_grids(usable, edges, max_rounds), "grown")
+    grown = final_grids(usable, study, rows_for, step, alpha, max_rounds, periods_per_task)
     rounds = F.lit(max_rounds)
     size = F.lit(points_per_task)
     first = F.col("lo") - F.coalesce("lower_rounds", rounds) * F.col("pad")
@@ -321,7 +356,8 @@ def confidence_bands(
             return run_end_residuals(mine, rows, step)
 
         first = closest_donors(pools, packed, ADDED_PER_ROUND)
-        return working_rows(pools, packed, price_out(pools, packed, first, residuals))
+        working = price_out(pools, packed, first, residuals, ADDED_PER_RUN_END)
+        return working_rows(pools, packed, working)
 
     return direct.unionByName(_search(wide, priced_rows, seed, *limits))
 
@@ -386,5 +422,5 @@ def first_grid_flags(
 ) -> DataFrame:
     """Which sides of the first grid have to grow."""
     grids = seed.select("study_id", "T0", "T1", "lo", "hi", "pad")
-    tasks = _post_chunks(edge_points(grids, 0), study, periods_per_task).withColumn("block", F.lit(0))
+    tasks = _post_chunks(edge_points(grids, 0, 0), study, periods_per_task).withColumn("block", F.lit(0))
     return edge_flags(grids, accepted_points(tasks, packed, step, alpha))

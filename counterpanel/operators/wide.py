@@ -12,17 +12,21 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from counterpanel.functions.session import written_table
+from counterpanel.functions.packing import matrix
+from counterpanel.functions.session import spread, written_table
 from counterpanel.operators.fit import POST_BLOCK, fold_of, solve_weights
 from counterpanel.operators.series import counterfactual
 
 MAX_POOL = 512
 MAX_CELLS = 4_000_000
 PRICE_TOL = 1e-10
-ADDED_PER_ROUND = 32
+ADDED_PER_ROUND = 32  # per fit
+TASK_CELLS = 1_000_000
 
 
 def is_wide(max_pool: int = MAX_POOL, max_cells: int = MAX_CELLS) -> Column:
@@ -31,11 +35,6 @@ def is_wide(max_pool: int = MAX_POOL, max_cells: int = MAX_CELLS) -> Column:
     return (F.col("n_donors") > max_pool) | (cells > max_cells)
 
 
-def dot(a: str | Column, b: str | Column) -> Column:
-    """Inner product of two arrays."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)
-
-
 def _top_per_study(candidates: DataFrame, k: int) -> DataFrame:
     """The k best candidates of each (study, fit); limited before the shuffle."""
     order = Window.partitionBy("study_id", "fit_id").orderBy(F.desc("gain"), "unit")
@@ -64,17 +63,58 @@ def closest_donors(study: DataFrame, packed: DataFrame, k: int) -> DataFrame:
 def entering_donors(study: DataFrame, packed: DataFrame, residuals: DataFrame, k: int) -> DataFrame:
     """Donors of the whole pool that would lower some fit's squared error.
 
-    ``residuals`` is ``study_id, fit_id, us, synths``: gaps and synthetic values
-    of a fit, zero outside its periods.
+    ``residuals`` is a stored table ``study_id, fit_id, us, synths``: gaps and
+    synthetic values of a fit, zero outside its periods. Donors are hashed into
+    buckets and fits into chunks; a task multiplies one bucket with one chunk.
     """
-    fits = residuals.join(study.select("study_id", "batch_id"), "study_id").withColumn(
-        "level_gain", dot("synths", "us")
+    fits = residuals.join(study.select("study_id", "batch_id", "n_donors"), "study_id")
+    sizes = fits.groupBy("batch_id").agg(
+        F.ceil(F.sum(F.size("us")) / F.lit(TASK_CELLS)).cast("int").alias("chunks"),
+        F.ceil(F.max(F.size("us").cast("long") * F.col("n_donors")) / F.lit(TASK_CELLS))
+        .cast("int")
+        .alias("buckets"),
+    )
+    keys = ["batch_id", "bucket", "chunk"]
+    donors = (
+        packed.filter(F.col("role") == "control")
+        .join(sizes, "batch_id")
+        .withColumn("bucket", F.pmod(F.xxhash64("unit"), F.col("buckets")).cast("int"))
+        .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        .select(*keys, "unit", "xs")
+    )
+    targets = (
+        fits.join(sizes, "batch_id")
+        .withColumn("bucket", F.explode(F.sequence(F.lit(0), F.col("buckets") - 1)))
+        .withColumn("chunk", F.pmod(F.xxhash64("study_id", "fit_id"), F.col("chunks")).cast("int"))
+        .select(*keys, "study_id", "fit_id", "us", "synths")
+    )
+
+    def price(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: dict[str, list] = {"study_id": [], "fit_id": [], "unit": [], "gain": []}
+        if len(left) and len(right):
+            X, U, S = matrix(left["xs"]), matrix(right["us"]), matrix(right["synths"])
+            gains = U @ X.T - (S * U).sum(axis=1)[:, None]
+            sizes = ((S**2 + U**2).sum(axis=1))[:, None] + (X**2).sum(axis=1)
+            units = left["unit"].to_pylist()
+            names = zip(right["study_id"].to_pylist(), right["fit_id"].to_pylist())
+            for (sid, fid), gain, size in zip(names, gains, sizes):
+                better = np.flatnonzero(gain > size * PRICE_TOL)
+                # a bucket's k best hold its share of the pool's k best
+                best = better[np.argsort(-gain[better], kind="stable")[:k]]
+                out["study_id"] += [sid] * len(best)
+                out["fit_id"] += [fid] * len(best)
+                out["unit"] += [units[b] for b in best]
+                out["gain"] += gain[best].tolist()
+        kinds = (pa.string(), pa.string(), pa.string(), pa.float64())
+        return pa.table({c: pa.array(v, kind) for (c, v), kind in zip(out.items(), kinds)})
+
+    priced = (
+        spread(donors, *keys)
+        .groupBy(*keys)
+        .cogroup(spread(targets, *keys).groupBy(*keys))
+        .applyInArrow(price, "study_id string, fit_id string, unit string, gain double")
     )
-    gain = dot("xs", "us") - F.col("level_gain")
-    size = dot("xs", "xs") + dot("synths", "synths") + dot("us", "us")
-    rows = packed.filter(F.col("role") == "control").join(fits, "batch_id")
-    priced = rows.select("study_id", "fit_id", "unit", gain.alias("gain"), size.alias("size"))
-    return _top_per_study(priced.filter(F.col("gain") > F.col("size") * PRICE_TOL), k)
+    return _top_per_study(priced, k)
 
 
 def working_rows(study: DataFrame, packed: DataFrame, working: DataFrame) -> DataFrame:
@@ -105,8 +145,9 @@ def price_out(
     open_study, settled = study, None
     while True:
         rows = working_rows(open_study, packed, working)
+        residuals = written_table(residuals_of(open_study, rows), "residuals")
         entering = written_table(
-            entering_donors(open_study, packed, residuals_of(open_study, rows), per_round).join(
+            entering_donors(open_study, packed, residuals, per_round).join(
                 working, ["study_id", "unit"], "left_anti"
             ),
             "entering",
