@@ -31,10 +31,12 @@ def written_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts the lineage with a table that outlives any executor, so a table used
-    by several later jobs is computed once.
+    by several later jobs is computed once. Tables of one application share a
+    folder named after it, which may be deleted when the application is over.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/counterpanel/{name}-{uuid.uuid4().hex}"
+    app = spark.sparkContext.applicationId
+    path = f"{shared_dir(spark)}/counterpanel/{app}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -68,13 +68,16 @@ def estimate(
     seed: int = 61876,
     max_rounds: int = 50,
     whole_series_outcomes: Sequence[str] = (),
+    check_keys: bool = True,
     max_pool: int = wide.MAX_POOL,
 ) -> StudyResult:
     """Estimate every (outcome, treated unit, placebo shift).
 
     ``outcomes`` has ``outcome, treatment_date, start_date, end_date``. For an
     outcome in ``whole_series_outcomes`` a unit with a missing value anywhere is
-    dropped; otherwise only gaps inside the study window count.
+    dropped; otherwise only gaps inside the study window count. ``check_keys``
+    counts rows per key before any series is gathered; a panel that comes out of
+    a grouping can skip that shuffle.
     """
     if infer_method not in ("ttest", "conformal"):
         raise ValueError("infer_method must be 'ttest' or 'conformal'")
@@ -95,12 +98,15 @@ def estimate(
         whole = F.col("outcome").isin(list(whole_series_outcomes))
         pool = shaping.drop_units_with_nulls(pool.filter(whole)).unionByName(pool.filter(~whole))
     pool = written_table(pool, "pool")
+    repeated = "panel keys (outcome, unit, t) are not unique"
+    if check_keys and not checks.duplicate_panel_keys(pool).isEmpty():
+        raise ValueError(repeated)
     requested = st.expand_studies(outcomes, treated, shifts, grain, t1_cap)
     calendar = written_table(st.control_calendar(pool), "calendar")
     periods = written_table(st.study_periods(calendar, requested), "periods")
     units = written_table(st.unit_series(pool, calendar), "units")
     if not units.filter("repeated").isEmpty():
-        raise ValueError("panel keys (outcome, unit, t) are not unique")
+        raise ValueError(repeated)
     # a view of the stored series: windows are cut out where they are read
     packed = st.pack_series(units, periods)
     status = written_table(

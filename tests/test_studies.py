@@ -76,8 +76,9 @@ def test_row_order_does_not_matter(make_panel, outcomes):
 
 def test_duplicate_keys_are_an_error(make_panel, outcomes):
     panel = make_panel(walks(3, 12) | {"T": list(range(12))})
-    with pytest.raises(ValueError, match="not unique"):
-        estimate(panel.union(panel.limit(1)), ["T"], ["d0", "d1", "d2"], outcomes(8))
+    for check in (True, False):
+        with pytest.raises(ValueError, match="not unique"):
+            estimate(panel.union(panel.limit(1)), ["T"], ["d0", "d1", "d2"], outcomes(8), check_keys=check)
 
 
 def test_unknown_outcomes_and_shifts_are_errors(make_panel, outcomes):
