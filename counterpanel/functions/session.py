@@ -42,10 +42,11 @@ def written_table(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash rows by key over all shuffle partitions.
+    """Hash rows by key over all cores, a few waves deep.
 
     Used ahead of grouped tasks that compute far more than they read: adaptive
     execution would otherwise merge their small partitions into a few tasks.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *keys)
+    spark = df.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(min(partitions, 4 * spark.sparkContext.defaultParallelism), *keys)

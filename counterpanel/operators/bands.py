@@ -37,7 +37,7 @@ PAD_SHARE = 0.33  # fixed value: share of the gap range added per growth round
 EARLY_ROUNDS = 4
 ADDED_PER_RUN_END = 4
 TASK_KEYS = ("study_id", "chunk", "block")
-ACCEPT_SCHEMA = "study_id string, period_idx int, accepted array<int>"
+ACCEPT_SCHEMA = "study_id string, period_idx int, accepted array<bigint>"
 RESIDUAL_SCHEMA = "study_id string, fit_id string, us array<double>, synths array<double>"
 
 
@@ -66,11 +66,11 @@ def grid_seed(summary: DataFrame, step: float) -> DataFrame:
             "min_gap",
             "max_gap",
             "factor",
-            F.floor(lattice(F.col("min_gap") - F.abs(F.col("min_gap") * F.col("factor")))).cast("int").alias("lo"),
-            F.ceil(lattice(F.col("max_gap") + F.abs(F.col("max_gap") * F.col("factor")))).cast("int").alias("hi"),
+            F.floor(lattice(F.col("min_gap") - F.abs(F.col("min_gap") * F.col("factor")))).cast("bigint").alias("lo"),
+            F.ceil(lattice(F.col("max_gap") + F.abs(F.col("max_gap") * F.col("factor")))).cast("bigint").alias("hi"),
             F.greatest(
                 F.lit(1),
-                F.bround(lattice((F.col("max_gap") - F.col("min_gap")) * F.lit(PAD_SHARE)), 0).cast("int"),
+                F.bround(lattice((F.col("max_gap") - F.col("min_gap")) * F.lit(PAD_SHARE)), 0).cast("bigint"),
             ).alias("pad"),
         )
     )
@@ -139,7 +139,7 @@ def accepted_points(tasks: DataFrame, packed: DataFrame, step: float, alpha: flo
             {
                 "study_id": pa.array([table["study_id"][0].as_py()] * len(idxs), pa.string()),
                 "period_idx": pa.array(idxs, pa.int32()),
-                "accepted": pa.array(accepted, pa.list_(pa.int32())),
+                "accepted": pa.array(accepted, pa.list_(pa.int64())),
             }
         )
 
@@ -238,7 +238,7 @@ def grow_grids(grids: DataFrame, edges: DataFrame, first: int, last: int) -> Dat
 
     return (
         grids.join(hits, "study_id", "left")
-        .withColumn("hit", F.coalesce("hit", F.array().cast("array<int>")))
+        .withColumn("hit", F.coalesce("hit", F.array().cast("array<bigint>")))
         .withColumn(
             "lower_rounds",
             F.coalesce("lower_rounds", settled(lambda n: F.col("lo") - n * F.col("pad"))),
@@ -308,7 +308,7 @@ def _search(
         .withColumns({"first_k": first, "last_k": last})
         .withColumn(
             "block",
-            F.explode(F.sequence(F.lit(0), F.floor((F.col("last_k") - F.col("first_k")) / size).cast("int"))),
+            F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("last_k") - F.col("first_k")) / size))),
         )
         .withColumn("ks", F.sequence(start, F.least(start + size - 1, F.col("last_k"))))
     )
@@ -400,7 +400,7 @@ def edge_flags(seed: DataFrame, edges: DataFrame) -> DataFrame:
     )
     return (
         seed.join(hits, "study_id", "left")
-        .withColumn("hit", F.coalesce("hit", F.array().cast("array<int>")))
+        .withColumn("hit", F.coalesce("hit", F.array().cast("array<bigint>")))
         .select(
             "study_id",
             "lo",

@@ -23,8 +23,8 @@ def counterfactual(packed: DataFrame, weights: DataFrame) -> DataFrame:
     return (
         donors.unionByName(treated)
         .join(packed.select("batch_id", "unit", "T0", "T1", "xs"), ["batch_id", "unit"])
-        .select("study_id", "fit_id", "batch_id", "T0", "T1", "own", "w", F.posexplode("xs").alias("pos", "x"))
-        .groupBy("study_id", "fit_id", "batch_id", "pos")
+        .select("study_id", "fit_id", "T0", "T1", "own", "w", F.posexplode("xs").alias("pos", "x"))
+        .groupBy("study_id", "fit_id", "pos")
         .agg(
             F.sum(F.col("own") * F.col("x")).alias("obs_c"),
             F.sum(F.col("w") * F.col("x")).alias("synth_c"),
@@ -34,7 +34,6 @@ def counterfactual(packed: DataFrame, weights: DataFrame) -> DataFrame:
         .select(
             "study_id",
             "fit_id",
-            "batch_id",
             (F.col("pos") + 1).alias("period_idx"),
             "T0",
             "T1",
@@ -54,11 +53,11 @@ def dated_series(
     pre periods; without it both bounds are NULL.
     """
     levels = periods.select("batch_id", "period_idx", "t", "level")
-    tags = study.select("study_id", "outcome", "treated", "placebo")
+    tags = study.select("study_id", "batch_id", "outcome", "treated", "placebo")
     rows = (
         paths.filter(F.col("fit_id") == "main")
-        .join(levels, ["batch_id", "period_idx"])
         .join(tags, "study_id")
+        .join(levels, ["batch_id", "period_idx"])
     )
     if ci is None:
         rows = rows.withColumn("upper_ci", F.lit(None).cast("double")).withColumn(

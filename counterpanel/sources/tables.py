@@ -26,6 +26,11 @@ WEIGHTS_SCHEMA = _schema(
     ("control_unit", _S), ("weight", _N), ("treated", _S), ("outcome", _S), ("placebo", _S)
 )
 
+# as written by the sinks: with the grid step or the method, placebo as a partition
+STORED_SERIES = _schema(*[(f.name, f.dataType) for f in SERIES_SCHEMA], ("ci_step", _N))
+STORED_TTEST = _schema(*[(f.name, f.dataType) for f in TTEST_SCHEMA], ("method", _S))
+STORED_CONFORMAL = _schema(*[(f.name, f.dataType) for f in CONFORMAL_SCHEMA], ("method", _S))
+
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """CSV with a header and the literal NA for a missing value; a row that
@@ -42,6 +47,14 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     return spark.read.schema(schema).parquet(path)
 
 
+def read_results(
+    spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet"
+) -> DataFrame:
+    """A saved result table; ``schema`` is one of the STORED schemas."""
+    options = dict(header=True, nullValue="NA", mode="FAILFAST") if fmt == "csv" else {}
+    return spark.read.schema(schema).format(fmt).options(**options).load(path)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a path exists on whichever file system its scheme names."""
     jvm = spark.sparkContext._jvm

@@ -68,16 +68,16 @@ def test_results_survive_a_round_trip(spark, result, tmp_path, fmt):
     paths = result.save(str(tmp_path), fmt)
     again = result.save(str(tmp_path), fmt)
     assert paths == again
-    options = dict(header=True, nullValue="NA") if fmt == "csv" else {}
-    back = spark.read.schema(
-        "date date, obs double, synth double, diff double, upper_ci double, lower_ci double, "
-        "T0 int, outcome string, treated string, ci_step double, placebo string"
-    ).format(fmt).options(**options).load(paths["series"])
+    back = src.read_results(spark, paths["series"], src.STORED_SERIES, fmt)
     want = {tuple(r) for r in result.series.collect()}
     assert {tuple(r) for r in back.select(*result.series.columns).collect()} == want
     assert back.select("ci_step").distinct().collect()[0][0] == 0.1
-    weights = spark.read.format(fmt).options(**options).load(paths["weights"])
-    assert weights.count() == result.weights.count() == 8
+    for kind, schema, table in (
+        ("weights", src.WEIGHTS_SCHEMA, result.weights),
+        ("inference", src.STORED_TTEST, result.inference),
+    ):
+        stored = src.read_results(spark, paths[kind], schema, fmt).select(*table.columns)
+        assert {tuple(r) for r in stored.collect()} == {tuple(r) for r in table.collect()}
 
 
 def test_a_run_replaces_only_its_own_partitions(spark, result, tmp_path):

@@ -300,9 +300,9 @@ summary AS (
   FROM gaps WHERE fit = 'main' GROUP BY {KEYS}),
 grid AS (
   SELECT {KEYS}, t0, t1, min_gap, max_gap,
-    CAST(floor(round((min_gap - abs(min_gap * coalesce(factor, 0))) / {STEP}, 6)) AS INTEGER) AS lo,
-    CAST(ceil(round((max_gap + abs(max_gap * coalesce(factor, 0))) / {STEP}, 6)) AS INTEGER) AS hi,
-    CAST(greatest(1, round_even(round((max_gap - min_gap) * 0.33 / {STEP}, 6), 0)) AS INTEGER) AS pad FROM summary)"""
+    CAST(floor(round((min_gap - abs(min_gap * coalesce(factor, 0))) / {STEP}, 6)) AS BIGINT) AS lo,
+    CAST(ceil(round((max_gap + abs(max_gap * coalesce(factor, 0))) / {STEP}, 6)) AS BIGINT) AS hi,
+    CAST(greatest(1, round_even(round((max_gap - min_gap) * 0.33 / {STEP}, 6), 0)) AS BIGINT) AS pad FROM summary)"""
 
 
 def accepted(name: str, points: str, equal_weights: bool) -> str:
@@ -355,7 +355,7 @@ point_k AS (
   FROM grid JOIN grown USING ({KEYS})),
 {accepted("point_ok", "point_k", equal_weights)},
 bands AS (
-  SELECT {KEYS}, p.idx, CAST(g.lower_rounds AS INTEGER) AS lower_rounds, CAST(g.upper_rounds AS INTEGER) AS upper_rounds,
+  SELECT {KEYS}, p.idx, CAST(g.lower_rounds AS BIGINT) AS lower_rounds, CAST(g.upper_rounds AS INTEGER) AS upper_rounds,
     round(min(o.k) * {STEP}, 1) AS lower_ci, round(max(o.k) * {STEP}, 1) AS upper_ci,
     CASE WHEN g.lower_rounds IS NULL OR g.upper_rounds IS NULL THEN 'max_rounds'
          WHEN min(o.k) IS NULL THEN 'empty' ELSE 'found' END AS ci_status
@@ -383,6 +383,12 @@ q("series_table", f"{pair()},{ci(False)},{SERIES}", """SELECT date, round(obs, 8
 q("union_results", f"{uniform()},{TTEST},{block_p(0.0)}", f"""
 SELECT att, se, lb, ub, NULL::DOUBLE AS pval, "T0", {KEYS} FROM tests
 UNION ALL SELECT NULL, NULL, NULL, NULL, round(pval, 8), CAST(t0 AS INTEGER), {KEYS} FROM pvals""")
+q("built_once_panel", PANELS["quarter"], "SELECT outcome, unit, t, y FROM panel")
+q("stored_series", uniform(shifts=(0, 4)), f"""SELECT t AS date, round(obs, 8) AS obs, round(synth, 6) AS synth, round(diff, 6) AS diff,
+  NULL::DOUBLE AS upper_ci, NULL::DOUBLE AS lower_ci, CAST(t0 AS INTEGER) AS "T0", {KEYS} {MAIN}""")
+q("stored_inference", f"{pair()},{TTEST}", f"""SELECT att, se, lb, ub, "T0", {KEYS}, 'ttest' AS method FROM tests""")
+q("stored_weights", ORACLES["sc_weights_two_donor"].removeprefix("WITH ").rsplit("\nSELECT m.unit", 1)[0],
+  "SELECT m.unit" + ORACLES["sc_weights_two_donor"].rsplit("\nSELECT m.unit", 1)[1])
 RATES = f"""
 based AS (
   SELECT s.t AS date, s.obs, s.synth, b.obs AS base, {KEYS} FROM (SELECT * FROM gaps WHERE fit = 'main') s

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,7 +21,7 @@ from counterpanel.operators import (
     series,
     study as st,
 )
-from counterpanel.sources import tables as src
+from counterpanel.sources import sinks, tables as src
 from workload.panels import (
     PAIR,
     PRIORITIES,
@@ -61,7 +62,7 @@ def day(text: str) -> Column:
 @query
 def scan_panel(spark, sf_dir):
     """CSV scan with NA for missing cells, of a densified panel stored as CSV."""
-    path = f"{shared_dir(spark)}/counterpanel/scan-{spark.range(1).select(F.expr('uuid()')).first()[0]}"
+    path = _fresh_folder(spark, "scan")
     cells = shaping.densify(quarterly_panel(spark, sf_dir).filter("outcome <> 'all'"))
     stored = cells.select(F.col("t").alias("date"), F.concat_ws("/", "outcome", "unit").alias("country"), F.col("y").alias("DAP"))
     stored.write.csv(path, header=True, nullValue="NA")
@@ -449,6 +450,44 @@ def union_results(spark, sf_dir):
     return rounded(both, "att", "se", "lb", "ub", "pval")
 
 
+def _fresh_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/counterpanel/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def built_once_panel(spark, sf_dir):
+    """The second read finds the stored table and does not build again."""
+    path = _fresh_folder(spark, "panel")
+    src.load_or_build(spark, path, lambda s: quarterly_panel(s, sf_dir))
+    return src.load_or_build(spark, path, lambda s: quarterly_panel(s, sf_dir).limit(0))
+
+
+@query
+def stored_series(spark, sf_dir):
+    """Series saved as CSV by placebo tag and read back with their schema."""
+    s = Setup(spark, sf_dir, shifts=(0, 4))
+    path = sinks.save_series(_uniform_series(s), _fresh_folder(spark, "out"), None, "csv")
+    back = src.read_results(spark, path, src.STORED_SERIES, "csv").drop("ci_step")
+    return rounded(back, "synth", "diff", digits=6).withColumn("obs", F.round("obs", 8))
+
+
+@query
+def stored_inference(spark, sf_dir):
+    s = pair_setup(spark, sf_dir)
+    tests = inference.inference_table(s.study, inference.cross_fit_ttest(s.paths(s.weights("folds"))))
+    path = sinks.save_inference(tests, _fresh_folder(spark, "out"), "ttest")
+    back = src.read_results(spark, path, src.STORED_TTEST)
+    return rounded(back, "att", "se", "lb", "ub")
+
+
+@query
+def stored_weights(spark, sf_dir):
+    s = pair_setup(spark, sf_dir)
+    table_ = fit.weights_table(s.study, s.packed, s.weights("main"))
+    path = sinks.save_weights(table_, _fresh_folder(spark, "out"), "csv")
+    return rounded(src.read_results(spark, path, src.WEIGHTS_SCHEMA, "csv"), "weight")
+
+
 def _rates(s: Setup) -> DataFrame:
     return rates.year_on_year(_uniform_series(s), ["all"], s.treatment, 6)
 
