@@ -30,6 +30,7 @@ from counterpanel.operators.wide import (
     closest_donors,
     is_wide,
     price_out,
+    wide_rows,
     working_rows,
 )
 
@@ -349,15 +350,16 @@ def confidence_bands(
     if wide.isEmpty():
         return direct
     pools = study.filter(is_wide(max_pool, max_cells))
+    pool = wide_rows(pools, packed)
 
     def priced_rows(tasks: DataFrame) -> DataFrame:
         def residuals(still_open: DataFrame, rows: DataFrame) -> DataFrame:
             mine = tasks.join(still_open.select("study_id"), "study_id", "left_semi")
             return run_end_residuals(mine, rows, step)
 
-        first = closest_donors(pools, packed, ADDED_PER_ROUND)
-        working = price_out(pools, packed, first, residuals, ADDED_PER_RUN_END)
-        return working_rows(pools, packed, working)
+        first = closest_donors(pools, pool, ADDED_PER_ROUND)
+        working = price_out(pools, pool, first, residuals, ADDED_PER_RUN_END)
+        return working_rows(pools, pool, working)
 
     return direct.unionByName(_search(wide, priced_rows, seed, *limits))
 

@@ -129,6 +129,12 @@ def working_rows(study: DataFrame, packed: DataFrame, working: DataFrame) -> Dat
     )
 
 
+def wide_rows(study: DataFrame, packed: DataFrame) -> DataFrame:
+    """Series of the studies' batches, stored: every pricing round reads them."""
+    batches = study.select("batch_id").distinct()
+    return written_table(packed.join(batches, "batch_id", "left_semi"), "wide")
+
+
 def as_own_batch(study: DataFrame) -> DataFrame:
     return study.withColumn("batch_id", F.col("study_id"))
 
@@ -216,13 +222,14 @@ def fit_weights(
     direct = solve_weights(narrow, packed, fits, folds, anchor, theta0)
     if wide.isEmpty():
         return direct
+    pool = wide_rows(wide, packed)
     working = price_out(
         wide,
-        packed,
-        closest_donors(wide, packed, ADDED_PER_ROUND),
+        pool,
+        closest_donors(wide, pool, ADDED_PER_ROUND),
         fit_residuals(fits, folds, anchor, theta0),
     )
-    rows = working_rows(wide, packed, working)
+    rows = working_rows(wide, pool, working)
     priced = solve_weights(as_own_batch(wide), rows, fits, folds, anchor, theta0)
     keys = wide.select("study_id", "batch_id")
     return direct.unionByName(priced.drop("batch_id").join(keys, "study_id").select(*direct.columns))
