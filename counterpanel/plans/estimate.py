@@ -46,6 +46,19 @@ def unit_roles(panel: DataFrame, treated: Sequence[str], controls: Sequence[str]
     )
 
 
+def _require_supported(outcomes: DataFrame, calendar: DataFrame, panel: DataFrame) -> None:
+    """Raise for outcomes the panel does not hold. The panel is read again only
+    if an outcome is missing from the calendar of the controls."""
+    absent = outcomes.select("outcome").join(calendar, "outcome", "left_anti")
+    if absent.isEmpty():
+        return
+    # for an error message a few names will do
+    unknown = checks.unsupported_outcomes(absent, panel).limit(20).collect()
+    if unknown:
+        names = [r["outcome"] for r in unknown]
+        raise ValueError(checks.unsupported_message(names, unknown[0]["supported"]))
+
+
 def estimate(
     panel: DataFrame,
     treated: Sequence[str],
@@ -87,12 +100,6 @@ def estimate(
     if bad:
         raise ValueError(f"placebo shifts must be integers between 0 and {max_shift}: {bad}")
 
-    # an error message, so a few names will do
-    unknown = checks.unsupported_outcomes(outcomes, panel).limit(20).collect()
-    if unknown:
-        raise ValueError(
-            checks.unsupported_message([r["outcome"] for r in unknown], unknown[0]["supported"])
-        )
     pool = st.with_roles(panel.select(*shaping.PANEL_COLUMNS), unit_roles(panel, treated, controls))
     if whole_series_outcomes:
         whole = F.col("outcome").isin(list(whole_series_outcomes))
@@ -103,6 +110,7 @@ def estimate(
         raise ValueError(repeated)
     requested = st.expand_studies(outcomes, treated, shifts, grain, t1_cap)
     calendar = written_table(st.control_calendar(pool), "calendar")
+    _require_supported(outcomes, calendar, panel)
     periods = written_table(st.study_periods(calendar, requested), "periods")
     units = written_table(st.unit_series(pool, calendar), "units")
     if not units.filter("repeated").isEmpty():
