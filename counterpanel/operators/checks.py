@@ -41,18 +41,15 @@ def unsupported_outcomes(requested: DataFrame, panel: DataFrame) -> DataFrame:
 
 def unsupported_message(outcomes: list[str], supported: str) -> str:
     """Error text for outcomes that the panel does not hold."""
-    names = ", ".join(outcomes)
-    subject = f"Outcome '{names}' is" if len(outcomes) == 1 else f"Outcomes {names} are"
-    return f"{subject} not supported.\nSupported outcomes are: {supported}"
+    kind = "Outcome" if len(outcomes) == 1 else "Outcomes"
+    return f"{kind} not in the panel: {', '.join(outcomes)}. It holds: {supported}"
 
 
 def require_columns(df: DataFrame, required: tuple[str, ...], note: str = "") -> None:
     """Raise if a required column is missing (schema only, no job)."""
     missing = [name for name in required if name not in df.columns]
     if missing:
-        raise ValueError(
-            f"Variables {', '.join(missing)} must be columns in provided dataframe{note}."
-        )
+        raise ValueError(f"missing columns{note}: {', '.join(missing)}")
 
 
 def all_null_columns(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -15,14 +15,11 @@ def check_report_input(series: DataFrame, outcome: str, with_ci: bool) -> None:
     """Raise for missing columns, an unknown outcome or empty CI columns."""
     require_columns(series, SERIES_COLUMNS)
     if with_ci:
-        require_columns(series, CI_COLUMNS, " if plot_ci=TRUE")
+        require_columns(series, CI_COLUMNS, " for bounds")
         if not all_null_columns(series, list(CI_COLUMNS)).filter("all_null").isEmpty():
-            raise ValueError(
-                "The dataframe provided contains empty lower_ci/upper_ci columns. "
-                "Set plot_ci=FALSE to suppress this message."
-            )
+            raise ValueError("a bound column holds no value; use with_ci=False")
     if not has_value(series, "outcome", outcome):
-        raise ValueError(f"var must be a variable included in df$outcome Got {outcome}.")
+        raise ValueError(f"outcome {outcome!r} does not occur in the series")
 
 
 def report_frame(series: DataFrame, labels: DataFrame, with_ci: bool = True) -> DataFrame:

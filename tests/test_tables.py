@@ -130,13 +130,13 @@ def test_report_frame(spark, result):
 
 
 def test_report_input_errors(spark, result):
-    with pytest.raises(ValueError, match="Variables obs, synth must be columns"):
+    with pytest.raises(ValueError, match="missing columns: obs, synth"):
         report.check_report_input(result.series.drop("obs", "synth"), "x", False)
-    with pytest.raises(ValueError, match="upper_ci must be columns in provided dataframe if plot_ci"):
+    with pytest.raises(ValueError, match="missing columns for bounds: upper_ci"):
         report.check_report_input(result.series.drop("upper_ci"), "x", True)
-    with pytest.raises(ValueError, match="empty lower_ci/upper_ci"):
+    with pytest.raises(ValueError, match="holds no value"):
         report.check_report_input(result.series.withColumn("upper_ci", F.lit(None).cast("double")), "x", True)
-    with pytest.raises(ValueError, match="Got z"):
+    with pytest.raises(ValueError, match="outcome 'z' does not occur"):
         report.check_report_input(result.series, "z", False)
 
 
@@ -144,6 +144,6 @@ def test_checks(spark):
     asked = spark.createDataFrame([(0.0,), (70.0,), (71.0,), (-1.0,), (1.5,), (None,), (float("nan"),)], "placebo_shift double")
     got = [r["reason"] for r in checks.check_studies(asked).collect()]
     assert got == [None, None, "shift_out_of_range", "shift_out_of_range", "shift_not_integer", "shift_not_integer", "shift_not_integer"]
-    assert checks.unsupported_message(["a", "b"], "c") == "Outcomes a, b are not supported.\nSupported outcomes are: c"
+    assert checks.unsupported_message(["a", "b"], "c") == "Outcomes not in the panel: a, b. It holds: c"
     empty = spark.createDataFrame([(1.0, float("nan")), (None, None)], "a double, b double")
     assert {tuple(r) for r in checks.all_null_columns(empty, ["a", "b"]).collect()} == {("a", 1, False), ("b", 0, True)}
