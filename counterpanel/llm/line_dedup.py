@@ -137,13 +137,14 @@ def repeated_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     n = F.size("keys")
     prefix = F.slice("keys", F.lit(1), (n - F.ceil(n * PERCENT / 100) + 1).cast("int"))
     classes = keyed.groupBy("h1", "h2").agg(F.min(_first()).alias("first"), F.first(n).alias("n"), F.first(prefix).alias("prefix"))
-    classes = written_table(classes, "line-classes")
-    index = classes.select(F.posexplode("prefix").alias("pos", "key"), "first", "n", "h1", "h2")
-    heads = index.groupBy("key").agg(F.count("*").alias("len"), F.min(F.struct("first", "h1", "h2", "n", "pos")).alias("head"))
-    heads = heads.filter("len > 1").select("key", "head")
-    shared = written_table(index.join(heads, "key"), "line-index")
-    earliest = shared.groupBy("key").agg(F.first("head").alias("head")).select("key", "head.*")
-    rows = shared.drop("head")
+    classes = written_table(classes.withColumn("node", F.monotonically_increasing_id()), "line-classes")
+    # narrow rows first: most prefix words occur in one class only
+    index = classes.select(F.posexplode("prefix").alias("pos", "key"), "n", "node")
+    several = index.groupBy("key").agg(F.count("*").alias("len")).filter("len > 1").select("key")
+    met = index.join(several, "key", "left_semi").join(classes.select("node", "first", "h1", "h2"), "node")
+    rows = written_table(met.drop("node"), "line-index")
+    head = F.min(F.struct("first", "h1", "h2", "n", "pos"))
+    earliest = rows.groupBy("key").agg(head.alias("head")).select("key", "head.*")
     pairs = written_table(_pairs(rows, earliest), "line-pairs")
     gone = written_table(_matched(pairs, classes, given, rarity), "line-matched")
     still = rows.join(gone, (F.col("h1") == F.col("b1")) & (F.col("h2") == F.col("b2")), "left_anti")
