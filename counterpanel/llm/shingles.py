@@ -44,7 +44,7 @@ def _word_hashes(data: np.ndarray, space: np.ndarray, starts: np.ndarray, ends:
     return mixed((sums[ends] - sums[starts]) * back[starts] + lengths * _U(0x9E3779B97F4A7C15))
 
 
-def shingle_sets(texts: pa.Array, width: int = WIDTH, limit: int = 8 << 20) -> Iterator[np.ndarray]:
+def shingle_sets(texts: pa.Array, width: int = WIDTH, limit: int = 1 << 20) -> Iterator[np.ndarray]:
     """The sorted distinct shingles of each text; no nulls. Works on about
     ``limit`` bytes at a time; a longer text is worked on alone."""
     offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
