@@ -37,8 +37,9 @@ PERCENT = 80  # Jaccard threshold
 COUNTERS = 1 << 20  # of the n-gram count table, whatever the input's size
 SLOTS = 64  # parts that the table is summed in
 FRAGMENTS = 8
-PARITY_LONGS = 16
+PARITY_LONGS = 8
 PIVOTS = 8
+PIVOT_LISTS = 64  # longer lists meet pivots before all pairs are tried
 FILTER_BITS = 1 << 22  # of the set of documents that a verification reads
 
 
@@ -230,7 +231,9 @@ def _fragments(docs: DataFrame, wanted: DataFrame, shared, cuts: np.ndarray, wid
     made = marked.mapInArrow(run, f"doc_id {kind}, fp binary, fragment int, grams array<bigint>")
     mine = wanted.withColumnRenamed("fp", "of")
     exact = made.join(mine, (F.col("fp") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
-    return exact.groupBy("node", "fragment").agg(F.first("grams").alias("grams"))  # equal rows have equal sets
+    # equal rows have equal sets; the join's partitioning by fp serves this grouping too
+    one = exact.groupBy("fp", "fragment").agg(F.first("node").alias("node"), F.first("grams").alias("grams"))
+    return one.select("node", "fragment", "grams")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shared, cuts: np.ndarray, width: int) -> DataFrame:
@@ -323,8 +326,9 @@ def _between(postings: DataFrame, nodes: DataFrame, roots: DataFrame, pivots: in
     labelled = postings.select("gram", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     # lists of two nodes were settled by the first round, lists in one component need nothing
     mixed = labelled.groupBy("gram").agg(F.count("*").alias("len"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    mixed = mixed.filter("len > 2 AND lo <> hi").select("gram")
+    mixed = mixed.filter(f"len > {2 if pivots is None else PIVOT_LISTS} AND lo <> hi").select("gram")
     open_ = labelled.join(mixed, "gram", "left_semi").join(nodes.select("node", "parity"), "node")
+    open_ = open_.select("gram", "node", "n", "root", "parity")
     other = open_.select(
         F.col("gram").alias("g"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("root_b"), F.col("parity").alias("parity_b")
     )
