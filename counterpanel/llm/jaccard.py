@@ -37,7 +37,7 @@ PERCENT = 80  # Jaccard threshold
 COUNTERS = 1 << 20  # of the n-gram count table, whatever the input's size
 SLOTS = 64  # parts that the table is summed in
 FRAGMENTS = 8
-PARITY_LONGS = 8
+PARITY_LONGS = 4  # at least; a set has as many parity bits as n-grams, rounded up to a power of two
 PIVOTS = 8
 PIVOT_LISTS = 64  # longer lists meet pivots before all pairs are tried
 FILTER_BITS = 1 << 22  # of the set of documents that a verification reads
@@ -48,9 +48,10 @@ def _counter(grams: np.ndarray) -> np.ndarray:
 
 
 def _parity(grams: np.ndarray) -> np.ndarray:
-    """Parity of the number of n-grams in each of 64 * PARITY_LONGS classes."""
-    bits = np.bincount((grams & np.uint64(64 * PARITY_LONGS - 1)).astype(np.int64), minlength=64 * PARITY_LONGS) & 1
-    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
+    """Parity of the number of n-grams in each class of their low bits."""
+    bits = max(64 * PARITY_LONGS, 1 << (len(grams) - 1).bit_length())
+    odd = np.bincount((grams & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
 def _nonnull(column: pa.Array) -> pa.Array:
@@ -175,6 +176,12 @@ def _may_link(na, nb, pa_, pb):
     With s = |A| + |B|, the symmetric difference is at most
     s * (100 - PERCENT) / (100 + PERCENT), and at least the differing parities.
     """
+
+    def folded(longer, half):  # with half as many classes, two of them are one
+        return F.zip_with(F.slice(longer, F.lit(1), half), F.slice(longer, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+
+    la, lb = F.size(pa_), F.size(pb)
+    pa_, pb = F.when(la > lb, folded(pa_, lb)).otherwise(pa_), F.when(lb > la, folded(pb, la)).otherwise(pb)
     differ = F.aggregate(F.zip_with(pa_, pb, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, b: a + b)
     sizes = (na * 100 >= nb * PERCENT) & (nb * 100 >= na * PERCENT)
     return sizes & (differ * (100 + PERCENT) <= (na + nb) * (100 - PERCENT))
