@@ -332,23 +332,34 @@ def _between(postings: DataFrame, nodes: DataFrame, roots: DataFrame, pivots: in
     ``pivots`` nodes of the list, or with all."""
     labelled = postings.select("gram", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     # lists of two nodes were settled by the first round, lists in one component need nothing
-    mixed = labelled.groupBy("gram").agg(F.count("*").alias("len"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    mixed = mixed.filter(f"len > {2 if pivots is None else PIVOT_LISTS} AND lo <> hi").select("gram")
-    open_ = labelled.join(mixed, "gram", "left_semi").join(nodes.select("node", "parity"), "node")
-    open_ = open_.select("gram", "node", "n", "root", "parity")
-    other = open_.select(
-        F.col("gram").alias("g"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("root_b"), F.col("parity").alias("parity_b")
-    )
+    lists = labelled.groupBy("gram").agg(F.count("*").alias("len"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    lists = lists.filter("len > 2 AND lo <> hi")
+
+    def rows(chosen: DataFrame, *more: str) -> DataFrame:
+        mine = labelled.join(chosen.select("gram"), "gram", "left_semi").join(nodes.select("node", "parity", *more), "node")
+        return mine.select("gram", "node", "n", "root", "parity", *more)
+
+    def meet(mine: DataFrame, other: DataFrame, extra) -> DataFrame:
+        allowed = _may_link(F.col("n"), F.col("nb"), F.col("parity"), F.col("parity_b"))
+        met = mine.join(other, (F.col("gram") == F.col("g")) & (F.col("root") != F.col("root_b")) & (F.col("node") != F.col("b")) & allowed & extra)
+        return met.select("node", "n", "b", "nb")
+
+    names = ["g", "b", "nb", "root_b", "parity_b", "prefix_b"]
+    once = F.col("node") < F.col("b")
+    long = lists.filter(f"len > {PIVOT_LISTS}")
     if pivots is not None:
+        mine = rows(long)
+        other = mine.toDF(*names[:5])
         slot = F.pmod(F.xxhash64("b"), F.lit(pivots))
-        other = other.groupBy("g", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("b", F.lit(1)).alias("h"), "b", "nb", "root_b", "parity_b")).alias("p"))
-        other = other.select("g", "p.b", "p.nb", "p.root_b", "p.parity_b")
-    once = (F.col("node") < F.col("b")) if pivots is None else (F.col("node") != F.col("b"))
-    met = open_.join(
-        other,
-        (F.col("gram") == F.col("g")) & (F.col("root") != F.col("root_b")) & once
-        & _may_link(F.col("n"), F.col("nb"), F.col("parity"), F.col("parity_b")),
-    )
+        other = other.groupBy("g", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("b", F.lit(1)).alias("h"), *names[1:5])).alias("p"))
+        met = meet(mine, other.select("g", "p.b", "p.nb", "p.root_b", "p.parity_b"), F.lit(True))
+    else:
+        mine = rows(lists.filter(f"len <= {PIVOT_LISTS}"))
+        met = meet(mine, mine.toDF(*names[:5]), once)
+        # in long lists a pair is made where its first common n-gram is, once
+        mine = rows(long, "prefix")
+        first = F.element_at(F.array_intersect("prefix", "prefix_b"), 1) == F.col("gram")
+        met = met.unionByName(meet(mine, mine.toDF(*names), once & first))
     swap = F.col("node") < F.col("b")
     return met.select(
         F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"),
