@@ -1,9 +1,9 @@
 """Near-duplicate lines by an exact set-similarity join, in column expressions.
 
-A line is the set of its lower-case words. Words are ordered by rarity, from a
-table of counts of fixed size over all lines, then by hash; both are packed in
+A line is the set of its runs of five lower-case words, its tokens. Tokens are
+ordered by rarity, from a table of counts of fixed size over all lines, then by hash; both are packed in
 one number, so a sorted array is a line in rarity order. Lines with equal sets
-are one class. Two sets with Jaccard >= 0.8 share a word in their prefixes; the
+are one class. Two sets with Jaccard >= 0.8 share a token in their prefixes; the
 length filter and the positional filter drop most pairs that meet there, and the
 rest are verified on the whole sets. A line is removed if an earlier line (by
 document id, then line number) has an equal or similar set.
@@ -24,20 +24,25 @@ PERCENT = 80  # Jaccard threshold
 COUNTERS = 1 << 16  # of the word count table, whatever the input's size
 HASH_BITS = 42
 FILTER_WORDS = 1 << 15  # 64-bit words of the set of documents read for verification
-MIN_WORDS = 5
+WIDTH = 5  # words in a token
 SPACE = r"[\x20\x09-\x0D]+"
 
 
 def _tokens(line: Column) -> Column:
-    """Distinct hashes of the words of a line."""
-    words = F.filter(F.split(F.lower(line), SPACE), lambda w: w != "")
-    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
+    """Distinct hashes of the runs of WIDTH words of a line."""
+    words = F.transform(F.filter(F.split(F.lower(line), SPACE), lambda w: w != ""), lambda w: F.xxhash64(w))
+    starts = F.sequence(F.lit(1), F.size(words) - (WIDTH - 1))
+    runs = F.transform(
+        F.when(F.size(words) >= WIDTH, F.array(words)).otherwise(F.array().cast("array<array<bigint>>")),
+        lambda w: F.transform(starts, lambda i: F.xxhash64(*[F.get(w, i + (k - 1)) for k in range(WIDTH)])),
+    )
+    return F.array_distinct(F.flatten(runs))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, tokens) of lines with MIN_WORDS distinct words or more."""
+    """(doc_id, line, tokens) of lines with WIDTH words or more."""
     cut = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "body"))
-    return cut.select("doc_id", "line", _tokens(F.col("body")).alias("tokens")).filter(F.size("tokens") >= MIN_WORDS)
+    return cut.select("doc_id", "line", _tokens(F.col("body")).alias("tokens")).filter(F.size("tokens") > 0)
 
 
 def _slot(token: Column) -> Column:
@@ -126,7 +131,7 @@ def _matched(pairs: DataFrame, classes: DataFrame, docs: DataFrame, rarity: Colu
 def repeated_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, line) of the lines to remove, lines numbered from 0.
 
-    Lines with fewer than MIN_WORDS distinct words always stay, and so does the
+    Lines with fewer than WIDTH words always stay, and so does the
     first line of all that are alike. Rows that repeat a document id and line
     number with equal words are one line and share its decision. Null and empty
     texts have no lines to remove. Other columns are not read.

@@ -65,10 +65,13 @@ LEFT JOIN (SELECT doc_id, min(other) AS least_id FROM reach GROUP BY doc_id) m O
 OP5 = rf"""
 WITH cut AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents
+), words AS (
+  SELECT doc_id, line, regexp_extract_all(lower(body), '{WORDS}') AS w FROM cut
 ), tokens AS (
-  SELECT DISTINCT doc_id, line, unnest(regexp_extract_all(lower(body), '{WORDS}')) AS t FROM cut
+  SELECT DISTINCT doc_id, line, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], '_'))) AS t
+  FROM words WHERE len(w) >= 5
 ), sizes AS (
-  SELECT doc_id, line, count(*) AS n, string_agg(t, ' ' ORDER BY t) AS whole FROM tokens GROUP BY ALL HAVING count(*) >= 5
+  SELECT doc_id, line, count(*) AS n, string_agg(t, ' ' ORDER BY t) AS whole FROM tokens GROUP BY doc_id, line
 ), classes AS (
   SELECT whole, any_value(n) AS n, min((doc_id, line)) AS first FROM sizes GROUP BY whole
 ), numbered AS (
