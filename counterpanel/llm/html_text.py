@@ -33,6 +33,7 @@ FURNITURE = frozenset(
 )
 KEEP_SHARE = 0.1  # of a host's votes that a path needs to be one of its winners
 INHERIT = 0.8
+SALTS = 64
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<!--.*?(?:-->|\Z)|<[!?][^>]*+>", re.S)
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>")
 _NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -188,7 +189,10 @@ def extract(
     """
     given = pages.select(F.col(f"`{page_id}`").alias("page_id"), F.col(f"`{url}`").alias("url"), F.col(f"`{html}`").alias("source"))
     winners = host_paths(given, url="url", html="source").withColumnRenamed("host", "of_host")
-    joined = given.withColumn("host", host_of("url")).join(winners, F.col("host") == F.col("of_host"), "left")
+    # a host may have a third of all pages: its winners are copied to every salt
+    winners = winners.withColumn("of_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = given.withColumn("host", host_of("url")).withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    joined = salted.join(winners, (F.col("host") == F.col("of_host")) & (F.col("salt") == F.col("of_salt")), "left")
     joined = joined.select("page_id", "url", "source", "paths")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
