@@ -20,8 +20,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BATCH_BYTES = 16 << 20  # text bytes worked on at a time
-CACHE_PIECES = 1_200_000  # pieces remembered by one Python worker before it starts afresh
+BATCH_BYTES = 8 << 20  # text bytes worked on at a time
+CACHE_PIECES = 400_000  # pieces remembered by one Python worker before it starts afresh
 CALL_PIECES = 500
 
 # white space in every engine, then anything else; \x1c-\x1f are spaces to Python only

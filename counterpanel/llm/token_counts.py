@@ -29,7 +29,7 @@ def count_tokens(
 
     Rows are neither shuffled nor grouped, so repeated rows and ties stay as
     they are and a hot source has no effect. Inside a task the texts are worked
-    on in groups of about 16 MB whatever the batch holds; a longer text is a
+    on in groups of about 8 MB whatever the batch holds; a longer text is a
     group of its own and is cut at white space like any other. Other columns of
     the input are not read, whatever their names.
     """
