@@ -52,8 +52,8 @@ def _require_supported(outcomes: DataFrame, calendar: DataFrame, panel: DataFram
     absent = outcomes.select("outcome").join(calendar, "outcome", "left_anti")
     if absent.isEmpty():
         return
-    # for an error message a few names will do
-    unknown = checks.unsupported_outcomes(absent, panel).limit(20).collect()
+    # requested outcomes only, so no more rows than the request has
+    unknown = checks.unsupported_outcomes(absent, panel).collect()
     if unknown:
         names = [r["outcome"] for r in unknown]
         raise ValueError(checks.unsupported_message(names, unknown[0]["supported"]))

@@ -67,8 +67,17 @@ def load_or_build(
 ) -> DataFrame:
     """Read the table at ``path``, building and writing it first if absent.
 
-    A write that was cut short leaves no _SUCCESS marker and is built again.
+    Whatever exists at the path is read and left as it is: CSV if the path says
+    so, in the builder's schema, else parquet. The one exception is a folder that
+    a write cut short has left unfinished, which is built again.
     """
-    if not path_exists(spark, f"{path}/_SUCCESS"):
-        builder(spark).write.mode("overwrite").parquet(path)
+    unfinished = path_exists(spark, f"{path}/_temporary") and not path_exists(spark, f"{path}/_SUCCESS")
+    if unfinished or not path_exists(spark, path):
+        built = builder(spark)
+        if path.endswith(".csv"):
+            built.write.mode("overwrite" if unfinished else "error").csv(path, header=True, nullValue="NA")
+        else:
+            built.write.mode("overwrite" if unfinished else "error").parquet(path)
+    if path.endswith(".csv"):
+        return read_csv(spark, path, builder(spark).schema)
     return spark.read.parquet(path)

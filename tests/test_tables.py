@@ -49,6 +49,21 @@ def test_source_is_built_once(spark, tmp_path):
     assert len(calls) == 1
 
 
+def test_an_existing_table_is_never_overwritten(spark, tmp_path):
+    def other(s):
+        return s.createDataFrame([("z", 9.0)], "unit string, y double")
+
+    csv = tmp_path / "index.csv"
+    csv.write_text("unit,y\na,1.5\nb,NA\n")
+    assert [tuple(r) for r in src.load_or_build(spark, str(csv), other).collect()] == [("a", 1.5), ("b", None)]
+    assert csv.read_text() == "unit,y\na,1.5\nb,NA\n"
+    folder = tmp_path / "unmarked"
+    spark.range(3).write.parquet(str(folder))
+    (folder / "_SUCCESS").unlink()
+    (folder / "._SUCCESS.crc").unlink(missing_ok=True)
+    assert src.load_or_build(spark, str(folder), other).count() == 3
+
+
 @pytest.fixture(scope="module")
 def result(spark):
     from tests.conftest import rows_of
