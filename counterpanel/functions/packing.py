@@ -22,3 +22,10 @@ def split_roles(table: pa.Table) -> tuple[pa.Table, pa.Table]:
     donors = table.filter(pc.equal(role, "control"))
     treated = table.filter(pc.equal(role, "treated"))
     return donors, treated
+
+
+def recentred(X: np.ndarray, Y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both less the donors' median at each period. Weights sum to one, so no
+    fit changes, and a donor far from the rest does not move the others."""
+    level = np.median(X, axis=0)
+    return X - level, Y - level

@@ -3,7 +3,8 @@
 Both functions minimise ``w'Gw / 2 - c'w`` over ``w >= 0, sum(w) = 1``. The
 working support only ever gains a column with a strictly negative reduced
 gradient, so it stays affinely independent even when G is rank deficient
-(more donors than periods, duplicated donors).
+(more donors than periods, duplicated donors). Sizes and tolerances are taken
+per donor, so one donor far larger than the rest does not hide the others.
 """
 
 from __future__ import annotations
@@ -19,10 +20,22 @@ def _on_face(G: np.ndarray, rhs: np.ndarray, support: list[int]) -> np.ndarray:
     K = np.ones((m + 1, m + 1))
     K[:m, :m] = G[np.ix_(support, support)]
     K[m, m] = 0.0
+    own = np.sqrt(np.diag(K)[:m])
+    least = own[own > 0].min() if (own > 0).any() else 1.0
+    unit = np.append(1.0 / np.where(own > 0, own, least), least)
+    K *= np.outer(unit, unit)
+    rhs = (rhs.T * unit).T
     try:
-        return np.linalg.solve(K, rhs)
+        z = np.linalg.solve(K, rhs)
     except np.linalg.LinAlgError:
-        return np.linalg.lstsq(K, rhs, rcond=None)[0]
+        z = np.linalg.lstsq(K, rhs, rcond=None)[0]
+    return (z.T * unit).T
+
+
+def rounding(own: np.ndarray, fitted: np.ndarray, c: np.ndarray, cw: np.ndarray) -> np.ndarray:
+    """Reduced gradients below this are noise, by donor: ``own`` and ``fitted``
+    are the lengths of the donors' and of the fitted series."""
+    return REL_TOL * ((own + fitted) * fitted + np.abs(c) + np.abs(cw))
 
 
 def simplex_ls(
@@ -30,8 +43,7 @@ def simplex_ls(
 ) -> tuple[np.ndarray, list[int]]:
     """Optimal weights and their support; ``start`` is any feasible point."""
     n = len(c)
-    scale = max(float(np.abs(np.diag(G)).max()), float(np.abs(c).max()), 1e-300)
-    G, c = G / scale, c / scale
+    own = np.sqrt(np.diag(G))
     if start is None:
         w = np.zeros(n)
         w[int(np.argmin(np.diag(G) / 2 - c))] = 1.0
@@ -39,6 +51,7 @@ def simplex_ls(
         w = start.copy()
     support = [int(j) for j in np.flatnonzero(w)]
     added = -1
+    barred: list[int] = []
     for _ in range(20 * n + 100):
         while True:
             z = _on_face(G, np.append(c[support], 1.0), support)[:-1]
@@ -53,16 +66,20 @@ def simplex_ls(
             step = float(ratio.min())
             blocked = np.array(support)[falling][ratio <= step]
             if step == 0.0 and added in blocked:
-                return w, [j for j in support if w[j] > 0]
+                barred.append(added)  # its gain was rounding
             w[support] = here + step * (z - here)
             w[blocked] = 0.0
             support = [j for j in support if j not in set(blocked.tolist())]
-        reduced = G @ w - c
+        product = G @ w
+        fitted = np.sqrt(max(float(w @ product), 0.0))
+        reduced = product - c
         reduced -= reduced @ w
-        reduced[support] = 0.0
-        added = int(np.argmin(reduced))
-        if reduced[added] >= -REL_TOL:
+        reduced[support + barred] = 0.0
+        entering = reduced < -rounding(own, fitted, c, c @ w)
+        if not entering.any():
             break
+        steepest = np.divide(reduced, own + fitted, out=np.zeros(n), where=entering & (own + fitted > 0))
+        added = int(np.argmin(steepest))
         support.append(added)
     return w, support
 
@@ -77,7 +94,7 @@ def simplex_path(
     returns the row numbers at which such a run starts or ends.
     """
     out = np.zeros((len(thetas), len(c0)))
-    scale = max(float(np.abs(np.diag(G)).max()), float(np.abs(c0).max()), 1e-300)
+    own = np.sqrt(np.diag(G))
     ends: list[int] = []
     w, at = None, 0
     while at < len(thetas):
@@ -90,10 +107,12 @@ def simplex_path(
         rhs[:m, 0], rhs[:m, 1], rhs[m, 0] = c0[support], -c1[support], 1.0
         line = _on_face(G, rhs, support)
         path = line[:m, 0] + rest[:, None] * line[:m, 1]
-        reduced = path @ G[support] - c0 + rest[:, None] * c1
-        reduced += (line[m, 0] + rest * line[m, 1])[:, None]
+        product, c = path @ G[support], c0 - rest[:, None] * c1
+        fitted = np.sqrt(np.maximum((product[:, support] * path).sum(axis=1), 0.0))[:, None]
+        noise = rounding(own, fitted, c, (c[:, support] * path).sum(axis=1)[:, None])
+        reduced = product - c + (line[m, 0] + rest * line[m, 1])[:, None]
         reduced[:, support] = 0.0
-        good = (path > 0).all(axis=1) & (reduced >= -REL_TOL * scale).all(axis=1)
+        good = (path > 0).all(axis=1) & (reduced >= -noise).all(axis=1)
         run = len(rest) if good.all() else int(np.argmin(good))
         if run:
             out[at + 1 : at + 1 + run, support] = path[:run]

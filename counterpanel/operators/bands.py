@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from counterpanel.functions.packing import matrix, split_roles
+from counterpanel.functions.packing import matrix, recentred, split_roles
 from counterpanel.functions.scalars import round_to_step, step_decimals
 from counterpanel.functions.session import spread, written_table
 from counterpanel.functions.simplex import simplex_path
@@ -90,12 +90,13 @@ def _each_period(table: pa.Table, step: float) -> Iterator[tuple]:
     ks = np.asarray(treated["ks"][0].as_py(), dtype=np.int64)
     thetas = np.round(ks * step, step_decimals(step))
     t0 = table["T0"][0].as_py()
-    pre = X[:, :t0]
-    G, c = pre @ pre.T, pre @ y[:t0]
+    Z, v = recentred(X, y)
+    pre = Z[:, :t0]
+    G, c = pre @ pre.T, pre @ v[:t0]
     for idx in range(table["first_post"][0].as_py(), table["last_post"][0].as_py() + 1):
-        x, value = X[:, idx - 1], y[idx - 1]
-        W, ends = simplex_path(G + np.outer(x, x), c + x * value, x, thetas)
-        yield idx, ks, W, ends, X, y[:t0], value - thetas
+        x = Z[:, idx - 1]
+        W, ends = simplex_path(G + np.outer(x, x), c + x * v[idx - 1], x, thetas)
+        yield idx, ks, W, ends, X, y[:t0], y[idx - 1] - thetas
 
 
 def _task_rows(tasks: DataFrame, packed: DataFrame) -> DataFrame:

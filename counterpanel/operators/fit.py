@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from counterpanel.functions.packing import matrix, split_roles
+from counterpanel.functions.packing import matrix, recentred, split_roles
 from counterpanel.functions.session import spread
 from counterpanel.functions.simplex import simplex_ls
 
@@ -152,7 +152,7 @@ def solve_weights(
         out: dict[str, list] = {"study_id": [], "treated": [], "fit_id": [], "unit": [], "w": []}
         if len(donors) and len(treated) and t0 >= 2 and t1 >= 1:
             labels = block_labels(t0, t1, folds, anchor)
-            X, Y = matrix(donors["xs"]), matrix(treated["xs"])
+            X, Y = recentred(matrix(donors["xs"]), matrix(treated["xs"]))
             null = Y - theta0 * (labels == POST_BLOCK)
             gram, cross = block_products(X, X, labels), block_products(null, X, labels)
             pre = [b for b in gram if b != POST_BLOCK]
@@ -238,41 +238,32 @@ def weights_table(study: DataFrame, packed: DataFrame, weights: DataFrame) -> Da
     )
 
 
-def optimality(study: DataFrame, gram: DataFrame, packed: DataFrame, weights: DataFrame) -> DataFrame:
-    """Certificate of the main fit from the cross-products alone.
+def optimality(study: DataFrame, packed: DataFrame, weights: DataFrame, paths: DataFrame) -> DataFrame:
+    """Certificate of the main fit from its gaps, one pass over the donors.
 
-    With g = G w - c, w is optimal on the simplex iff w >= 0, sum(w) = 1 and
-    min(g) >= w'g. ``slack`` is min(g) - w'g relative to the size of G.
+    With gaps u and synthetic values s before treatment, w is optimal on the
+    simplex iff w >= 0, sum(w) = 1 and no donor x has u.(x - s) > 0. ``slack`` is
+    the least -u.(x - s) / (|x - s| |s + u|): each donor is measured on its own
+    scale. ``paths`` is ``counterfactual`` of the weights.
     """
-    pre = (
-        gram.filter(F.col("block") != POST_BLOCK)
-        .groupBy("batch_id", "i", "j")
-        .agg(F.sum("g").alias("g"))
-    )
-    units = packed.select("batch_id", F.col("unit").alias("i"), "role")
-    pre = pre.join(units, ["batch_id", "i"])
-    pairs = pre.filter(F.col("role") == "control").select("batch_id", "i", "j", "g")
-    both = pairs.unionByName(
-        pairs.filter("i <> j").select("batch_id", F.col("j").alias("i"), F.col("i").alias("j"), "g")
-    )
-    main = weights.filter(F.col("fit_id") == "main").select("study_id", "batch_id", "unit", "w")
-    product = (
-        both.join(main.withColumnRenamed("unit", "j"), ["batch_id", "j"])
-        .groupBy("study_id", "batch_id", "i")
-        .agg(F.sum(F.col("g") * F.col("w")).alias("gw"), F.max(F.abs("g")).alias("size"))
-    )
-    cross = pre.filter(F.col("role") == "treated").select(
-        "batch_id", F.col("i").alias("treated"), F.col("j").alias("i"), F.col("g").alias("c")
-    )
-    gradient = (
-        product.join(study.select("study_id", "treated"), "study_id")
-        .join(cross, ["batch_id", "treated", "i"])
-        .join(main.select("study_id", F.col("unit").alias("i"), "w"), ["study_id", "i"], "left")
-        .withColumn("grad", F.col("gw") - F.col("c"))
-        .withColumn("w", F.coalesce("w", F.lit(0.0)))
+    cell = F.struct("period_idx", F.col("diff").alias("u"), F.col("synth_c").alias("s"))
+    before = paths.filter((F.col("fit_id") == "main") & (F.col("period_idx") <= F.col("T0")))
+    fitted = before.groupBy("study_id").agg(F.sort_array(F.collect_list(cell)).alias("cells"))
+    rows = (
+        packed.filter(F.col("role") == "control")
+        .join(study.select("study_id", "batch_id"), "batch_id")
+        .join(fitted, "study_id")
+        .withColumn("xs", F.slice("xs", 1, F.col("T0")))
     )
-    return gradient.groupBy("study_id").agg(
-        F.sum("w").alias("sum_w"),
-        F.min("w").alias("min_w"),
-        ((F.min("grad") - F.sum(F.col("w") * F.col("grad"))) / F.max("size")).alias("slack"),
+
+    def total(term) -> Column:
+        return F.aggregate(F.zip_with("xs", "cells", term), F.lit(0.0), lambda acc, v: acc + v)
+
+    gain = total(lambda x, c: c["u"] * (x - c["s"]))
+    apart = total(lambda x, c: (x - c["s"]) * (x - c["s"]))
+    size = total(lambda x, c: (c["s"] + c["u"]) * (c["s"] + c["u"]))
+    slack = F.coalesce(F.try_divide(-gain, F.sqrt(apart) * F.sqrt(size)), F.lit(0.0))
+    sums = weights.filter(F.col("fit_id") == "main").groupBy("study_id").agg(
+        F.sum("w").alias("sum_w"), F.min("w").alias("min_w")
     )
+    return sums.join(rows.groupBy("study_id").agg(F.min(slack).alias("slack")), "study_id")

@@ -19,12 +19,13 @@ from pyspark.sql import functions as F
 
 from counterpanel.functions.packing import matrix
 from counterpanel.functions.session import spread, written_table
+from counterpanel.functions.simplex import REL_TOL
 from counterpanel.operators.fit import POST_BLOCK, fold_of, solve_weights
 from counterpanel.operators.series import counterfactual
 
 MAX_POOL = 512
 MAX_CELLS = 4_000_000
-PRICE_TOL = 1e-10
+PRICE_TOL = 4 * REL_TOL  # so that what a fit on the working set leaves out is not priced in again
 ADDED_PER_ROUND = 32  # per fit
 TASK_CELLS = 1_000_000
 
@@ -60,11 +61,12 @@ def closest_donors(study: DataFrame, packed: DataFrame, k: int) -> DataFrame:
     )
 
 
-def entering_donors(study: DataFrame, packed: DataFrame, residuals: DataFrame, k: int) -> DataFrame:
+def entering_donors(study: DataFrame, packed: DataFrame, residuals: DataFrame, working: DataFrame, k: int) -> DataFrame:
     """Donors of the whole pool that would lower some fit's squared error.
 
     ``residuals`` is a stored table ``study_id, fit_id, us, synths``: gaps and
-    synthetic values of a fit, zero outside its periods. Donors are hashed into
+    synthetic values of a fit, zero outside its periods; donors in ``working``
+    are passed over before the k best are taken. Donors are hashed into
     buckets and fits into chunks; a task multiplies one bucket with one chunk.
     """
     fits = residuals.join(study.select("study_id", "batch_id", "n_donors"), "study_id")
@@ -75,6 +77,7 @@ def entering_donors(study: DataFrame, packed: DataFrame, residuals: DataFrame, k
         .alias("buckets"),
     )
     keys = ["batch_id", "bucket", "chunk"]
+    known = working.groupBy("study_id").agg(F.collect_list("unit").alias("known"))
     donors = (
         packed.filter(F.col("role") == "control")
         .join(sizes, "batch_id")
@@ -84,9 +87,10 @@ def entering_donors(study: DataFrame, packed: DataFrame, residuals: DataFrame, k
     )
     targets = (
         fits.join(sizes, "batch_id")
+        .join(known, "study_id")
         .withColumn("bucket", F.explode(F.sequence(F.lit(0), F.col("buckets") - 1)))
         .withColumn("chunk", F.pmod(F.xxhash64("study_id", "fit_id"), F.col("chunks")).cast("int"))
-        .select(*keys, "study_id", "fit_id", "us", "synths")
+        .select(*keys, "study_id", "fit_id", "us", "synths", "known")
     )
 
     def price(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -94,11 +98,16 @@ def entering_donors(study: DataFrame, packed: DataFrame, residuals: DataFrame, k
         if len(left) and len(right):
             X, U, S = matrix(left["xs"]), matrix(right["us"]), matrix(right["synths"])
             gains = U @ X.T - (S * U).sum(axis=1)[:, None]
-            sizes = ((S**2 + U**2).sum(axis=1))[:, None] + (X**2).sum(axis=1)
+            own, fitted, gap = (np.sqrt((M**2).sum(axis=1)) for M in (X, S, U))
+            reach = own + fitted[:, None]
+            least = PRICE_TOL * reach * (fitted + gap)[:, None]
             units = left["unit"].to_pylist()
-            names = zip(right["study_id"].to_pylist(), right["fit_id"].to_pylist())
-            for (sid, fid), gain, size in zip(names, gains, sizes):
-                better = np.flatnonzero(gain > size * PRICE_TOL)
+            place = {unit: at for at, unit in enumerate(units)}
+            names = zip(right["study_id"].to_pylist(), right["fit_id"].to_pylist(), right["known"].to_pylist())
+            for (sid, fid, known_units), gain, far, noise in zip(names, gains, reach, least):
+                gain[[place[u] for u in known_units if u in place]] = 0.0
+                better = np.flatnonzero(gain > noise)
+                gain[better] /= far[better]
                 # a bucket's k best hold its share of the pool's k best
                 best = better[np.argsort(-gain[better], kind="stable")[:k]]
                 out["study_id"] += [sid] * len(best)
@@ -153,10 +162,7 @@ def price_out(
         rows = working_rows(open_study, packed, working)
         residuals = written_table(residuals_of(open_study, rows), "residuals")
         entering = written_table(
-            entering_donors(open_study, packed, residuals, per_round).join(
-                working, ["study_id", "unit"], "left_anti"
-            ),
-            "entering",
+            entering_donors(open_study, packed, residuals, working, per_round), "entering"
         )
         touched = entering.select("study_id").distinct()
         done = working.join(touched, "study_id", "left_anti")

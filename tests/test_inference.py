@@ -7,6 +7,8 @@ import pytest
 
 from counterpanel import estimate
 from counterpanel.functions.simplex import simplex_ls
+from counterpanel.operators.fit import optimality
+from counterpanel.operators.series import counterfactual
 from tests.conftest import month
 
 T0, T1, J = 24, 5, 6
@@ -157,6 +159,25 @@ def test_wide_pools_give_the_same_results(result):
                 assert (x[c] == y[c]).all(), c
 
 
+def test_certificate_rejects_wrong_weights_beside_a_huge_donor(spark):
+    rng = np.random.default_rng(5)
+    X = rng.normal(size=(4, 24)).cumsum(axis=1)
+    X[3] *= 1e6
+    y = 0.3 * X[0] + 0.7 * X[1]
+    names = ["a", "b", "c", "huge"]
+    series_of = [("k", u, "control", 20, 4, x.tolist()) for u, x in zip(names, X)] + [("k", "y", "treated", 20, 4, y.tolist())]
+    packed = spark.createDataFrame(series_of, "batch_id string, unit string, role string, T0 int, T1 int, xs array<double>")
+    tried = {"right": {"a": 0.3, "b": 0.7}, "vertex": {"b": 1.0}, "other": {"c": 1.0}, "far": {"huge": 1.0}}
+    study = spark.createDataFrame([(k, "k") for k in tried], "study_id string, batch_id string")
+    weights = spark.createDataFrame(
+        [(k, "k", "y", "main", u, w) for k, own in tried.items() for u, w in own.items()],
+        "study_id string, batch_id string, treated string, fit_id string, unit string, w double",
+    )
+    slack = {r["study_id"]: r["slack"] for r in optimality(study, packed, weights, counterfactual(packed, weights)).collect()}
+    assert slack["right"] > -1e-9
+    assert all(slack[k] < -1e-3 for k in ("vertex", "other", "far"))
+
+
 def test_cross_products_do_not_depend_on_buckets(spark, data):
     from counterpanel.operators import fit
     from tests.test_inference import T0 as t0, T1 as t1

@@ -65,6 +65,17 @@ def test_path_equals_separate_solves(seed, j):
         assert np.allclose(w @ X, direct @ X, atol=1e-6)
 
 
+@pytest.mark.parametrize("power", [0, 3, 6, 8])
+@pytest.mark.parametrize("seed", range(8))
+def test_one_donor_far_larger_than_the_rest(seed, power):
+    X, _ = problem(seed, 30, 12)
+    y = 0.3 * X[2] + 0.7 * X[6]
+    X[9] *= 10.0**power
+    w, support = simplex_ls(X @ X.T, X @ y)
+    assert np.allclose(w[[2, 6]], [0.3, 0.7], atol=1e-9)
+    assert abs(w.sum() - 1) < 1e-12
+
+
 def test_t_quantiles():
     assert math.isclose(t_quantile(0.95, 1), 6.313751514675041)
     for df, value in {2: 2.919985580, 3: 2.353363435, 4: 2.131846786, 9: 1.833112933, 10: 1.812461123}.items():

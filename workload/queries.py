@@ -277,7 +277,8 @@ def sc_weights_two_donor(spark, sf_dir):
 @query
 def sc_weights_certificate(spark, sf_dir):
     s = Setup(spark, sf_dir, shifts=(0, 4))
-    checked = fit.optimality(s.study, fit.gram_matrix(s.packed), s.packed, s.weights("main"))
+    weights = s.weights("main")
+    checked = fit.optimality(s.study, s.packed, weights, s.paths(weights))
     return s.tagged(checked).select(
         *TAGS,
         (F.abs(F.col("sum_w") - 1) < 1e-9).alias("sums_to_one"),
