@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from counterpanel.functions.session import written_table
-from counterpanel.llm.components import connected_components
+from counterpanel.llm.components import stars
 from counterpanel.llm.shingles import WIDTH, shingle_sets
 
 PERCENT = 80  # Jaccard threshold
@@ -285,20 +285,15 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     postings = written_table(_postings(nodes), "postings")
 
     first = postings.filter("rep IS NOT NULL").select(F.col("rep").alias("a"), F.col("node").alias("b"))
-    links = roots = None
+    roots = spark.createDataFrame([], "node bigint, root bigint")  # of the nodes that are not their component's smallest
     for turn in range(3):
-        if turn == 0:
-            pairs = _passing(first, nodes)
-        else:
-            pairs = _between(postings, nodes, roots, PIVOTS if turn == 1 else None)
+        pairs = _passing(first, nodes) if turn == 0 else _between(postings, nodes, roots, PIVOTS if turn == 1 else None)
         pairs = written_table(pairs, "pairs")
         if pairs.isEmpty():
-            if turn == 0:
-                roots = spark.createDataFrame([], "node bigint, root bigint")
             continue
-        found = _verified(pairs, nodes, given, shared, cuts, width)
-        links = written_table(found if links is None else found.unionByName(links), "links")
-        roots = written_table(connected_components(links), "roots")
+        found = written_table(_verified(pairs, nodes, given, shared, cuts, width), "links")
+        # stars stand for the links before them
+        roots = stars(found.unionByName(roots.toDF("a", "b")))
 
     named = nodes.select("fp", "node", "first_id", "class_rows").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = named.groupBy("root").agg(F.min("first_id").alias("component"))
@@ -332,12 +327,15 @@ def _between(postings: DataFrame, nodes: DataFrame, roots: DataFrame, pivots: in
     ``pivots`` nodes of the list, or with all."""
     labelled = postings.select("gram", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     # lists of two nodes were settled by the first round, lists in one component need nothing
-    lists = labelled.groupBy("gram").agg(F.count("*").alias("len"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    lists = lists.filter("len > 2 AND lo <> hi")
+    by_root = labelled.groupBy("gram", "root").agg(F.count("*").alias("nodes"))
+    lists = by_root.groupBy("gram").agg(
+        F.sum("nodes").alias("len"), F.count("*").alias("roots"), F.max(F.struct("nodes", "root")).alias("most")
+    )
+    lists = lists.filter("len > 2 AND roots > 1").select("gram", "len", F.col("most.root").alias("main"))
 
     def rows(chosen: DataFrame, *more: str) -> DataFrame:
-        mine = labelled.join(chosen.select("gram"), "gram", "left_semi").join(nodes.select("node", "parity", *more), "node")
-        return mine.select("gram", "node", "n", "root", "parity", *more)
+        mine = labelled.join(chosen.select("gram", "main"), "gram").join(nodes.select("node", "parity", *more), "node")
+        return mine.select("gram", "node", "n", "root", "parity", *more, "main")
 
     def meet(mine: DataFrame, other: DataFrame, extra) -> DataFrame:
         allowed = _may_link(F.col("n"), F.col("nb"), F.col("parity"), F.col("parity_b"))
@@ -345,21 +343,24 @@ def _between(postings: DataFrame, nodes: DataFrame, roots: DataFrame, pivots: in
         return met.select("node", "n", "b", "nb")
 
     names = ["g", "b", "nb", "root_b", "parity_b", "prefix_b"]
-    once = F.col("node") < F.col("b")
+    # a pair has an end outside the component that holds most of its list: only
+    # such nodes look for partners, and two of them meet once
+    outside = F.col("root") != F.col("main")
+    once = (F.col("root_b") == F.col("main")) | (F.col("node") < F.col("b"))
     long = lists.filter(f"len > {PIVOT_LISTS}")
     if pivots is not None:
         mine = rows(long)
-        other = mine.toDF(*names[:5])
+        other = mine.drop("main").toDF(*names[:5])
         slot = F.pmod(F.xxhash64("b"), F.lit(pivots))
         other = other.groupBy("g", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("b", F.lit(1)).alias("h"), *names[1:5])).alias("p"))
         met = meet(mine, other.select("g", "p.b", "p.nb", "p.root_b", "p.parity_b"), F.lit(True))
     else:
         mine = rows(lists.filter(f"len <= {PIVOT_LISTS}"))
-        met = meet(mine, mine.toDF(*names[:5]), once)
+        met = meet(mine.filter(outside), mine.drop("main").toDF(*names[:5]), once)
         # in long lists a pair is made where its first common n-gram is, once
         mine = rows(long, "prefix")
         first = F.element_at(F.array_intersect("prefix", "prefix_b"), 1) == F.col("gram")
-        met = met.unionByName(meet(mine, mine.toDF(*names), once & first))
+        met = met.unionByName(meet(mine.filter(outside), mine.drop("main").toDF(*names), once & first))
     swap = F.col("node") < F.col("b")
     return met.select(
         F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"),
