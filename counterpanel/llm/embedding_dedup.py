@@ -4,8 +4,11 @@ Normalised vectors are cut in two halves, each half has its own codebook, and
 pairs of codewords form a grid of cells. A vector lives in its nearest cell and,
 as a query, visits cells in order of the sum of the two half distances (the
 multi-sequence order); the number of visits is the smallest that reaches the
-target recall on a sample searched exhaustively. Candidates are verified by
-cosine in double precision. Equal vectors are one node with a weight.
+target recall for query vectors that are compared with all vectors. Queries are
+added until enough of them have a link. If MAX_VISITS do not reach the target, or
+links are too few to tell, all vectors become queries and the search is exact.
+Candidates are verified by cosine in double precision. Equal vectors are one node
+with a weight.
 """
 
 from __future__ import annotations
@@ -21,12 +24,16 @@ from pyspark.sql import functions as F
 from counterpanel.functions.session import written_table
 from counterpanel.llm.components import connected_components
 
-SAMPLE = 16384  # vectors that the codebooks and the number of visits are fitted on, at most
+SAMPLE = 16384  # vectors that the codebooks are fitted on, at most
 CELL_ROWS = 16  # vectors per cell that the grid is sized for
 MAX_WORDS = 1024  # codewords per half
 MAX_VISITS = 64
 TARGET_RECALL = 0.99
 BLOCK_ROWS = 2048  # side of a block of comparisons; larger cells are split into several
+QUERY_VALUES = 1 << 18  # vector components of the first block of queries
+MAX_QUERY_VALUES = 1 << 22  # of the later ones, which double
+LINKED = 200  # queries with a link that the number of visits is fitted on, at least
+HASHES = 1 << 40  # places of nodes in the order of queries
 
 
 def unit(raw: np.ndarray) -> np.ndarray:
@@ -82,28 +89,26 @@ class MultiIndex:
         return np.take_along_axis(order[0][:, i] * n_words + order[1][:, j], best, 1).astype(np.int64)
 
 
-def fit_index(sample: np.ndarray, n_vectors: int, threshold: float, seed: int = 7) -> MultiIndex:
-    """Codebooks and visits from a sample; ``n_vectors`` sizes the grid."""
+def fit_codebooks(sample: np.ndarray, n_vectors: int, seed: int = 7) -> MultiIndex:
+    """Codebooks from a sample; ``n_vectors`` sizes the grid. One visit only."""
     rng = np.random.default_rng(seed)
     k = int(np.clip(round((n_vectors / CELL_ROWS) ** 0.5), 1, min(MAX_WORDS, max(1, len(sample)))))
     half = sample.shape[1] // 2
-    index = MultiIndex(_codebook(sample[:, :half], k, rng), _codebook(sample[:, half:], k, rng), 1)
-    order = index.cells(sample, MAX_VISITS)
-    found = np.zeros(order.shape[1], np.int64)
-    total = 0
-    for lo in range(0, len(sample), 1024):
-        a, b = np.nonzero(sample[lo : lo + 1024] @ sample.T >= threshold)
-        a += lo
-        a, b = a[a < b], b[a < b]
-        total += len(a)
-        # a pair is met when either vector visits the other's cell
-        ahead = order[a] == order[b, 0][:, None]
-        back = order[b] == order[a, 0][:, None]
-        rank = np.where((ahead | back).any(1), (ahead | back).argmax(1), -1)
-        found += np.bincount(rank[rank >= 0], minlength=len(found))
-    reached = np.flatnonzero(np.cumsum(found) >= TARGET_RECALL * total)
-    visits = max(4, int(reached[0]) + 1) if total and len(reached) else (4 if not total else MAX_VISITS)
-    return MultiIndex(index.left, index.right, visits)
+    return MultiIndex(_codebook(sample[:, :half], k, rng), _codebook(sample[:, half:], k, rng), 1)
+
+
+def visits_needed(tally: np.ndarray) -> int | None:
+    """The fewest visits that reach the target recall; None if none of them do.
+
+    ``tally`` has a row per query with a link, and as columns its links by the
+    visit that meets them first, those that no visit meets last. The target
+    holds for all links together and for the mean of the queries' own recalls,
+    so that neither large nor small groups decide alone.
+    """
+    met = np.cumsum(tally[:, :-1], axis=1)
+    total = tally.sum(1)
+    reached = (met.sum(0) >= TARGET_RECALL * total.sum()) & ((met / total[:, None]).mean(0) >= TARGET_RECALL)
+    return max(4, int(np.flatnonzero(reached)[0]) + 1) if reached.any() else None
 
 
 def _links(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -142,7 +147,9 @@ def near_duplicates(
     link with nothing; vectors of different lengths are not compared. Rows with
     equal vectors are linked to each other. An id that occurs in several rows
     names them all; n_links counts rows. Other columns are not read. Cells and
-    copies are never capped: large cells are compared block by block.
+    copies are never capped: large cells are compared block by block. Links are
+    found with a recall of TARGET_RECALL, measured on queries against all vectors,
+    or all of them, by comparing all pairs, where that cannot be shown.
     """
     spark = vectors.sparkSession
     v = F.col(f"`{embedding}`").cast("array<double>")
@@ -183,22 +190,116 @@ def near_duplicates(
     )
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
 def _linked(nodes: DataFrame, n: int, threshold: float) -> DataFrame:
     """(kind, node, value): kind 0, rows linked to a node; kind 1, links that
     span the components of one block."""
     picked = nodes.select("v", "key").orderBy("key").limit(SAMPLE).select("v").collect()
-    index = fit_index(unit(np.array([r["v"] for r in picked])), n, threshold)
+    sample = unit(np.array([r["v"] for r in picked]))
+    index = fit_codebooks(sample, n)
+    dim = sample.shape[1]
+    place = F.pmod(F.xxhash64(F.lit(1), "key"), F.lit(HASHES))
+    searched, tallies, lo, rows, fitting = [], [], 0, max(1, QUERY_VALUES // dim), True
+    while lo < HASHES:
+        hi = min(HASHES, lo + -(-HASHES * rows // n))
+        queries = nodes.filter((place >= lo) & (place < hi)).select("node", "rows", "v").toArrow().combine_chunks()
+        lo, rows = hi, min(2 * rows, max(1, MAX_QUERY_VALUES // dim))
+        if not len(queries):
+            continue
+        searched.append(written_table(_searched(nodes, queries, index, threshold, fitting), "vector-search"))
+        if fitting:
+            tallies.append(_tally(searched[-1].filter("kind > 1")))
+            tally = np.concatenate(tallies)
+            if len(tally) >= LINKED:
+                visits = visits_needed(tally)
+                if visits is not None:
+                    return _indexed(nodes, MultiIndex(index.left, index.right, visits), threshold)
+                fitting = False
+    # every vector was a query
+    found = searched[0]
+    for more in searched[1:]:
+        found = found.unionByName(more)
+    return found.filter("kind < 2")
+
+
+def _tally(found: DataFrame) -> np.ndarray:
+    """A row per query with links (a block's number at most), see ``visits_needed``."""
+    counts = found.groupBy("node", "kind").agg(F.sum("value").alias("n")).toArrow()
+    query, at = np.unique(counts["node"].to_numpy(), return_inverse=True)
+    tally = np.zeros((len(query), MAX_VISITS + 1), np.int64)
+    tally[at, counts["kind"].to_numpy() - 2] = counts["n"].to_numpy()
+    return tally
+
+
+def _searched(nodes: DataFrame, queries: pa.Table, index: MultiIndex, threshold: float, fitting: bool) -> DataFrame:
+    """The queries compared with all nodes: (kind, node, value).
+
+    Kinds 0 and 1 as in ``_linked``, for pairs whose smaller node is the query.
+    If ``fitting``, kind 2 + r has a query's links that r visits do not meet and
+    r + 1 do; r is MAX_VISITS for those that none do.
+    """
+    qn, qr = queries["node"].to_numpy(), queries["rows"].to_numpy()
+    qx = unit(_matrix(queries["v"].combine_chunks()))
+    home = np.concatenate([index.cells(qx[k : k + 512], 1)[:, 0] for k in range(0, len(qx), 512)])
+
+    def met_at(i: np.ndarray, x: np.ndarray, order: np.ndarray) -> np.ndarray:
+        """Visit that meets query ``i`` and a vector first, from either end."""
+        own = index.cells(qx[np.unique(i)], MAX_VISITS)[np.unique(i, return_inverse=True)[1]]
+        out = np.full(len(i), MAX_VISITS, np.int64)
+        for hit in (own == order[x, 0][:, None], order[x] == home[i][:, None]):
+            out = np.minimum(out, np.where(hit.any(1), hit.argmax(1), MAX_VISITS))
+        return out
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, BLOCK_ROWS):
+                part = batch.slice(start, BLOCK_ROWS)
+                mn, mr, mx = part.column(0).to_numpy(), part.column(1).to_numpy(), unit(_matrix(part.column(2)))
+                kind, node, value = [], [], []
+                for at in range(0, len(qx), BLOCK_ROWS):
+                    i, j = _links(qx[at : at + BLOCK_ROWS], mx, threshold)
+                    i += at
+                    i, j = i[qn[i] != mn[j]], j[qn[i] != mn[j]]
+                    if fitting and len(i):
+                        linked, x = np.unique(j, return_inverse=True)
+                        order = index.cells(mx[linked], MAX_VISITS)
+                        for lo in range(0, len(i), 65536):
+                            own = i[lo : lo + 65536]
+                            rank = met_at(own, x[lo : lo + 65536], order)
+                            code, n = np.unique(own * (MAX_VISITS + 1) + rank, return_counts=True)
+                            kind.append(code % (MAX_VISITS + 1) + 2)
+                            node.append(qn[code // (MAX_VISITS + 1)])
+                            value.append(n)
+                    once = qn[i] < mn[j]
+                    i, j = i[once], j[once]
+                    for ids, add in ((qn[i], mr[j]), (mn[j], qr[i])):
+                        got, where = np.unique(ids, return_inverse=True)
+                        kind.append(np.zeros(len(got), np.int64))
+                        node.append(got)
+                        value.append(np.bincount(where, weights=add, minlength=len(got)).astype(np.int64))
+                    a, b = _forest(qn[i], mn[j])
+                    kind.append(np.ones(len(a), np.int64))
+                    node.append(a)
+                    value.append(b)
+                columns = [pa.array(np.concatenate(x).astype(np.int64)) for x in (kind, node, value)]
+                yield pa.RecordBatch.from_arrays(columns, names=["kind", "node", "value"])
+
+    return nodes.select("node", "rows", "v").mapInArrow(search, "kind bigint, node bigint, value bigint")
+
+
+def _indexed(nodes: DataFrame, index: MultiIndex, threshold: float) -> DataFrame:
+    """As ``_linked``, from the cells that each node visits."""
     n_words = len(index.left)
 
-    def matrix(column: pa.Array) -> np.ndarray:
-        return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
-
     def count_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.zeros(n_words * n_words, np.int64)
         met = np.zeros_like(own)
         for batch in batches:
             if batch.num_rows:
-                cells = index.cells(unit(matrix(batch.column(0))))
+                cells = index.cells(unit(_matrix(batch.column(0))))
                 own += np.bincount(cells[:, 0], minlength=len(own))
                 met += np.bincount(cells.ravel(), minlength=len(own))
         at = np.flatnonzero(met)
@@ -217,7 +318,7 @@ def _linked(nodes: DataFrame, n: int, threshold: float) -> DataFrame:
             if not batch.num_rows:
                 continue
             node = batch.column(0).to_numpy()
-            cells = index.cells(unit(matrix(batch.column(2))))
+            cells = index.cells(unit(_matrix(batch.column(2))))
             rows, block, member = [], [], []
             for cell_rank in range(cells.shape[1]):
                 cell = cells[:, cell_rank]
@@ -252,7 +353,7 @@ def _linked(nodes: DataFrame, n: int, threshold: float) -> DataFrame:
             for t in (calling, inside):
                 side.append((
                     t["node"].to_numpy(), t["rows"].to_numpy(),
-                    unit(matrix(t["v"].combine_chunks())), matrix(t["cells"].combine_chunks()),
+                    unit(_matrix(t["v"].combine_chunks())), _matrix(t["cells"].combine_chunks()),
                 ))
             (qn, qr, qx, qc), (mn, mr, mx, mc) = side
             i, j = _links(qx, mx, threshold)

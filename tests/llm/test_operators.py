@@ -289,6 +289,35 @@ def test_embeddings(spark):
     assert got[1005]["component_id"] == got[0]["component_id"] and len(got) == len(rows)
 
 
+@pytest.mark.parametrize("enough", [5, 10**6])
+def test_embeddings_are_all_linked_when_the_sample_shows_no_link(spark, monkeypatch, enough):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1500, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    away = rng.normal(size=x.shape)
+    away -= (away * x).sum(1, keepdims=True) * x
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    x = np.concatenate([x, 0.91 * x + (1 - 0.91**2) ** 0.5 * away])  # pairs a little above the threshold
+    links = x @ x.T >= 0.9
+    np.fill_diagonal(links, False)
+    monkeypatch.setattr(embedding_dedup, "SAMPLE", 40)
+    monkeypatch.setattr(embedding_dedup, "QUERY_VALUES", 16 * 400, raising=False)
+    monkeypatch.setattr(embedding_dedup, "LINKED", enough, raising=False)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_duplicates(table).collect()}
+    found = sum(got.values())
+    assert found <= links.sum() and found >= (links.sum() if enough > 1500 else 0.97 * links.sum())
+
+
+def test_visits_reach_the_target_or_none_do():
+    tally = np.zeros((100, embedding_dedup.MAX_VISITS + 1), np.int64)
+    tally[:, 0], tally[:99, 9], tally[99, -1] = 90, 10, 10
+    assert embedding_dedup.visits_needed(tally) == 10
+    tally[0, 0] = 100_000  # one group holds most links: the other queries still count
+    tally[:5, 9], tally[:5, -1] = 0, 200
+    assert embedding_dedup.visits_needed(tally) is None
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     labels, bench = spark.createDataFrame([], "doc_id long, toxic int"), spark.createDataFrame([], "item_id long, text string")
