@@ -1,10 +1,11 @@
 """Main text of web pages by consensus over the container paths of each host.
 
 A page's containers are scored by the text they hold outside links, a container
-inheriting part of its children's score. The best containers vote with their
-generalised tag-class path; votes are summed per host in Spark, and every page is
-extracted again from the containers whose path won on its host. A page that has
-none of its host's winning paths keeps its own best container.
+inheriting part of its children's score. The best container is widened to the
+ancestors that add text outside links, and votes with its generalised tag-class
+path; votes are summed per host in Spark, and every page is extracted again from
+the containers whose path won on its host, widened in the same way. A page that
+has none of its host's winning paths keeps its own best container.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ FURNITURE = frozenset(
 )
 KEEP_SHARE = 0.1  # of a host's votes that a path needs to be one of its winners
 INHERIT = 0.8
+LARGE = 0.8  # of a page's text that a container needs to be no furniture whatever its name
+ROOTS = frozenset(("", "html", "body"))
 SALTS = 64
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<!--.*?(?:-->|\Z)|<[!?][^>]*+>", re.S)
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>")
@@ -45,8 +48,10 @@ class Page:
 
     def __init__(self, source: str) -> None:
         self.parents, self.paths, self.hidden, self.own = [-1], [""], [False], [0.0]
+        self.names, self.named, self.plain, self.size = [""], [False], [0], [0]  # furniture by name; text outside links; text
         self.blocks: list[tuple[int, str]] = []  # container, text
         self._parse(source)
+        self._hide_furniture()
 
     def _parse(self, source: str) -> None:
         stack: list[tuple[str, int]] = [("", 0)]  # open containers and skipped elements
@@ -63,6 +68,8 @@ class Page:
                 if words and not self.hidden[where]:
                     self.blocks.append((where, words))
                     self.own[where] += len(words) - 2 * min(linked, len(words))
+                    self.plain[where] += max(0, len(words) - 2 * linked)
+                    self.size[where] += len(words)
                 text.clear()
             linked = 0
 
@@ -114,25 +121,57 @@ class Page:
         found = {k.lower(): a or b or c for k, a, b, c in _NAMED.findall(attrs)} if attrs else {}
         words = _WORDS.findall(f"{found.get('class', '')} {found.get('id', '')} {found.get('role', '')}".lower())
         classes = sorted({re.sub(r"\d+", "#", c) for c in found.get("class", "").lower().split()})
-        hidden = self.hidden[parent] or name in SKIPPED or not FURNITURE.isdisjoint(words)
+        hidden = self.hidden[parent] or name in SKIPPED
         hidden = hidden or bool(attrs and re.search(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", attrs, re.I))
         self.parents.append(parent)
         self.paths.append(f"{self.paths[parent]}/{'.'.join([name, *classes])}")
         self.hidden.append(hidden)
         self.own.append(0.0)
+        self.names.append(name)
+        self.named.append(name not in ROOTS and name not in ("main", "article") and not FURNITURE.isdisjoint(words))
+        self.plain.append(0)
+        self.size.append(0)
         return len(self.parents) - 1
 
+    def _hide_furniture(self) -> None:
+        """Hide containers with a furniture word in their names, unless they hold
+        the main element or nearly all text; sum ``plain`` over what is in them."""
+        main = [name == "main" and not h for name, h in zip(self.names, self.hidden, strict=True)]
+        for i in range(len(self.parents) - 1, 0, -1):
+            self.size[self.parents[i]] += self.size[i]
+            main[self.parents[i]] |= main[i]
+        for i in range(1, len(self.parents)):
+            named = self.named[i] and not main[i] and self.size[i] < LARGE * self.size[0]
+            self.hidden[i] = self.hidden[i] or self.hidden[self.parents[i]] or named
+            if self.hidden[i]:
+                self.own[i], self.plain[i] = 0.0, 0
+        self.blocks = [(where, words) for where, words in self.blocks if not self.hidden[where]]
+        self.direct = list(self.plain)
+        for i in range(len(self.parents) - 1, 0, -1):
+            self.plain[self.parents[i]] += self.plain[i]
+
+    def _widened(self, i: int) -> int:
+        """The highest ancestor that adds text outside links; html and body count
+        with the text that is directly in them."""
+        top, at = i, self.parents[i]
+        while at >= 0:
+            if self.direct[at] > 0 if self.names[at] in ROOTS else self.plain[at] > self.plain[top]:
+                top = at
+            at = self.parents[at]
+        return top
+
     def best(self) -> str | None:
-        """Path of the best container; the deeper, then the earlier of equals."""
+        """Path of the best container, widened; the deeper, then the earlier of equals."""
         score = list(self.own)
         for i in range(len(score) - 1, 0, -1):
             score[self.parents[i]] += INHERIT * score[i]
         open_ = [i for i in range(len(score)) if not self.hidden[i] and score[i] > 0]
-        return self.paths[max(open_, key=lambda i: (score[i], self.paths[i].count("/"), -i))] if open_ else None
+        return self.paths[self._widened(max(open_, key=lambda i: (score[i], self.paths[i].count("/"), -i)))] if open_ else None
 
     def text(self, path: str) -> str:
-        """Blocks inside the containers with this path, in page order."""
-        inside = [p == path for p in self.paths]
+        """Blocks inside the containers with this path, widened, in page order."""
+        roots = {self._widened(i) for i, p in enumerate(self.paths) if p == path and not self.hidden[i]}
+        inside = [i in roots for i in range(len(self.paths))]
         for i in range(1, len(inside)):
             inside[i] = inside[i] or inside[self.parents[i]]
         return "\n".join(words for where, words in self.blocks if inside[where])

@@ -272,6 +272,25 @@ def test_html(spark):
     assert got[2]["text"] == got[4]["text"] == "" and got[5]["text"] == "plain < text"
 
 
+@pytest.mark.parametrize(
+    ("inner", "want"),
+    [
+        ("<article><h1>Head</h1><p>An intro.</p><div class=body><p>{long}</p></div></article>", "Head\nAn intro.\n{long}"),
+        ("<article><h1>Head</h1><p>Intro.</p><section><ul><li>{long}</li><li>{long}</li></ul></section></article>", "Head\nIntro.\n{long}\n{long}"),
+        ("<article><div class=lead>A lead.</div><blockquote><p>{long}</p></blockquote></article>", "A lead.\n{long}"),
+        ("<div class='page has-sidebar'><h1>Head</h1><div><p>{long}</p></div><div class=sidebar>Side</div></div>", "Head\n{long}"),
+        ("<main class=comments-open><p>{long}</p><div class=comments>One comment</div></main>", "{long}"),
+        ("<div class=post><p>{long}</p></div><div class=extra><a href=x>More to read</a></div>", "{long}"),
+    ],
+)
+def test_html_keeps_the_whole_article(spark, inner, want):
+    long = "Words of the long part of this article. " * 12
+    body = "<html><body class=cookie-consent><nav>menu</nav>" + inner.format(long=long) + "<div class=footer>foot</div></body></html>"
+    rows = [(i, f"http://a.org/{i}", body) for i in range(3)]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["text"] for r in got} == {want.format(long=long.strip())}
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(40, 16))
