@@ -1,7 +1,7 @@
 """Personal data: base patterns, and identifiers bootstrapped from context.
 
 The base patterns (email, ip, card, phone) give seed entities. Every
-identifier-like token is an instance, the words left of it are a lexical pattern,
+identifier-like token is an instance, the words beside it are its lexical patterns,
 and the two form a bipartite graph over the whole corpus. Spark scores the graph
 iteratively: a pattern is trusted by the share of its distinct instances that are
 known, an instance by the patterns it occurs in. Instances under trusted patterns
@@ -30,8 +30,10 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _ANY = re.compile(r"[0-9@]")
-_TOKEN = re.compile(r"[^\s\"'`<>()\[\]{},;=|]{6,64}+")
+_TOKEN = re.compile(r"[^\s\"'`<>()\[\]{},;=|]{6,}+")
 _NOT_DIGIT = re.compile(r"[^0-9]")
+_MARK = re.compile(r"\w+|[^\w\s]")
+_ZERO = re.compile(r"[0-9]")
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -76,17 +78,37 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def _context(text: str, start: int) -> str:
-    """The two words or marks left of ``start``, digits as 0; empty at a line start."""
-    left = text[max(0, start - 48) : start].rsplit("\n", 1)[-1]
-    words = re.findall(r"\w+|[^\w\s]", left.lower())[-2:]
-    return re.sub(r"[0-9]", "0", " ".join(words)) if len(words) == 2 else ""
-
-
-def instances(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int, str, str]]:
-    """(kind, start, end, value, pattern): base entities and, with kind id, other
-    tokens of 6 to 64 characters that hold a digit and touch no base span."""
-    out = [(kind, a, b, text[a:b].lower(), _context(text, a)) for kind, a, b in base]
+def _words_beside(text: str, at: int, side: int) -> list[str]:
+    """The two words or marks next to ``at`` on its line, digits as 0; left (-1)
+    of it or right (1), nearest last or first. Fewer where the line ends."""
+    if side < 0:
+        edge = text.rfind("\n", 0, at) + 1
+    else:
+        edge = text.find("\n", at)
+        edge = edge if edge >= 0 else len(text)
+    reach = 48
+    while True:
+        beside = text[max(edge, at - reach) : at] if side < 0 else text[at : min(edge, at + reach)]
+        words = _MARK.findall(beside.lower())
+        if len(words) >= 2 or reach >= abs(at - edge):
+            words = words[-2:] if side < 0 else words[:2]
+            return [_ZERO.sub("0", w) for w in words]
+        reach *= 4
+
+
+def _patterns(text: str, start: int, end: int) -> list[str]:
+    """Two words to the left and two to the right, as far as the line goes; ^ and $
+    stand for words beyond it. A side without words is no pattern, since a line's
+    start or end alone tells little, unless the token is alone on its line."""
+    left, right = _words_beside(text, start, -1), _words_beside(text, end, 1)
+    out = ["< " + " ".join(["^", "^", *left][-2:])] if left or not right else []
+    return [*out, "> " + " ".join([*right, "$"][:2])] if right else out
+
+
+def instances(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int, str, list[str]]]:
+    """(kind, start, end, value, patterns): base entities and, with kind id, other
+    tokens of 6 characters or more that hold a digit and touch no base span."""
+    out = [(kind, a, b, text[a:b].lower(), _patterns(text, a, b)) for kind, a, b in base]
     if _ANY.search(text):
         taken = sorted((a, b) for _, a, b in base)
         i = 0
@@ -99,8 +121,8 @@ def instances(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, in
             while i < len(taken) and taken[i][1] <= a:
                 i += 1
             if not any(x < b and a < y for x, y in taken[i : i + 8]):
-                out.append(("id", a, b, text[a:b].lower(), _context(text, a)))
-    return [x for x in out if x[4]]
+                out.append(("id", a, b, text[a:b].lower(), _patterns(text, a, b)))
+    return out
 
 
 def span_text(spans: list[tuple[str, int, int]]) -> str:
@@ -139,13 +161,14 @@ def find_personal_data(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
 
     Counts are of base matches. A null text is empty (no spans, the hash of an
     empty string). Repeated rows stay as rows; a pattern's instances are counted
-    by distinct value, so copies add no trust. Other columns are not read.
+    by distinct value, so copies add no trust. Words on the token's line, on both
+    sides, are its context. Other columns are not read.
     """
     given = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("body"))
     kind = given.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "found"]
     found_type = pa.list_(
-        pa.struct([("kind", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("value", pa.string()), ("pattern", pa.string())])
+        pa.struct([("kind", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("value", pa.string()), ("patterns", pa.list_(pa.string()))])
     )
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +179,7 @@ def find_personal_data(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
                 base = base_spans(body)
                 counts = [sum(k == kind for k, _, _ in base) for kind in KINDS] if base else [0] * 4
                 joined = span_text(base)
-                found = [dict(zip(("kind", "a", "b", "value", "pattern"), x, strict=True)) for x in instances(body, base)]
+                found = [dict(zip(("kind", "a", "b", "value", "patterns"), x, strict=True)) for x in instances(body, base)]
                 rows.append((*counts, hashlib.sha256(joined.encode()).hexdigest(), joined, found))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
             kinds = [pa.int64()] * 4 + [pa.string(), pa.string(), found_type]
@@ -166,10 +189,11 @@ def find_personal_data(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
 
     schema = (
         f"doc_id {kind}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, base string, "
-        "found array<struct<kind:string,a:bigint,b:bigint,value:string,pattern:string>>"
+        "found array<struct<kind:string,a:bigint,b:bigint,value:string,patterns:array<string>>>"
     )
     scanned = written_table(given.mapInArrow(scan, schema).withColumn("row", F.monotonically_increasing_id()), "pii-scan")
     seen = scanned.select("row", F.explode("found").alias("f")).select("row", "f.*")
+    seen = seen.withColumn("pattern", F.explode("patterns")).drop("patterns")
     edges = written_table(
         seen.groupBy("pattern", "value").agg(F.max(F.col("kind") != "id").alias("seed")), "pii-edges"
     )

@@ -259,6 +259,18 @@ def test_contexts_find_unseen_identifiers(spark, docs):
     assert got[200]["spans"] == "" and len(got) == len({d for d, _ in listed(data)})
 
 
+def test_short_and_right_contexts_find_identifiers(spark):
+    rows = [(i, f"Contact user{i}@mail.org") for i in range(20)]  # one label word
+    rows += [(100 + i, f"case {i % 7}\nuser{i}x@mail.org filed a claim") for i in range(20)]  # right of a line start
+    long = "Z9" * 50
+    rows += [(200, "form\nContact X1234567"), (201, "X7654321 filed it"), (202, f"the end\nsome X7777777 filed a note\nContact {long}"), (203, "other Q1234567")]
+    rows += [(300 + i, f"N{i}00000 alone") for i in range(60)]  # line starts say little here
+    got = {r["doc_id"]: r for r in personal_data.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[200]["spans"] == "id:13:21" and got[203]["spans"] == ""
+    assert got[201]["spans"] == "" and got[202]["spans"] == f"id:13:21,id:43:{43 + len(long)}"
+    assert all(got[300 + i]["n_id"] == 0 for i in range(60))
+
+
 def test_html(spark):
     page = (
         "<html><head><title>no</title></head><body><nav><a href=x>menu</a></nav><div class='box 12'><h1>Head &amp; line</h1>"
