@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from counterpanel.functions.session import shared_dir
-from counterpanel.llm import decontaminate, embedding_dedup, html_text, jaccard, line_dedup, mixing, personal_data, token_counts, token_output, toxicity
+from counterpanel.llm import conversation_trie, decontaminate, embedding_dedup, html_text, jaccard, line_dedup, merkle, mixing, packing
+from counterpanel.llm import personal_data, token_counts, token_output, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +73,23 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = conversation_trie.sequences(read(spark, sf_dir, "conversations"))
+    return conversation_trie.build_trie(conversation_trie.rebuilt(turns))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    manifest = merkle.build_manifest(docs, kept={"claimed": merkle.tampered(docs)})
+    return merkle.verify(manifest).withColumnRenamed("id", "doc_id")
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "stream")
+    packing.write_stream(read(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pieces(spark, path)
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_toxicity": op2_toxicity,
@@ -83,6 +101,9 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_token_counts": op9_token_counts,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_conversation_trie": op11_conversation_trie,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_packing": op13_packing,
 }
 
 
