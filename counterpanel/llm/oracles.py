@@ -112,9 +112,126 @@ LEFT JOIN (SELECT x, count(*) AS n FROM links GROUP BY x) n ON n.x = e.vec_id
 LEFT JOIN (SELECT vec_id, min(other) AS least_id FROM reach GROUP BY vec_id) m ON m.vec_id = e.vec_id
 """
 
+# CRC-32 of decimal ids: a table made by the polynomial's rule, then one step a character
+CRC_TABLE = """crc_table AS MATERIALIZED (
+  SELECT list(x ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, b: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS x
+    FROM range(256) r(i))
+)"""
+
+
+def crc32_of(number: str) -> str:
+    """SQL of the unsigned CRC-32 of a decimal number; needs ``crc_table`` in FROM."""
+    digits = f"list_transform(string_split({number}::VARCHAR, ''), lambda x: ascii(x)::BIGINT)"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {digits}), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)))"
+
+
+OP11 = rf"""
+WITH {CRC_TABLE}, own AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS k,
+         octet_length(encode(COALESCE(role, ''))) || ':' || COALESCE(role, '') || COALESCE(text, '') AS said,
+         len(regexp_extract_all(COALESCE(text, ''), '{WORDS}')) AS words
+  FROM conversations WHERE conv_id IS NOT NULL
+), heads AS (
+  SELECT conv_id, {crc32_of("conv_id")} % 4 AS h FROM (SELECT DISTINCT conv_id FROM own), crc_table
+), rebuilt AS (
+  SELECT c.conv_id, 0 AS part, o.k, o.said, o.words FROM heads c JOIN own o ON o.conv_id = c.conv_id - c.conv_id % 20 AND o.k <= c.h
+  UNION ALL
+  SELECT c.conv_id, 1, o.k, o.said, o.words FROM heads c JOIN own o ON o.conv_id = c.conv_id AND o.k > c.h
+), turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, k) AS d, md5(said) AS digest, words FROM rebuilt
+), paths AS (
+  SELECT conv_id, d, words, string_agg(digest, '') OVER (PARTITION BY conv_id ORDER BY d) AS path FROM turns
+  UNION ALL
+  SELECT conv_id, 0, 0, '' FROM heads
+), lasts AS (
+  SELECT conv_id, arg_max(path, d) AS path FROM paths GROUP BY conv_id
+), ends AS (
+  SELECT path, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM lasts GROUP BY path
+), nodes AS (
+  SELECT path, min(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * min(words) AS saved FROM paths GROUP BY path
+), children AS (
+  SELECT left(path, length(path) - 32) AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1
+), spread AS (
+  SELECT n.saved, (c.n IS NULL)::INT AS leaf, n.path, unnest(range(n.depth + 1)) AS d FROM nodes n LEFT JOIN children c ON c.path = n.path
+), below AS (
+  SELECT left(path, (32 * d)::INT) AS path, sum(leaf) AS n_leaves, sum(saved) AS saved_tokens FROM spread GROUP BY 1
+)
+SELECT n.conv_id::BIGINT AS conv_id, n.depth::BIGINT AS depth, p.conv_id::BIGINT AS parent_conv_id, n.n_convs::BIGINT AS n_convs,
+       COALESCE(c.n, 0)::BIGINT AS n_children, b.n_leaves::BIGINT AS n_leaves, b.saved_tokens::BIGINT AS saved_tokens,
+       sha256(COALESCE(e.ids, '')) AS ends_sha256
+FROM nodes n JOIN below b ON b.path = n.path LEFT JOIN children c ON c.path = n.path LEFT JOIN ends e ON e.path = n.path
+LEFT JOIN nodes p ON n.depth > 0 AND p.path = left(n.path, greatest(0, length(n.path) - 32))
+"""
+
+
+def _merkle_level(of: str, to: str, key: str) -> str:
+    """CTEs of one level over ``of`` (key, k, digest): runs of 16 become ``to``."""
+    return f"""{to}_count AS (
+  SELECT {key}, count(*) AS n FROM {of} GROUP BY {key}
+), {to}_runs AS (
+  SELECT a.{key}, c.n, CASE WHEN c.n > 1 THEN a.k // 16 ELSE a.k END AS g, a.k, digest FROM {of} a JOIN {to}_count c ON c.{key} = a.{key}
+), {to} AS (
+  SELECT {key}, g AS k, CASE WHEN max(n) > 1 THEN sha256(string_agg(digest, '' ORDER BY k)) ELSE min(digest) END AS digest,
+         string_agg(digest, '' ORDER BY k) AS run
+  FROM {to}_runs GROUP BY {key}, g
+)"""
+
+
+def _merkle_path(of: str, to: str, level: str, key: str) -> str:
+    """CTE that takes every row's place, proof and claim one level up."""
+    at = "(64 * (p.spot % 16))::INT"
+    others = f"left(r.run, {at}) || substr(r.run, {at} + 65)"
+    many = "c.n > 1"
+    return f"""{to} AS (
+  SELECT p.* REPLACE (
+    CASE WHEN {many} THEN p.spot // 16 ELSE p.spot END AS spot,
+    CASE WHEN {many} THEN p.proof || {others} ELSE p.proof END AS proof,
+    CASE WHEN {many} THEN sha256(left(r.run, {at}) || p.claim || substr(r.run, {at} + 65)) ELSE p.claim END AS claim)
+  FROM {of} p JOIN {level}_count c ON c.{key} = p.{key}
+  JOIN {level} r ON r.{key} = p.{key} AND r.k = CASE WHEN {many} THEN p.spot // 16 ELSE p.spot END
+)"""
+
+
+def merkle_sql(levels: int = 5, top_levels: int = 3) -> str:
+    """Manifest SQL for at most 16^levels rows a source and 16^top_levels sources."""
+    value = "COALESCE(octet_length(encode({c}::VARCHAR))::VARCHAR || ':' || {c}::VARCHAR, '-')"
+    fields = [value.format(c=c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    lowered = value.format(c="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+    steps = [CRC_TABLE]
+    steps.append(f"""hashed AS (
+  SELECT doc_id, CASE WHEN source IS NULL THEN '0' ELSE '1' || source END AS src, sha256({" || ".join(fields)}) AS leaf,
+         CASE WHEN {crc32_of("doc_id")} % 5 = 0 THEN sha256({" || ".join([*fields[:4], lowered])}) END AS changed
+  FROM documents, crc_table
+), p0 AS (
+  SELECT doc_id, src, leaf, 1 AS one, row_number() OVER (PARTITION BY src ORDER BY doc_id NULLS FIRST, leaf) - 1 AS spot, '' AS proof,
+         COALESCE(changed, leaf) AS claim
+  FROM hashed
+), l0 AS (
+  SELECT src, spot AS k, leaf AS digest FROM p0
+)""")
+    for i in range(levels):
+        steps.append(_merkle_level(f"l{i}", f"l{i + 1}", "src"))
+        steps.append(_merkle_path(f"p{i}", f"p{i + 1}", f"l{i + 1}", "src"))
+    steps.append(f"""t0 AS (
+  SELECT 1 AS one, src, row_number() OVER (ORDER BY encode(src)) - 1 AS k, digest FROM l{levels}
+), q0 AS (
+  SELECT p.* REPLACE (t.k AS spot), t.digest AS subroot FROM p{levels} p JOIN t0 t ON t.src = p.src
+)""")
+    for i in range(top_levels):
+        steps.append(_merkle_level(f"t{i}", f"t{i + 1}", "one"))
+        steps.append(_merkle_path(f"q{i}", f"q{i + 1}", f"t{i + 1}", "one"))
+    return "WITH " + ", ".join(steps) + f"""
+SELECT q.doc_id, q.leaf, q.subroot, t.digest AS root, sha256(q.proof) AS proof_sha256, q.claim AS folded_root, q.claim = t.digest AS verified
+FROM q{top_levels} q JOIN t{top_levels} t ON t.one = q.one
+"""
+
+
 ORACLES = {
     "op1_mix_sources": OP1,
     "op3_jaccard_join": OP3,
     "op5_line_dedup": OP5,
     "op10_embedding_dedup": OP10,
+    "op11_conversation_trie": OP11,
+    "op12_merkle_manifest": merkle_sql(),
 }
