@@ -84,6 +84,51 @@ def simplex_ls(
     return w, support
 
 
+def simplex_segments(
+    G: np.ndarray, c0: np.ndarray, c1: np.ndarray, low: float, high: float
+) -> list[tuple[float, float, list[int], np.ndarray, np.ndarray]]:
+    """Weights for every ``c = c0 - theta * c1``, theta from ``low`` to ``high``.
+
+    Returns ``(start, end, support, p, q)`` per linear run: the weights of the
+    support are ``p + theta * q``. A run ends where a weight reaches zero or a
+    donor outside becomes profitable; the next is solved for just beyond, so runs
+    shorter than about 1e-9 of the range are passed over.
+    """
+    own = np.sqrt(np.diag(G))
+    least = max(high - low, 1e-300) * 1e-9
+    out: list[tuple[float, float, list[int], np.ndarray, np.ndarray]] = []
+    w, probe, start, gap = None, low, low, least
+    while True:
+        w, support = simplex_ls(G, c0 - probe * c1, w)
+        m = len(support)
+        rhs = np.zeros((m + 1, 2))
+        rhs[:m, 0], rhs[:m, 1], rhs[m, 0] = c0[support], -c1[support], 1.0
+        line = _on_face(G, rhs, support)
+        p, q = line[:m, 0], line[:m, 1]
+        product = G[:, support] @ line[:m] - np.stack([c0, -c1], axis=1) + line[m]
+        here = w[support]
+        fitted = np.sqrt(max(float(here @ (G[np.ix_(support, support)] @ here)), 0.0))
+        c = c0 - probe * c1
+        level = product[:, 0] + probe * product[:, 1] + rounding(own, fitted, c, c[support] @ here)
+        level[support] = np.inf
+        falls = np.concatenate((q, product[:, 1]))
+        height = np.concatenate((p + probe * q, level))
+        ahead = np.divide(np.maximum(height, 0.0), -falls, out=np.full(len(falls), np.inf), where=(falls < 0) & np.isfinite(height))
+        end = probe + float(ahead.min())
+        if end >= high:
+            out.append((start, high, support, p, q))
+            return out
+        out.append((start, end, support, p, q))
+        gap = 2 * gap if end - start < 2 * gap else least
+        start, probe = end, end + gap
+        if probe >= high:
+            out[-1] = (out[-1][0], high, support, p, q)
+            return out
+        w = np.zeros(len(c0))
+        w[support] = np.where(p + end * q > 1e-13, p + end * q, 0.0)
+        w /= w.sum()
+
+
 def simplex_path(
     G: np.ndarray, c0: np.ndarray, c1: np.ndarray, thetas: np.ndarray
 ) -> tuple[np.ndarray, list[int]]:

@@ -49,8 +49,8 @@ def dated_series(
 ) -> DataFrame:
     """Series table of the main fit, on its dates and in the original level.
 
-    ``ci`` (study_id, period_idx, lower_ci, upper_ci) is NULL-extended to the
-    pre periods; without it both bounds are NULL.
+    ``ci`` (study_id, period_idx, lower_ci, upper_ci, ci_status) is NULL-extended
+    to the pre periods; without it the bounds and their status are NULL.
     """
     levels = periods.select("batch_id", "period_idx", "t", "level")
     tags = study.select("study_id", "batch_id", "outcome", "treated", "placebo")
@@ -60,12 +60,13 @@ def dated_series(
         .join(levels, ["batch_id", "period_idx"])
     )
     if ci is None:
-        rows = rows.withColumn("upper_ci", F.lit(None).cast("double")).withColumn(
-            "lower_ci", F.lit(None).cast("double")
+        none = F.lit(None)
+        rows = rows.withColumns(
+            {"upper_ci": none.cast("double"), "lower_ci": none.cast("double"), "ci_status": none.cast("string")}
         )
     else:
         rows = rows.join(
-            ci.select("study_id", "period_idx", "lower_ci", "upper_ci"),
+            ci.select("study_id", "period_idx", "lower_ci", "upper_ci", "ci_status"),
             ["study_id", "period_idx"],
             "left",
         )
@@ -76,6 +77,7 @@ def dated_series(
         "diff",
         "upper_ci",
         "lower_ci",
+        "ci_status",
         "T0",
         "outcome",
         "treated",

@@ -79,7 +79,6 @@ def estimate(
     permutation: str = "block",
     n_perm: int = 5000,
     seed: int = 61876,
-    max_rounds: int = 50,
     whole_series_outcomes: Sequence[str] = (),
     check_keys: bool = True,
     max_pool: int = wide.MAX_POOL,
@@ -137,7 +136,7 @@ def estimate(
     if compute_ci:
         grid = bands.grid_seed(series.gap_summary(paths), step)
         intervals = written_table(
-            bands.confidence_bands(study, packed, grid, step, alpha, max_rounds, max_pool=max_pool),
+            bands.confidence_bands(study, packed, grid, step, alpha, max_pool=max_pool),
             "bands",
         )
     return StudyResult(

@@ -18,7 +18,7 @@ PRICE_SCHEMA = _schema(("date", _D), ("country", _S), ("DAP", _N))
 INDEX_SCHEMA = _schema(("geo", _S), ("coicop", _S), ("TIME_PERIOD", _D), ("values", _N))
 TAGS = (("T0", T.IntegerType()), ("outcome", _S), ("treated", _S), ("placebo", _S))
 SERIES_SCHEMA = _schema(
-    ("date", _D), ("obs", _N), ("synth", _N), ("diff", _N), ("upper_ci", _N), ("lower_ci", _N), *TAGS
+    ("date", _D), ("obs", _N), ("synth", _N), ("diff", _N), ("upper_ci", _N), ("lower_ci", _N), ("ci_status", _S), *TAGS
 )
 TTEST_SCHEMA = _schema(("att", _N), ("se", _N), ("lb", _N), ("ub", _N), *TAGS)
 CONFORMAL_SCHEMA = _schema(("pval", _N), *TAGS)

@@ -376,16 +376,16 @@ ends AS (SELECT {KEYS}, lo AS k FROM grid UNION SELECT {KEYS}, hi FROM grid),{ac
 
 SERIES = f"""
 series AS (
-  SELECT g.t AS date, g.obs, g.synth, g.diff, b.upper_ci, b.lower_ci, CAST(g.t0 AS INTEGER) AS "T0", {KEYS}, g.treatment_date
+  SELECT g.t AS date, g.obs, g.synth, g.diff, b.upper_ci, b.lower_ci, b.ci_status, CAST(g.t0 AS INTEGER) AS "T0", {KEYS}, g.treatment_date
   FROM (SELECT * FROM gaps WHERE fit = 'main') g LEFT JOIN bands b USING ({KEYS}, idx))"""
 q("series_table", f"{pair()},{ci(False)},{SERIES}", """SELECT date, round(obs, 8) AS obs, round(synth, 8) AS synth,
-  round(diff, 8) AS diff, upper_ci, lower_ci, "T0", outcome, treated, placebo FROM series""")
+  round(diff, 8) AS diff, upper_ci, lower_ci, ci_status, "T0", outcome, treated, placebo FROM series""")
 q("union_results", f"{uniform()},{TTEST},{block_p(0.0)}", f"""
 SELECT att, se, lb, ub, NULL::DOUBLE AS pval, "T0", {KEYS} FROM tests
 UNION ALL SELECT NULL, NULL, NULL, NULL, round(pval, 8), CAST(t0 AS INTEGER), {KEYS} FROM pvals""")
 q("built_once_panel", PANELS["quarter"], "SELECT outcome, unit, t, y FROM panel")
 q("stored_series", uniform(shifts=(0, 4)), f"""SELECT t AS date, round(obs, 8) AS obs, round(synth, 6) AS synth, round(diff, 6) AS diff,
-  NULL::DOUBLE AS upper_ci, NULL::DOUBLE AS lower_ci, CAST(t0 AS INTEGER) AS "T0", {KEYS} {MAIN}""")
+  NULL::DOUBLE AS upper_ci, NULL::DOUBLE AS lower_ci, NULL::VARCHAR AS ci_status, CAST(t0 AS INTEGER) AS "T0", {KEYS} {MAIN}""")
 q("stored_inference", f"{pair()},{TTEST}", f"""SELECT att, se, lb, ub, "T0", {KEYS}, 'ttest' AS method FROM tests""")
 q("stored_weights", ORACLES["sc_weights_two_donor"].removeprefix("WITH ").rsplit("\nSELECT m.unit", 1)[0],
   "SELECT m.unit" + ORACLES["sc_weights_two_donor"].rsplit("\nSELECT m.unit", 1)[1])
