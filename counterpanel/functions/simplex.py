@@ -1,6 +1,8 @@
 """Least squares on the unit simplex from cross-products (runs inside tasks).
 
-Both functions minimise ``w'Gw / 2 - c'w`` over ``w >= 0, sum(w) = 1``. The
+The minimiser need not be unique (more donors than periods, donors in line with
+others): ``closest_weights`` then names one, whatever the order of the work. The
+other functions minimise ``w'Gw / 2 - c'w`` over ``w >= 0, sum(w) = 1``. The
 working support only ever gains a column with a strictly negative reduced
 gradient, so it stays affinely independent even when G is rank deficient
 (more donors than periods, duplicated donors). Sizes and tolerances are taken
@@ -9,6 +11,8 @@ per donor, so one donor far larger than the rest does not hide the others.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 
 REL_TOL = 1e-11
@@ -84,6 +88,89 @@ def simplex_ls(
     return w, support
 
 
+def tie_costs(X: np.ndarray, y: np.ndarray, names: list[str]) -> np.ndarray:
+    """What a unit of weight costs where fits tie: the donor's squared distance from
+    the treated series, raised by up to a millionth by a hash of its name, so that
+    equal donors differ."""
+    spread = np.array([zlib.crc32(n.encode()) for n in names]) / 2.0**32
+    return ((X - y) ** 2).sum(axis=1) * (1 + 1e-6 * spread)
+
+
+def closest_weights(
+    X: np.ndarray, G: np.ndarray, c: np.ndarray, w: np.ndarray, cost: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Of all minimisers the one with the least ``cost @ w``, given one of them.
+
+    ``X`` holds the donors over the periods of the fit and ``w`` an optimal basic
+    solution, as ``simplex_ls`` gives it. All minimisers have its fitted values and no
+    weight outside the donors with a zero reduced gradient, so this is a linear program
+    over those, solved by pivoting from ``w``. Also returns its prices (by period, then
+    of the sum): a donor outside ``X`` with a zero reduced gradient would only enter if
+    its cost were below its price.
+    Without a tie the weights come back as they are.
+    """
+    own, product = np.sqrt(np.diag(G)), G @ w
+    fitted = np.sqrt(max(float(w @ product), 0.0))
+    reduced = product - c
+    reduced -= reduced @ w
+    face = np.flatnonzero((np.abs(reduced) <= 10 * rounding(own, fitted, c, c @ w)) | (w > 0))
+    A = np.vstack([X[face].T, np.ones(len(face))])
+    scale = max(float(np.abs(A[:-1]).max(initial=0.0)), 1e-300)
+    A[:-1] /= scale
+    v, price = w[face].copy(), cost[face]
+    U, sizes, _ = np.linalg.svd(A, full_matrices=False)
+    Q = U[:, sizes > sizes[0] * 1e-10]
+    R, b = Q.T @ A, Q.T @ (A @ v)
+    basis = _completed(R, [int(j) for j in np.flatnonzero(v)])
+    stalled = 0
+    while True:
+        B = R[:, basis]
+        v[:] = 0.0
+        v[basis] = np.maximum(np.linalg.solve(B, b), 0.0)
+        prices = np.linalg.solve(B.T, price[basis])
+        gain = price - R.T @ prices
+        gain[basis] = 0.0
+        entering = np.flatnonzero(gain < -1e-9 * (price + np.abs(R.T) @ np.abs(prices)))
+        if not len(entering):
+            break
+        # the steepest, or after moves of no length the first, which cannot cycle
+        j = int(entering[np.argmin(gain[entering])]) if stalled < 20 else int(entering[0])
+        fall = np.linalg.solve(B, R[:, j])
+        falls = np.flatnonzero(fall > 1e-11)
+        if not len(falls):
+            break
+        ratio = v[basis][falls] / fall[falls]
+        last = falls[ratio <= ratio.min() * (1 + 1e-12)]
+        leaves = int(min(last, key=lambda i: basis[i]))
+        stalled = stalled + 1 if ratio.min() <= 1e-14 else 0
+        basis[leaves] = j
+    out = np.zeros(len(w))
+    held = [int(face[i]) for i in basis if v[i] > 1e-12]
+    if set(held) == set(np.flatnonzero(w).tolist()):
+        out = w
+    else:  # once more from the cross-products, so the result depends on the support alone
+        z = _on_face(G, np.append(c[held], 1.0), held)[:-1]
+        out[held] = z if z.min() > 0 else v[[i for i in basis if v[i] > 1e-12]]
+        out /= out.sum()
+    full = Q @ prices
+    full[:-1] /= scale
+    return out, full
+
+
+def _completed(R: np.ndarray, basis: list[int]) -> list[int]:
+    """Independent columns of R that begin with ``basis``, as many as R has rows."""
+    left = R.copy()
+    for at in range(len(R)):
+        if at == len(basis):
+            basis = [*basis, int(np.argmax((left**2).sum(axis=0)))]
+        q = left[:, basis[at]]
+        q = q / np.sqrt(q @ q)
+        left = left - np.outer(q, q @ left)
+        left = left - np.outer(q, q @ left)
+        left[:, basis] = np.where(np.arange(len(basis)) <= at, 0.0, left[:, basis])
+    return basis
+
+
 def simplex_segments(
     G: np.ndarray, c0: np.ndarray, c1: np.ndarray, low: float, high: float
 ) -> list[tuple[float, float, list[int], np.ndarray, np.ndarray]]:

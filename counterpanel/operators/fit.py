@@ -8,7 +8,7 @@ every fit is a sum of blocks.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -17,12 +17,16 @@ from pyspark.sql import functions as F
 
 from counterpanel.functions.packing import matrix, recentred, split_roles
 from counterpanel.functions.session import spread
-from counterpanel.functions.simplex import simplex_ls
+from counterpanel.functions.simplex import closest_weights, simplex_ls, tie_costs
 
 POST_BLOCK = -1
 WEIGHT_SCHEMA = (
     "study_id string, batch_id string, treated string, fit_id string, unit string, w double"
 )
+PATH_SCHEMA = (
+    "study_id string, fit_id string, us array<double>, synths array<double>, "
+    "used array<double>, prices array<double>, sum_price double"
+)
 GRAM_SCHEMA = "batch_id string, block int, i string, j string, g double"
 
 
@@ -131,6 +135,42 @@ def fit_names(fits: Sequence[str], folds: int) -> list[str]:
     return names
 
 
+def _solved(
+    table: pa.Table, names: Sequence[str], folds: int, anchor: str, theta0: float
+) -> Iterator[tuple]:
+    """Every fit of a batch: (study, treated unit, fit, donor units, weights, gaps,
+    synthetic values, periods used, prices of a tie, price of the sum)."""
+    donors, treated = split_roles(table)
+    t0, t1 = table["T0"][0].as_py(), table["T1"][0].as_py()
+    if not (len(donors) and len(treated) and t0 >= 2 and t1 >= 1):
+        return
+    labels = block_labels(t0, t1, folds, anchor)
+    raw, own = matrix(donors["xs"]), matrix(treated["xs"])
+    X, Y = recentred(raw, own)
+    null = Y - theta0 * (labels == POST_BLOCK)
+    gram, cross = block_products(X, X, labels), block_products(null, X, labels)
+    pre = [b for b in gram if b != POST_BLOCK]
+    units = donors["unit"].to_pylist()
+    for name in names:
+        held_out = int(name.split("_")[1]) if name.startswith("fold_") else None
+        use = list(gram) if name == "full" else [b for b in pre if b != held_out]
+        if not use or (held_out is not None and held_out not in gram):
+            continue
+        G, periods = sum(gram[b] for b in use), np.isin(labels, use)
+        for r, (sid, unit) in enumerate(zip(treated["study_id"].to_pylist(), treated["unit"].to_pylist())):
+            c = sum(cross[b][r] for b in use)
+            w, _ = simplex_ls(G, c)
+            cost = tie_costs(X[:, periods], null[r][periods], units)
+            w, prices = closest_weights(X[:, periods], G, c, w, cost)
+            synth = w @ raw
+            gap = (own[r] - theta0 * (labels == POST_BLOCK) - synth) * periods
+            by_period = np.zeros(len(labels))
+            by_period[periods] = prices[:-1]
+            # prices of the series as they are stored, not as they are centred here
+            sum_price = float(prices[-1] - by_period @ (raw[0] - X[0]))
+            yield sid, unit, name, units, w, gap, synth * periods, periods, by_period, sum_price
+
+
 def solve_weights(
     study: DataFrame,
     packed: DataFrame,
@@ -142,36 +182,20 @@ def solve_weights(
     """Simplex weights of every study and fit; only non-zero weights are rows.
 
     The group is a batch: its donors and at most a bucketful of treated units,
-    as arrays over the study window.
+    as arrays over the study window. Where several weights fit equally well, those
+    of the donors nearest to the treated unit are taken (``tie_costs``).
     """
     names = fit_names(fits, folds)
 
     def solve(table: pa.Table) -> pa.Table:
-        donors, treated = split_roles(table)
-        t0, t1 = table["T0"][0].as_py(), table["T1"][0].as_py()
         out: dict[str, list] = {"study_id": [], "treated": [], "fit_id": [], "unit": [], "w": []}
-        if len(donors) and len(treated) and t0 >= 2 and t1 >= 1:
-            labels = block_labels(t0, t1, folds, anchor)
-            X, Y = recentred(matrix(donors["xs"]), matrix(treated["xs"]))
-            null = Y - theta0 * (labels == POST_BLOCK)
-            gram, cross = block_products(X, X, labels), block_products(null, X, labels)
-            pre = [b for b in gram if b != POST_BLOCK]
-            units = donors["unit"].to_pylist()
-            for name in names:
-                held_out = int(name.split("_")[1]) if name.startswith("fold_") else None
-                use = list(gram) if name == "full" else [b for b in pre if b != held_out]
-                if not use or (held_out is not None and held_out not in gram):
-                    continue
-                G = sum(gram[b] for b in use)
-                for r, (sid, unit) in enumerate(
-                    zip(treated["study_id"].to_pylist(), treated["unit"].to_pylist())
-                ):
-                    w, support = simplex_ls(G, sum(cross[b][r] for b in use))
-                    out["study_id"] += [sid] * len(support)
-                    out["treated"] += [unit] * len(support)
-                    out["fit_id"] += [name] * len(support)
-                    out["unit"] += [units[j] for j in support]
-                    out["w"] += w[support].tolist()
+        for sid, unit, name, units, w, *_ in _solved(table, names, folds, anchor, theta0):
+            support = np.flatnonzero(w)
+            out["study_id"] += [sid] * len(support)
+            out["treated"] += [unit] * len(support)
+            out["fit_id"] += [name] * len(support)
+            out["unit"] += [units[j] for j in support]
+            out["w"] += w[support].tolist()
         n = len(out["w"])
         return pa.table(
             {
@@ -188,6 +212,32 @@ def solve_weights(
     return members.groupBy("batch_id").applyInArrow(solve, WEIGHT_SCHEMA)
 
 
+def fitted_paths(
+    study: DataFrame,
+    packed: DataFrame,
+    fits: Sequence[str],
+    folds: int,
+    anchor: str,
+    theta0: float,
+) -> DataFrame:
+    """Gaps and synthetic values of every fit over the periods it uses (zero
+    elsewhere), and the prices by which a donor outside would tie with it."""
+    names = fit_names(fits, folds)
+    fields = ("study_id", "fit_id", "us", "synths", "used", "prices", "sum_price")
+    kinds = (pa.string(), pa.string(), *[pa.list_(pa.float64())] * 4, pa.float64())
+
+    def solve(table: pa.Table) -> pa.Table:
+        rows = [
+            (sid, name, gap.tolist(), synth.tolist(), used.astype(float).tolist(), prices.tolist(), sum_price)
+            for sid, _, name, _, _, gap, synth, used, prices, sum_price in _solved(table, names, folds, anchor, theta0)
+        ]
+        columns = zip(*rows) if rows else [[]] * len(fields)
+        return pa.table({f: pa.array(list(x), k) for f, x, k in zip(fields, columns, kinds)})
+
+    members = spread(study_members(study, packed), "batch_id")
+    return members.groupBy("batch_id").applyInArrow(solve, PATH_SCHEMA)
+
+
 def study_members(study: DataFrame, packed: DataFrame) -> DataFrame:
     """Donor rows of every batch in use, and treated rows tagged with their study."""
     own = study.select("batch_id", F.col("treated").alias("unit"), "study_id")

@@ -3,8 +3,9 @@
 The simplex solution uses few donors. A study starts from a small working set,
 is solved on it by the ordinary operators, and then *all* its donors are priced
 against the resulting gaps in one distributed join: a donor enters if adding it
-would lower the squared error. When no donor does, the optimality conditions
-hold over the whole pool. Every round adds at least one donor to every
+would lower the squared error, or leave it as it is with nearer donors. When no
+donor does, the optimality conditions hold over the whole pool, and the weights are
+those that one task would find with all of it. Every round adds at least one donor to every
 unfinished study, so the loop ends, with nothing left out.
 """
 
@@ -19,9 +20,8 @@ from pyspark.sql import functions as F
 
 from counterpanel.functions.packing import matrix
 from counterpanel.functions.session import spread, written_table
-from counterpanel.functions.simplex import REL_TOL
-from counterpanel.operators.fit import POST_BLOCK, fold_of, solve_weights
-from counterpanel.operators.series import counterfactual
+from counterpanel.functions.simplex import REL_TOL, tie_costs
+from counterpanel.operators.fit import fitted_paths, solve_weights
 
 MAX_POOL = 512
 MAX_CELLS = 4_000_000
@@ -65,10 +65,12 @@ def entering_donors(study: DataFrame, packed: DataFrame, residuals: DataFrame, w
     """Donors of the whole pool that would lower some fit's squared error.
 
     ``residuals`` is a stored table ``study_id, fit_id, us, synths``: gaps and
-    synthetic values of a fit, zero outside its periods; donors in ``working``
-    are passed over before the k best are taken. Donors are hashed into
-    buckets and fits into chunks; a task multiplies one bucket with one chunk.
+    synthetic values of a fit, zero outside its periods; with ``used, prices,
+    sum_price`` also what a donor must cost less than to take part in a tie. Donors
+    in ``working`` are passed over before the k best are taken. Donors are hashed
+    into buckets and fits into chunks; a task multiplies one bucket with one chunk.
     """
+    ties = [c for c in ("used", "prices", "sum_price") if c in residuals.columns]
     fits = residuals.join(study.select("study_id", "batch_id", "n_donors"), "study_id")
     sizes = fits.groupBy("batch_id").agg(
         F.ceil(F.sum(F.size("us")) / F.lit(TASK_CELLS)).cast("int").alias("chunks"),
@@ -90,7 +92,7 @@ def entering_donors(study: DataFrame, packed: DataFrame, residuals: DataFrame, w
         .join(known, "study_id")
         .withColumn("bucket", F.explode(F.sequence(F.lit(0), F.col("buckets") - 1)))
         .withColumn("chunk", F.pmod(F.xxhash64("study_id", "fit_id"), F.col("chunks")).cast("int"))
-        .select(*keys, "study_id", "fit_id", "us", "synths", "known")
+        .select(*keys, "study_id", "fit_id", "us", "synths", "known", *ties)
     )
 
     def price(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -104,10 +106,22 @@ def entering_donors(study: DataFrame, packed: DataFrame, residuals: DataFrame, w
             units = left["unit"].to_pylist()
             place = {unit: at for at, unit in enumerate(units)}
             names = zip(right["study_id"].to_pylist(), right["fit_id"].to_pylist(), right["known"].to_pylist())
-            for (sid, fid, known_units), gain, far, noise in zip(names, gains, reach, least):
-                gain[[place[u] for u in known_units if u in place]] = 0.0
+            for r, ((sid, fid, known_units), gain, far, noise) in enumerate(zip(names, gains, reach, least)):
+                mine = [place[u] for u in known_units if u in place]
+                gain[mine] = 0.0
+                level = np.abs(gain) <= 10 * noise if ties else None
                 better = np.flatnonzero(gain > noise)
                 gain[better] /= far[better]
+                if ties:  # donors on the same face that cost less than their price
+                    used, prices = (np.array(right[c][r].as_py()) for c in ("used", "prices"))
+                    cost = tie_costs(X * used, (U[r] + S[r]) * used, units)
+                    priced = X @ prices + right["sum_price"][r].as_py()
+                    margin = 1e-9 * (cost + np.abs(X) @ np.abs(prices) + abs(right["sum_price"][r].as_py()))
+                    saves = level & (cost < priced - margin)
+                    saves[mine] = False
+                    better = np.union1d(better, np.flatnonzero(saves))
+                    scale = max(float(cost.max()), 1e-300)
+                    gain[saves] = np.maximum(gain[saves], (priced - cost)[saves] / scale * 1e-9)
                 # a bucket's k best hold its share of the pool's k best
                 best = better[np.argsort(-gain[better], kind="stable")[:k]]
                 out["study_id"] += [sid] * len(best)
@@ -179,34 +193,7 @@ def fit_residuals(
     fits: Sequence[str], folds: int, anchor: str, theta0: float
 ) -> Callable[[DataFrame, DataFrame], DataFrame]:
     """Residual arrays of the requested fits on the current working sets."""
-
-    def residuals(study: DataFrame, rows: DataFrame) -> DataFrame:
-        weights = solve_weights(as_own_batch(study), rows, fits, folds, anchor, theta0)
-        idx, t0 = F.col("period_idx"), F.col("T0")
-        block = fold_of(idx, t0, F.col("T1"), folds, anchor)
-        held_out = F.when(
-            F.col("fit_id").startswith("fold_"),
-            F.substring_index("fit_id", "_", -1).try_cast("int"),
-        )
-        used = F.when(F.col("fit_id") == "full", F.lit(True)).otherwise(
-            (block != POST_BLOCK) & (held_out.isNull() | (block != held_out))
-        )
-        effect = F.when(
-            (F.col("fit_id") == "full") & (idx > t0), F.lit(float(theta0))
-        ).otherwise(F.lit(0.0))
-        cell = F.struct(
-            "period_idx",
-            F.when(used, F.col("diff") - effect).otherwise(F.lit(0.0)).alias("u"),
-            F.when(used, F.col("synth_c")).otherwise(F.lit(0.0)).alias("s"),
-        )
-        return (
-            counterfactual(rows, weights)
-            .groupBy("study_id", "fit_id")
-            .agg(F.sort_array(F.collect_list(cell)).alias("cells"))
-            .select("study_id", "fit_id", F.col("cells.u").alias("us"), F.col("cells.s").alias("synths"))
-        )
-
-    return residuals
+    return lambda study, rows: fitted_paths(as_own_batch(study), rows, fits, folds, anchor, theta0)
 
 
 def fit_weights(
