@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from counterpanel.llm.memory import handing_back
+
 BLOCK_CHARS = 4 << 20  # benchmark characters matched in one pass over the documents
 
 
@@ -164,7 +166,7 @@ def find_items(
                         names=names,
                     )
 
-        found = found.unionByName(given.mapInArrow(match, schema))
+        found = found.unionByName(given.mapInArrow(handing_back(match), schema))
     return found
 
 
@@ -208,7 +210,7 @@ def clean_documents(
                 clean = pa.array([not index.hits(t.as_py()) for t in batch.column(width)], pa.bool_())
                 yield batch.select(range(width)).filter(clean)
 
-        kept = kept.select(*[F.col(f"`{c}`") for c in docs.columns], body).mapInArrow(keep, docs.schema)
+        kept = kept.select(*[F.col(f"`{c}`") for c in docs.columns], body).mapInArrow(handing_back(keep), docs.schema)
     return kept
 
 

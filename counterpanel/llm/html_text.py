@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from counterpanel.llm.memory import handing_back
+
 # fixed values: element names of the HTML standard
 CONTAINERS = frozenset(
     "html body main article section div aside nav header footer form table tbody thead tfoot tr td th "
@@ -209,7 +211,7 @@ def host_paths(pages: DataFrame, *, url: str = "url", html: str = "html") -> Dat
             )
 
     given = pages.select(host_of(url).alias("host"), F.col(f"`{html}`").alias("source")).filter("host IS NOT NULL AND source IS NOT NULL")
-    votes = given.mapInArrow(vote, "host string, path string").groupBy("host", "path").agg(F.count("*").alias("votes"))
+    votes = given.mapInArrow(handing_back(vote), "host string, path string").groupBy("host", "path").agg(F.count("*").alias("votes"))
     total = votes.groupBy("host").agg(F.sum("votes").alias("total"))
     kept = votes.join(total, "host").filter(F.col("votes") >= KEEP_SHARE * F.col("total"))
     ordered = F.sort_array(F.collect_list(F.struct((-F.col("votes")).alias("v"), "path")))
@@ -243,4 +245,4 @@ def extract(
             )
 
     kinds = {f.name: f.dataType.simpleString() for f in joined.schema.fields}
-    return joined.mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars bigint")
+    return joined.mapInArrow(handing_back(run), f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars bigint")

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from counterpanel.functions.session import written_table
 from counterpanel.llm.components import stars
+from counterpanel.llm.memory import handing_back
 from counterpanel.llm.shingles import WIDTH, shingle_sets
 
 PERCENT = 80  # Jaccard threshold
@@ -85,7 +86,7 @@ def _scan(docs: DataFrame, width: int) -> DataFrame:
                 names=names,
             )
 
-    return docs.mapInArrow(run, f"doc_id {kind}, fp binary, n bigint, slot int, counts binary")
+    return docs.mapInArrow(handing_back(run), f"doc_id {kind}, fp binary, n bigint, slot int, counts binary")
 
 
 def _count_table(scanned: DataFrame) -> np.ndarray:
@@ -101,7 +102,7 @@ def _count_table(scanned: DataFrame) -> np.ndarray:
             [pa.array(sums, pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["slot", "counts"]
         )
 
-    parts = scanned.filter("slot IS NOT NULL").select("slot", "counts").repartition("slot").mapInArrow(add, "slot int, counts binary")
+    parts = scanned.filter("slot IS NOT NULL").select("slot", "counts").repartition("slot").mapInArrow(handing_back(add), "slot int, counts binary")
     table = np.zeros((SLOTS, COUNTERS // SLOTS), np.int64)
     for r in parts.collect():
         table[r["slot"]] = np.frombuffer(r["counts"], np.int64)
@@ -131,7 +132,7 @@ def _prefixes(docs: DataFrame, shared, width: int) -> DataFrame:
                 names=["doc_id", "fp", "n", "prefix", "parity"],
             )
 
-    return docs.mapInArrow(run, f"doc_id {kind}, fp binary, n bigint, prefix array<bigint>, parity array<bigint>")
+    return docs.mapInArrow(handing_back(run), f"doc_id {kind}, fp binary, n bigint, prefix array<bigint>, parity array<bigint>")
 
 
 def _postings(nodes: DataFrame) -> DataFrame:
@@ -167,7 +168,7 @@ def _postings(nodes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["gram", "node", "n", "rep"])
 
     index = nodes.select(F.explode("prefix").alias("gram"), "n", "node")
-    return index.repartition("gram").sortWithinPartitions("gram", "n", "node").mapInArrow(run, "gram bigint, node bigint, n bigint, rep bigint")
+    return index.repartition("gram").sortWithinPartitions("gram", "n", "node").mapInArrow(handing_back(run), "gram bigint, node bigint, n bigint, rep bigint")
 
 
 def _may_link(na, nb, pa_, pb):
@@ -235,7 +236,7 @@ def _fragments(docs: DataFrame, wanted: DataFrame, shared, cuts: np.ndarray, wid
             )
 
     marked = docs.withColumn("bit", F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(FILTER_BITS)).cast("int"))
-    made = marked.mapInArrow(run, f"doc_id {kind}, fp binary, fragment int, grams array<bigint>")
+    made = marked.mapInArrow(handing_back(run), f"doc_id {kind}, fp binary, fragment int, grams array<bigint>")
     mine = wanted.withColumnRenamed("fp", "of")
     exact = made.join(mine, (F.col("fp") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
     # equal rows have equal sets; the join's partitioning by fp serves this grouping too

@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from counterpanel.functions.session import written_table
+
 WORD = r"[^\x20\x09-\x0D]+"
 BUCKETS = 1024  # parts of a source's order that are sorted on their own
 PRIME = (1 << 61) - 1  # larger than any number of blocks, so coprime to it
@@ -140,28 +142,29 @@ def mix(
     block_words: int = 1024,
     shard_depth: int = 6,
     seed: int = 20,
-    payload: bool = False,
+    row: str | None = None,
 ) -> DataFrame:
     """One row per document copy of the mix, and one with 0 words for the rest.
 
-    Columns: doc_id, source, size, source_size, target, copy (0-based), words
-    (taken of this copy), shard, slot (of its block), order_key (sort key within
-    the shard), and with ``payload`` the input row as struct ``row``.
+    Columns: row (of the input: the column that ``row`` names, or a number given
+    here), doc_id, source, size, source_size, target, copy (0-based), words (taken of
+    this copy), shard, slot (of its block), order_key (sort key within the shard).
+    Texts are read once, for their sizes, and do not travel.
 
     A null source is a source of its own, after all others. Null and empty texts
-    have size 0 and are taken with 0 words (shard null). Equal rows are taken in
-    any order, which gives equal results. An empty table gives no rows.
+    have size 0 and are taken with 0 words (shard null). Repeated rows are rows of
+    their own, taken in any order. An empty table gives no rows.
     """
     key = F.when(F.col(f"`{source}`").isNull(), F.lit("n")).otherwise(F.concat(F.lit("i"), F.col(f"`{source}`")))
     rows = docs.select(
+        (F.col(f"`{row}`") if row else F.monotonically_increasing_id()).alias("row"),
         F.col(f"`{doc_id}`").alias("doc_id"),
         F.col(f"`{source}`").alias("source"),
         key.alias("src"),
         word_count(text).alias("size"),
         F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(f"`{doc_id}`").cast("string")).cast("binary")).alias("pick"),
-        *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if payload else []),
     ).withColumn("bucket", F.conv(F.substring("pick", 1, 3), 16, 10).cast("int") % 4096 * BUCKETS / 4096)
-    rows = rows.withColumn("bucket", F.floor("bucket").cast("int"))
+    rows = written_table(rows.withColumn("bucket", F.floor("bucket").cast("int")), "mix-sizes")
 
     # totals by part of a source: the pre-aggregate behind targets and offsets
     parts = rows.groupBy("src", "bucket").agg(F.sum("size").alias("part_size"))
@@ -169,7 +172,7 @@ def mix(
     offsets = parts.select(
         "src", "bucket", (F.sum("part_size").over(Window.partitionBy("src").orderBy("bucket")) - F.col("part_size")).alias("before")
     )
-    within = Window.partitionBy("src", "bucket").orderBy("pick", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("src", "bucket").orderBy("pick", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
     placed = (
         rows.withColumn("run", F.sum("size").over(within) - F.col("size"))
         .join(offsets, ["src", "bucket"])
@@ -201,6 +204,7 @@ def mix(
         & (F.col("slot") < F.col("last"))
     )
     return copies.join(quotas, hit, "left").select(
+        "row",
         "doc_id",
         "source",
         "size",
@@ -211,29 +215,33 @@ def mix(
         "shard",
         "slot",
         F.xxhash64(F.lit(seed), "pick", "copy").alias("order_key"),
-        *(["row"] if payload else []),
     )
 
 
 def taken_words(mixed: DataFrame) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) per document of a mix.
-
-    Rows with one id, source and size are summed, and come back as one row.
-    """
-    keys = ["doc_id", "source", "size", "source_size", "target"]
-    return mixed.groupBy(*keys).agg(F.sum("words").alias("taken")).drop("source")
+    """(doc_id, size, source_size, target, taken) per input row of a mix."""
+    keys = ["row", "doc_id", "size", "source_size", "target"]
+    return mixed.groupBy(*keys).agg(F.sum("words").alias("taken")).drop("row")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents: one row per copy taken, in the columns of ``docs``.
 
-    A document whose copy is taken in part is cut after its last taken word.
+    A document whose copy is taken in part is cut after its last taken word. The mix
+    is made on narrow rows; texts meet it once, at the end, by the number of their
+    row in a table that is written first.
     """
     text = options.get("text", "text")
-    taken = mix(docs, payload=True, **options).filter("words > 0")
-    pieces = F.regexp_extract_all(F.col(f"row.`{text}`"), F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
+    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row"))
+    given = written_table(given, "mix-rows")
+    used = {options.get(k, k) for k in ("doc_id", "text", "source")}
+    key = next(k for k in ("row", "row_", "row__", "row___") if k not in used)
+    sized = given.select(F.col("row").alias(key), *[F.col(f"doc.`{c}`") for c in sorted(used)])
+    taken = mix(sized, row=key, **options)
+    taken = taken.filter("words > 0").select(F.col("row").alias("of_row"), "words", "size")
+    # the narrow side is held in memory a partition at a time, so texts are not sorted
+    met = given.join(taken.hint("shuffle_hash"), F.col("row") == F.col("of_row"))
+    pieces = F.regexp_extract_all(F.col(f"doc.`{text}`"), F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
     cut = F.when(F.col("words") < F.col("size"), F.array_join(F.slice(pieces, F.lit(1), F.col("words").cast("int")), ""))
-    columns = [
-        F.coalesce(cut, F.col(f"row.`{c}`")).alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns
-    ]
-    return taken.select(*columns)
+    columns = [F.coalesce(cut, F.col(f"doc.`{c}`")).alias(c) if c == text else F.col(f"doc.`{c}`").alias(c) for c in docs.columns]
+    return met.select(*columns)

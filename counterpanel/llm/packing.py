@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from counterpanel.functions.session import written_table
 from counterpanel.llm.encode import byte_groups, encoder
+from counterpanel.llm.memory import handing_back
 
 WINDOW = 4096
 CHUNK_TOKENS = 1 << 20  # a longer document is stored as several rows
@@ -90,7 +91,7 @@ def write_stream(
                     )
                 done += int(lengths.sum())
 
-    stream = rows.mapInArrow(encode, TOKENS_SCHEMA.format(id=_id_type(docs, doc_id)))
+    stream = rows.mapInArrow(handing_back(encode), TOKENS_SCHEMA.format(id=_id_type(docs, doc_id)))
     stream.write.option("compression", "zstd").parquet(path)
 
 
@@ -139,7 +140,7 @@ def pieces(spark: SparkSession, path: str, *, window: int = WINDOW, with_ids: bo
             yield pa.RecordBatch.from_arrays(columns + [pa.array(held, pa.binary())] * with_ids, names=names)
 
     fields = ", ".join(f"{x} bigint" for x in names[1:7])
-    return placed.mapInArrow(cut, f"doc_id {kind}, {fields}" + ", ids binary" * with_ids)
+    return placed.mapInArrow(handing_back(cut), f"doc_id {kind}, {fields}" + ", ids binary" * with_ids)
 
 
 def sequences(spark: SparkSession, path: str, *, window: int = WINDOW, pad_id: int = 0) -> DataFrame:
@@ -168,4 +169,4 @@ def sequences(spark: SparkSession, path: str, *, window: int = WINDOW, pad_id: i
     slim = F.transform("records", lambda r: F.struct(r["offset"].alias("offset"), r["length"].alias("length"), r["doc_id"].alias("doc_id"), r["start"].alias("start")))
     shaped = rows.select("sequence_id", "n_tokens", slim.alias("boundaries"), F.col("records.ids").alias("parts"))
     kind = shaped.schema["boundaries"].dataType.simpleString()
-    return shaped.mapInArrow(fill, f"sequence_id bigint, n_tokens bigint, boundaries {kind}, ids array<int>")
+    return shaped.mapInArrow(handing_back(fill), f"sequence_id bigint, n_tokens bigint, boundaries {kind}, ids array<int>")

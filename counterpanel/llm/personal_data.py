@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from counterpanel.functions.session import written_table
+from counterpanel.llm.memory import handing_back
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
@@ -191,7 +192,7 @@ def find_personal_data(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
         f"doc_id {kind}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, base string, "
         "found array<struct<kind:string,a:bigint,b:bigint,value:string,patterns:array<string>>>"
     )
-    scanned = written_table(given.mapInArrow(scan, schema).withColumn("row", F.monotonically_increasing_id()), "pii-scan")
+    scanned = written_table(given.mapInArrow(handing_back(scan), schema).withColumn("row", F.monotonically_increasing_id()), "pii-scan")
     seen = scanned.select("row", F.explode("found").alias("f")).select("row", "f.*")
     seen = seen.withColumn("pattern", F.explode("patterns")).drop("patterns")
     edges = written_table(

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from counterpanel.llm.encode import token_lengths
+from counterpanel.llm.memory import handing_back
 
 
 def count_tokens(
@@ -52,4 +53,4 @@ def count_tokens(
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[: len(names)])
     head = f"{fields}, " if fields else ""
-    return given.mapInArrow(count, f"{head}n_bytes bigint, n_tokens bigint, over_limit boolean")
+    return given.mapInArrow(handing_back(count), f"{head}n_bytes bigint, n_tokens bigint, over_limit boolean")

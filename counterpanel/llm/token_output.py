@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from counterpanel.llm.encode import encoder
+from counterpanel.llm.memory import handing_back
 from counterpanel.llm.rans import Segment, pack_segment
 
 SEGMENT_TOKENS = 1 << 22
@@ -88,7 +89,7 @@ def write_tokens(
         if held:
             yield flush()
 
-    rows.mapInArrow(pack, SEGMENT_SCHEMA).write.option("compression", "none").parquet(path)
+    rows.mapInArrow(handing_back(pack), SEGMENT_SCHEMA).write.option("compression", "none").parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str, *, with_ids: bool = True) -> DataFrame:
@@ -137,7 +138,7 @@ def read_tokens(spark: SparkSession, path: str, *, with_ids: bool = True) -> Dat
     fields = ["shard", "segment", "doc_id", "offset", "n_tokens", "ids_crc32"] + (["ids"] if with_ids else [])
     kinds = ["int", "int", "bigint", "bigint", "bigint", "bigint"] + (["array<bigint>"] if with_ids else [])
     schema = ", ".join(f"{f} {k}" for f, k in zip(fields, kinds, strict=True))
-    decoded = stored.select("shard", "segment", "payload").mapInArrow(decode, schema)
+    decoded = stored.select("shard", "segment", "payload").mapInArrow(handing_back(decode), schema)
     return decoded.join(bases, ["shard", "segment"]).select(
         "doc_id", (F.col("base") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])
     )

@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from counterpanel.llm.memory import handing_back
+
 STEPS = np.array([2, 3, 4, 5, 6, 8, 10])  # bytes saved by the toxic dictionary
 WINDOW_WORDS = 6
 LEVEL = 3
@@ -192,7 +194,7 @@ def score(
                 [*batch.columns[:width], pa.array(p, pa.float64()), flags], names=[*batch.schema.names[:width], *names]
             )
 
-    return given.mapInArrow(run, schema)
+    return given.mapInArrow(handing_back(run), schema)
 
 
 def ordinary_documents(docs: DataFrame, model: ToxicityModel, *, text: str = "text", threshold: float = 0.3) -> DataFrame:

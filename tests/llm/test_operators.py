@@ -359,3 +359,14 @@ def test_empty_tables(spark, docs):
     assert token_counts.count_tokens(none, public_tokenizers.path("word_bpe_49k.json")).count() == 0
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_mixing_keeps_repeated_rows_apart(spark):
+    """Forty equal rows: as many rows come back, none taken more than twice its size."""
+    rows = [(7, "two words", "en", "a", 1)] * 40 + [(8, "x " * 500, "en", "b", 1), (9, None, "en", "b", None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    taken = mixing.taken_words(mixing.mix(df)).collect()
+    assert len(taken) == 42 and all(0 <= r["taken"] <= 2 * r["size"] for r in taken)
+    texts = mixing.mixed_documents(df.withColumn("row", F.lit("mine"))).collect()
+    assert {r["row"] for r in texts} == {"mine"}
+    assert sum(len(WORD.findall(r["text"])) for r in texts) == sum(r["taken"] for r in taken)
