@@ -16,21 +16,31 @@ from pyspark.sql import functions as F
 
 from counterpanel.functions.session import written_table
 from counterpanel.llm import decontaminate, jaccard, mixing, token_output, toxicity
+from counterpanel.llm.memory import BATCH_ROWS, BATCH_SETTING
 from counterpanel.llm.queries import fresh_path, read
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker holds at once, unless the session asks for less."""
+    if int(spark.conf.get(BATCH_SETTING)) > BATCH_ROWS:
+        spark.conf.set(BATCH_SETTING, BATCH_ROWS)
+
+
 def keep_ordinary(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not call toxic."""
+    small_batches(spark)
     return toxicity.ordinary_documents(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the least id."""
+    small_batches(spark)
     return jaccard.representatives(docs)
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    small_batches(spark)
     return decontaminate.clean_documents(docs, read(spark, sf_dir, "benchmark"))
 
 
@@ -41,6 +51,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of the mix, and per document what is read back from them."""
+    small_batches(spark)
     path = fresh_path(spark, "tokens")
     token_output.write_tokens(docs, path, public_tokenizers.path("byte_bpe_50k.json"))
     return token_output.read_tokens(spark, path, with_ids=False)
