@@ -275,7 +275,7 @@ def weights_table(study: DataFrame, packed: DataFrame, weights: DataFrame) -> Da
     donors = packed.filter(F.col("role") == "control").select("batch_id", "unit")
     main = weights.filter(F.col("fit_id") == "main").select("study_id", "unit", "w")
     return (
-        study.select("study_id", "batch_id", "treated", "outcome", "placebo")
+        study.select("study_id", "batch_id", "treated", "outcome", "placebo", "treatment_date")
         .join(donors, "batch_id")
         .join(main, ["study_id", "unit"], "left")
         .select(
@@ -284,6 +284,7 @@ def weights_table(study: DataFrame, packed: DataFrame, weights: DataFrame) -> Da
             "treated",
             "outcome",
             "placebo",
+            "treatment_date",
         )
     )
 

@@ -155,6 +155,5 @@ def conformal_iid(
 def inference_table(study: DataFrame, results: DataFrame) -> DataFrame:
     """Study-level results with their tags, in the stored column order."""
     values = [c for c in results.columns if c not in ("study_id", "significant")]
-    return results.join(study.select("study_id", "outcome", "treated", "placebo"), "study_id").select(
-        *values, "outcome", "treated", "placebo"
-    )
+    tags = ("outcome", "treated", "placebo", "treatment_date")
+    return results.join(study.select("study_id", *tags), "study_id").select(*values, *tags)

@@ -11,22 +11,27 @@ from counterpanel.functions.scalars import pct_change
 def year_on_year(
     series: DataFrame,
     outcomes: list[str],
-    treatment_date: str,
+    treatment_date: str | None = None,
     horizon_months: int = 12,
 ) -> DataFrame:
     """Observed and synthetic rates, and their difference.
 
+    Every study has its own treatment date, in the column ``treatment_date`` of the
+    series; a date given here holds for all of them instead.
+
     Up to and at the treatment date the synthetic rate is the observed one;
     after it the synthetic level is compared with the *observed* level a year
     before. Rows end ``horizon_months`` after treatment, so that base is never
     later than the treatment date. The base is found by date, not by counting
     rows, so a gap in a series gives NULL instead of a wrong base.
     """
-    start = F.lit(treatment_date).cast("date")
+    if treatment_date is not None:
+        series = series.withColumn("treatment_date", F.lit(treatment_date).cast("date"))
+    start = F.col("treatment_date")
     kept = series.filter(
         F.col("outcome").isin(outcomes) & (F.col("date") <= F.add_months(start, horizon_months))
     )
-    keys = ["outcome", "treated", "placebo"]
+    keys = ["outcome", "treated", "placebo", "treatment_date"]
     base = kept.select(*keys, F.add_months("date", 12).alias("date"), F.col("obs").alias("base"))
     joined = kept.join(base, [*keys, "date"], "left")
     observed = pct_change(F.col("obs"), F.col("base"))
@@ -39,4 +44,5 @@ def year_on_year(
         "outcome",
         "treated",
         "placebo",
+        "treatment_date",
     )

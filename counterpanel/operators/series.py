@@ -53,7 +53,7 @@ def dated_series(
     to the pre periods; without it the bounds and their status are NULL.
     """
     levels = periods.select("batch_id", "period_idx", "t", "level")
-    tags = study.select("study_id", "batch_id", "outcome", "treated", "placebo")
+    tags = study.select("study_id", "batch_id", "outcome", "treated", "placebo", "treatment_date")
     rows = (
         paths.filter(F.col("fit_id") == "main")
         .join(tags, "study_id")
@@ -82,6 +82,7 @@ def dated_series(
         "outcome",
         "treated",
         "placebo",
+        "treatment_date",
     )
 
 

@@ -36,7 +36,7 @@ BATCH_COLUMNS = (
 
 def expand_studies(
     outcomes: DataFrame,
-    treated: Sequence[str],
+    treated: Sequence[str] | DataFrame,
     shifts: Sequence[int] = (0,),
     grain: str = "month",
     t1_cap: int | None = None,
@@ -46,16 +46,22 @@ def expand_studies(
 
     ``outcomes`` has ``outcome, treatment_date, start_date, end_date`` (bounds
     nullable). ``t1_cap`` limits the post window of placebo studies; NULL means
-    the length of the real post window.
+    the length of the real post window. ``treated`` is a list, or a DataFrame with a
+    ``unit`` column: the units are then rows, counted for the batches, and the plan
+    does not grow with them (the request's outcomes do stand in it).
     """
-    buckets = -(-len(treated) // treated_per_batch)
+    dated = outcomes.select("outcome", *[F.col(c).cast("date").alias(c) for c in ("start_date", "end_date", "treatment_date")])
+    if isinstance(treated, DataFrame):
+        units = treated.select(F.col("unit").alias("treated")).distinct()
+        buckets = max(1, -(-units.count() // treated_per_batch))
+        asked = F.array(*[F.struct(*[F.lit(v).cast(t).alias(c) for (c, t), v in zip(dated.dtypes, row)]) for row in dated.collect()])
+        requested = units.withColumn("o", F.explode(asked)).select("o.*", "treated")
+    else:
+        buckets = -(-len(treated) // treated_per_batch)
+        requested = dated.withColumn("treated", F.explode(F.array(*[F.lit(u) for u in treated])))
     study = (
-        outcomes.select(
-            "outcome",
-            F.col("start_date").cast("date").alias("start_date"),
-            F.col("end_date").cast("date").alias("end_date"),
-            F.col("treatment_date").cast("date").alias("base_treatment_date"),
-            F.explode(F.array(*[F.lit(u) for u in treated])).alias("treated"),
+        requested.select(
+            "outcome", "start_date", "end_date", F.col("treatment_date").alias("base_treatment_date"), "treated"
         )
         .select("*", F.explode(F.array(*[F.lit(int(s)) for s in shifts])).alias("placebo_shift"))
         .withColumn(

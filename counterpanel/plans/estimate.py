@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from counterpanel.functions.scalars import step_decimals
 from counterpanel.functions.session import written_table
 from counterpanel.operators import bands, checks, fit, inference, panel as shaping, series, study as st, wide
-from counterpanel.sources import sinks
+from counterpanel.sources import sinks, versions
 
 
 @dataclass(frozen=True)
@@ -33,19 +33,54 @@ class StudyResult:
             "weights": sinks.save_weights(self.weights, base, fmt),
         }
 
+    def save_version(self, base: str, fmt: str = "parquet") -> str:
+        """All tables, bands and rejected studies too, as one version: readers see
+        every table of it or none (``versions.read_version``). Returns its name."""
+        tables = {
+            "series": (versions.tagged(self.series, ci_step=self.step), ["placebo"]),
+            "inference": (versions.tagged(self.inference, method=self.method), ["placebo"]),
+            "weights": (self.weights, ["placebo"]),
+            "rejected": (self.rejected, []),
+        }
+        if self.bands is not None:
+            tables["bands"] = (self.bands, [])
+        return versions.commit_version(self.series.sparkSession, base, tables, fmt)
+
 
-def unit_roles(panel: DataFrame, treated: Sequence[str], controls: Sequence[str] | DataFrame) -> DataFrame:
-    """(unit, role) rows; ``controls`` is a list, or a DataFrame for large pools."""
+def unit_roles(
+    panel: DataFrame, treated: Sequence[str] | DataFrame, controls: Sequence[str] | DataFrame
+) -> DataFrame:
+    """(unit, role) rows; either side is a list, or a DataFrame for many units."""
     spark = panel.sparkSession
     if not isinstance(controls, DataFrame):
         controls = spark.createDataFrame([(u,) for u in controls], "unit string")
-    own = spark.createDataFrame([(u,) for u in treated], "unit string")
+    if not isinstance(treated, DataFrame):
+        treated = spark.createDataFrame([(u,) for u in treated], "unit string")
+    own = treated.select("unit").distinct()
     pool = controls.select("unit").distinct().join(own, "unit", "left_anti")
     return pool.select("unit", F.lit("control").alias("role")).unionByName(
         own.select("unit", F.lit("treated").alias("role"))
     )
 
 
+def requested_rows(panel: DataFrame, outcomes: DataFrame, whole_series: Sequence[str] = ()) -> DataFrame:
+    """Panel rows that some study of the request can use.
+
+    The request is the small side of a join on the outcome, with the earliest start
+    and the latest end of the outcome's studies; a panel stored by outcome is read
+    for these outcomes only. Outcomes in ``whole_series`` keep all their dates.
+    """
+    start, end = F.min(F.coalesce("start_date", F.lit("0001-01-01").cast("date"))), F.max(F.coalesce("end_date", F.lit("9999-12-31").cast("date")))
+    whole = F.col("wanted").isin(list(whole_series))
+    spans = outcomes.groupBy(F.col("outcome").alias("wanted")).agg(start.alias("first_t"), end.alias("last_t"))
+    spans = written_table(spans, "requested")
+    # a row without a date is in no window, and is kept where whole series are judged
+    inside = whole | F.col("t").between(F.col("first_t"), F.col("last_t"))
+    # true of every name; pruning at run time is planned for a filtered side only
+    wanted = spans.filter("wanted >= ''")
+    return panel.join(wanted, (F.col("outcome") == F.col("wanted")) & inside).select(*panel.columns)
+
+
 def _require_supported(outcomes: DataFrame, calendar: DataFrame, panel: DataFrame) -> None:
     """Raise for outcomes the panel does not hold. The panel is read again only
     if an outcome is missing from the calendar of the controls."""
@@ -61,7 +96,7 @@ def _require_supported(outcomes: DataFrame, calendar: DataFrame, panel: DataFram
 
 def estimate(
     panel: DataFrame,
-    treated: Sequence[str],
+    treated: Sequence[str] | DataFrame,
     controls: Sequence[str] | DataFrame,
     outcomes: DataFrame,
     *,
@@ -83,9 +118,10 @@ def estimate(
     check_keys: bool = True,
     max_pool: int = wide.MAX_POOL,
 ) -> StudyResult:
-    """Estimate every (outcome, treated unit, placebo shift).
+    """Estimate every (outcome, treated unit, treatment date, placebo shift).
 
-    ``outcomes`` has ``outcome, treatment_date, start_date, end_date``. For an
+    ``treated`` and ``controls`` are lists of units, or DataFrames with a ``unit``
+    column. Only rows of requested outcomes and dates are read on. ``outcomes`` has ``outcome, treatment_date, start_date, end_date``. For an
     outcome in ``whole_series_outcomes`` a unit with a missing value anywhere is
     dropped; otherwise only gaps inside the study window count. ``check_keys``
     counts rows per key before any series is gathered; a panel that comes out of
@@ -99,7 +135,10 @@ def estimate(
     if bad:
         raise ValueError(f"placebo shifts must be integers between 0 and {max_shift}: {bad}")
 
-    pool = st.with_roles(panel.select(*shaping.PANEL_COLUMNS), unit_roles(panel, treated, controls))
+    if isinstance(treated, DataFrame):
+        treated = written_table(treated.select("unit").distinct(), "treated")
+    given = requested_rows(panel.select(*shaping.PANEL_COLUMNS), outcomes, whole_series_outcomes)
+    pool = st.with_roles(given, unit_roles(panel, treated, controls))
     if whole_series_outcomes:
         whole = F.col("outcome").isin(list(whole_series_outcomes))
         pool = shaping.drop_units_with_nulls(pool.filter(whole)).unionByName(pool.filter(~whole))

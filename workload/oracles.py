@@ -228,11 +228,12 @@ WHERE a.role = 'treated' AND b.role = 'control' GROUP BY ALL""".lstrip("\n"))
 ORACLES["gram_matrix"] = ORACLES["gram_matrix"].replace("\n, level AS", ",\nlevel AS")
 q("sc_weights_two_donor", pair(), f"""
 SELECT m.unit AS control_unit, round(CASE WHEN s.w IS NULL THEN 1.0 WHEN m.unit = '{PAIR[0]}' THEN s.w ELSE 1 - s.w END, 8) AS weight,
-  m.treated, m.outcome, m.placebo
+  m.treated, m.outcome, m.placebo, v.treatment_date
 FROM members m JOIN valid v USING ({KEYS}) LEFT JOIN (SELECT * FROM share WHERE fit = 'main') s USING ({KEYS})
 WHERE m.role = 'control'""")
 q("sc_weights_certificate", studies(shifts=(0, 4)),
   f"SELECT {KEYS}, true AS sums_to_one, true AS non_negative, true AS optimal FROM valid")
+DATES = f"(SELECT {KEYS}, treatment_date FROM valid) v"
 MAIN = "FROM gaps WHERE fit = 'main'"
 q("synthetic_series", pair(), f"SELECT t AS date, round(synth, 8) AS synth, {KEYS} {MAIN}")
 q("gap_series", pair(shifts=(0, 4)), f"SELECT t AS date, round(diff, 8) AS diff, {KEYS} {MAIN}")
@@ -379,27 +380,43 @@ series AS (
   SELECT g.t AS date, g.obs, g.synth, g.diff, b.upper_ci, b.lower_ci, b.ci_status, CAST(g.t0 AS INTEGER) AS "T0", {KEYS}, g.treatment_date
   FROM (SELECT * FROM gaps WHERE fit = 'main') g LEFT JOIN bands b USING ({KEYS}, idx))"""
 q("series_table", f"{pair()},{ci(False)},{SERIES}", """SELECT date, round(obs, 8) AS obs, round(synth, 8) AS synth,
-  round(diff, 8) AS diff, upper_ci, lower_ci, ci_status, "T0", outcome, treated, placebo FROM series""")
+  round(diff, 8) AS diff, upper_ci, lower_ci, ci_status, "T0", outcome, treated, placebo, treatment_date FROM series""")
 q("union_results", f"{uniform()},{TTEST},{block_p(0.0)}", f"""
-SELECT att, se, lb, ub, NULL::DOUBLE AS pval, "T0", {KEYS} FROM tests
-UNION ALL SELECT NULL, NULL, NULL, NULL, round(pval, 8), CAST(t0 AS INTEGER), {KEYS} FROM pvals""")
+SELECT att, se, lb, ub, NULL::DOUBLE AS pval, "T0", {KEYS}, v.treatment_date FROM tests JOIN {DATES} USING ({KEYS})
+UNION ALL SELECT NULL, NULL, NULL, NULL, round(pval, 8), CAST(p.t0 AS INTEGER), {KEYS}, v.treatment_date FROM pvals p JOIN {DATES} USING ({KEYS})""")
 q("built_once_panel", PANELS["quarter"], "SELECT outcome, unit, t, y FROM panel")
 q("stored_series", uniform(shifts=(0, 4)), f"""SELECT t AS date, round(obs, 8) AS obs, round(synth, 6) AS synth, round(diff, 6) AS diff,
-  NULL::DOUBLE AS upper_ci, NULL::DOUBLE AS lower_ci, NULL::VARCHAR AS ci_status, CAST(t0 AS INTEGER) AS "T0", {KEYS} {MAIN}""")
-q("stored_inference", f"{pair()},{TTEST}", f"""SELECT att, se, lb, ub, "T0", {KEYS}, 'ttest' AS method FROM tests""")
+  NULL::DOUBLE AS upper_ci, NULL::DOUBLE AS lower_ci, NULL::VARCHAR AS ci_status, CAST(t0 AS INTEGER) AS "T0", {KEYS}, treatment_date {MAIN}""")
+q("stored_inference", f"{pair()},{TTEST}", f"""SELECT att, se, lb, ub, "T0", {KEYS}, v.treatment_date, 'ttest' AS method
+  FROM tests JOIN {DATES} USING ({KEYS})""")
 q("stored_weights", ORACLES["sc_weights_two_donor"].removeprefix("WITH ").rsplit("\nSELECT m.unit", 1)[0],
   "SELECT m.unit" + ORACLES["sc_weights_two_donor"].rsplit("\nSELECT m.unit", 1)[1])
 RATES = f"""
 based AS (
-  SELECT s.t AS date, s.obs, s.synth, b.obs AS base, {KEYS} FROM (SELECT * FROM gaps WHERE fit = 'main') s
+  SELECT s.t AS date, s.obs, s.synth, b.obs AS base, {KEYS}, s.treatment_date FROM (SELECT * FROM gaps WHERE fit = 'main') s
   LEFT JOIN (SELECT {KEYS}, CAST(t + INTERVAL 12 MONTH AS DATE) AS t, obs FROM gaps WHERE fit = 'main') b USING ({KEYS}, t)
-  WHERE s.outcome IN ('all') AND s.t <= DATE '1999-07-01'),
+  WHERE s.outcome IN ('all') AND s.t <= s.treatment_date + INTERVAL 6 MONTH),
 rated AS (
-  SELECT date, {KEYS}, (obs - base) / base * 100 AS obs_rate,
-    CASE WHEN date > DATE '1999-01-01' THEN (synth - base) / base * 100 ELSE (obs - base) / base * 100 END AS synth_rate FROM based)"""
+  SELECT date, {KEYS}, treatment_date, (obs - base) / base * 100 AS obs_rate,
+    CASE WHEN date > treatment_date THEN (synth - base) / base * 100 ELSE (obs - base) / base * 100 END AS synth_rate FROM based)"""
 q("yoy_rate", f"{uniform('month')},{RATES}", f"SELECT date, round(obs_rate, 6) AS obs_rate, {KEYS} FROM rated")
 q("yoy_rate_synth", f"{uniform('month')},{RATES}", f"""SELECT date, round(obs_rate, 6) AS obs_rate, round(synth_rate, 6) AS synth_rate,
   round(obs_rate - synth_rate, 6) AS gaps_rate, {KEYS} FROM rated""")
+q("yoy_rate_own_dates", f"{uniform('month', (0, 12))},{RATES}", f"""SELECT date, round(obs_rate, 6) AS obs_rate, round(synth_rate, 6) AS synth_rate,
+  round(obs_rate - synth_rate, 6) AS gaps_rate, treatment_date, {KEYS} FROM rated""")
+
+
+def at_dates(sql: str, *dates: str) -> str:
+    """The statement at each base date, one after the other."""
+    base = SPEC["quarter"][0]
+    return " UNION ALL ".join(f"SELECT * FROM (WITH {sql.replace(base, d)})" for d in dates)
+
+
+ORACLES["estimate_two_dates"] = at_dates(f"""{pair()},{TTEST}
+SELECT att, se, lb, ub, "T0", {KEYS}, v.treatment_date FROM tests JOIN {DATES} USING ({KEYS})""", "2000-01-01", "1999-04-01")
+ORACLES["versioned_series"] = at_dates(f"""{pair()}
+SELECT t AS date, round(obs, 6) AS obs, round(synth, 6) AS synth, round(diff, 6) AS diff, CAST(t0 AS INTEGER) AS "T0", {KEYS}, treatment_date {MAIN}""",
+  "2000-01-01", "1999-04-01")
 q("report_frame", f"{uniform()},{ci(True)},{SERIES}", """
 , lines AS (
   SELECT date, obs AS value, NULL::DOUBLE AS upper_ci, NULL::DOUBLE AS lower_ci, 'Observed' AS series, outcome AS subplot,

@@ -21,7 +21,8 @@ from counterpanel.operators import (
     series,
     study as st,
 )
-from counterpanel.sources import sinks, tables as src
+from counterpanel.plans.estimate import estimate
+from counterpanel.sources import sinks, tables as src, versions
 from workload.panels import (
     PAIR,
     PRIORITIES,
@@ -490,7 +491,7 @@ def stored_weights(spark, sf_dir):
 
 
 def _rates(s: Setup) -> DataFrame:
-    return rates.year_on_year(_uniform_series(s), ["all"], s.treatment, 6)
+    return rates.year_on_year(_uniform_series(s), ["all"], horizon_months=6)
 
 
 @query
@@ -506,6 +507,49 @@ def yoy_rate_synth(spark, sf_dir):
     return rounded(_rates(s).select("date", *values, *TAGS), *values, digits=6)
 
 
+@query
+def yoy_rate_own_dates(spark, sf_dir):
+    """Two treatment dates of one outcome in one table, each rated by its own."""
+    s = Setup(spark, sf_dir, "month", shifts=(0, 12))
+    values = ("obs_rate", "synth_rate", "gaps_rate")
+    return rounded(_rates(s).select("date", *values, "treatment_date", *TAGS), *values, digits=6)
+
+
+def _two_dates(spark, sf_dir):
+    """The whole analysis at two dates of every outcome, in pools of two donors. The
+    panel also holds an outcome that is not asked for, with every key twice."""
+    panel = quarterly_panel(spark, sf_dir)
+    twice = panel.filter("outcome = 'all'").withColumn("outcome", F.lit("unasked"))
+    asked = panel.select("outcome").distinct().select(
+        "outcome",
+        F.explode(F.array(*[day(d) for d in ("2000-01-01", "1999-04-01")])).alias("treatment_date"),
+        F.lit(None).cast("date").alias("start_date"),
+        F.lit(None).cast("date").alias("end_date"),
+    )
+    roles = nation_roles(spark, sf_dir, PAIR)
+    return estimate(
+        panel.unionByName(twice).unionByName(twice),
+        roles.filter("role = 'treated'"),
+        roles.filter("role = 'control'"),
+        asked,
+        grain="quarter",
+    )
+
+
+@query
+def estimate_two_dates(spark, sf_dir):
+    return rounded(_two_dates(spark, sf_dir).inference, "att", "se", "lb", "ub")
+
+
+@query
+def versioned_series(spark, sf_dir):
+    """Series of a whole analysis, committed as a version and read back from it."""
+    base = _fresh_folder(spark, "versions")
+    result = _two_dates(spark, sf_dir)
+    result.save_version(base, "csv")
+    return rounded(versions.read_version(spark, base)["series"].drop("ci_step", "upper_ci", "lower_ci", "ci_status"), "obs", "synth", "diff", digits=6)
+
+
 def _labels(spark, sf_dir) -> DataFrame:
     """Display label and line keys of every unit."""
     number = F.substring_index("unit", "_", -1)
