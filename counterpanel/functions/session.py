@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
+_written: dict[str, list[str]] = {}  # by application, in order
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,9 +39,26 @@ def written_table(df: DataFrame, name: str) -> DataFrame:
     app = spark.sparkContext.applicationId
     path = f"{shared_dir(spark)}/counterpanel/{app}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.setdefault(app, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tables_written(spark: SparkSession) -> list[str]:
+    """Paths of this application's written tables, oldest first."""
+    return list(_written.get(spark.sparkContext.applicationId, []))
+
+
+def remove_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Delete written tables that nothing reads any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    known = _written.get(spark.sparkContext.applicationId, [])
+    for path in paths:
+        if path in known:
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(conf).delete(target, True)
+            known.remove(path)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash rows by key over all cores, a few waves deep.
 

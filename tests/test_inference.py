@@ -149,8 +149,8 @@ def test_wide_pools_give_the_same_results(result):
     a = result(compute_ci=True, infer_method="conformal")
     b = result(compute_ci=True, infer_method="conformal", max_pool=2)
     for one, two in ((a.series, b.series), (a.weights, b.weights), (a.inference, b.inference)):
-        x = one.toPandas().sort_values(list(one.columns[-3:]) + [one.columns[0]]).reset_index(drop=True)
-        y = two.toPandas().sort_values(list(two.columns[-3:]) + [two.columns[0]]).reset_index(drop=True)
+        x = one.toPandas().sort_values(["outcome", "treated", "placebo", one.columns[0]]).reset_index(drop=True)
+        y = two.toPandas().sort_values(["outcome", "treated", "placebo", two.columns[0]]).reset_index(drop=True)
         assert list(x.columns) == list(y.columns) and len(x) == len(y)
         for c in x.columns:
             if x[c].dtype.kind == "f":
