@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 
 BATCH_BYTES = 8 << 20  # text bytes worked on at a time
 CACHE_BYTES = 128 << 20  # about what one Python worker remembers of pieces and their ids
-PIECE_COST = 230  # bytes of a remembered piece besides its characters and ids
+PIECE_COST = 150  # bytes of a remembered piece besides its characters and ids
 CALL_PIECES = 500
 CALL_CHARS = 1 << 16  # a call's result takes some hundred bytes a token
 
@@ -88,7 +88,7 @@ class PieceEncoder:
         self.cache_bytes = cache_bytes
         # slots by piece: as it stands, after one space, and the same of plain stems;
         # line ends before a word. Slot 0 is the empty piece.
-        self.known: dict[str, dict[str, int]] = {k: {} for k in ("bare", "spaced", "stem", "spaced stem", "ends")}
+        self.known: dict[str, dict[str, int]] = {k: {"": 0} for k in ("bare", "spaced", "stem", "spaced stem", "ends")}
         self.lengths = np.zeros(1, np.int64)
         self.starts = np.zeros(1, np.int64)
         self.flat = np.zeros(0, np.uint32)
@@ -153,8 +153,9 @@ class PieceEncoder:
         return self._joined([" " + p for p in pieces] if kind == "spaced" else pieces)
 
     def _slots(self, pieces: list[str], kind: str) -> np.ndarray:
+        """Slots of distinct pieces."""
         known = self.known[kind]
-        new = list(dict.fromkeys(p for p in pieces if p and p not in known))
+        new = [p for p in pieces if p not in known]
         if new:
             found = list(self._encode(new, kind))
             lengths = np.fromiter(map(len, found), np.int64, len(found))
@@ -168,7 +169,7 @@ class PieceEncoder:
             self.flat = np.concatenate((self.flat, ids))
             self.cost = np.concatenate((self.cost, cost))
             self.met = np.concatenate((self.met, np.zeros(len(new), np.int32)))
-        slots = np.fromiter((known[p] if p else 0 for p in pieces), np.int64, len(pieces))
+        slots = np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
         self.met[slots] += 1
         return slots
 
