@@ -1,12 +1,16 @@
 """Near-duplicate lines by an exact set-similarity join, in column expressions.
 
-A line is the set of its runs of five lower-case words, its tokens. Tokens are
-ordered by rarity, from a table of counts of fixed size over all lines, then by hash; both are packed in
-one number, so a sorted array is a line in rarity order. Lines with equal sets
-are one class. Two sets with Jaccard >= 0.8 share a token in their prefixes; the
-length filter and the positional filter drop most pairs that meet there, and the
-rest are verified on the whole sets. A line is removed if an earlier line (by
-document id, then line number) has an equal or similar set.
+A line is the set of its lower-case words, its tokens; a line with fewer than five
+words has one token, the whole sequence, and so meets equal lines only. Tokens are
+ordered by rarity, from a table of counts of fixed size over all lines, then by
+hash; both are packed in one number, so a sorted array is a line in rarity order.
+Lines with equal sets are one class. Two sets with Jaccard >= 0.8 share a token in
+their prefixes; the length filter and the positional filter drop most pairs that
+meet there, and the rest are verified on the whole sets. A line is removed if an
+earlier line (by document id, then line number) has an equal or similar set.
+
+Words are cut twice, once for the counts and once for one narrow row a line, which
+all later steps read; whole sets are made again for lines in candidate pairs only.
 
 What is asked for is whether an earlier match exists, so each class first meets
 the earliest class of each of its prefix words; only classes that are still in
@@ -23,26 +27,23 @@ from counterpanel.functions.session import written_table
 PERCENT = 80  # Jaccard threshold
 COUNTERS = 1 << 16  # of the word count table, whatever the input's size
 HASH_BITS = 42
-FILTER_WORDS = 1 << 15  # 64-bit words of the set of documents read for verification
-WIDTH = 5  # words in a token
-SPACE = r"[\x20\x09-\x0D]+"
-
-
-def _tokens(line: Column) -> Column:
-    """Distinct hashes of the runs of WIDTH words of a line."""
-    words = F.transform(F.filter(F.split(F.lower(line), SPACE), lambda w: w != ""), lambda w: F.xxhash64(w))
-    starts = F.sequence(F.lit(1), F.size(words) - (WIDTH - 1))
-    runs = F.transform(
-        F.when(F.size(words) >= WIDTH, F.array(words)).otherwise(F.array().cast("array<array<bigint>>")),
-        lambda w: F.transform(starts, lambda i: F.xxhash64(*[F.get(w, i + (k - 1)) for k in range(WIDTH)])),
-    )
-    return F.array_distinct(F.flatten(runs))
+FILTER_WORDS = 1 << 15  # 64-bit words of the set of lines cut again for verification
+SHORT = 5  # lines with fewer words are compared as sequences
+SPACES = "\t\x0b\x0c\r"  # read as blanks; lines end at \n
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, tokens) of lines with WIDTH words or more."""
-    cut = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "body"))
-    return cut.select("doc_id", "line", _tokens(F.col("body")).alias("tokens")).filter(F.size("tokens") > 0)
+    """(doc_id, line, body) of all lines."""
+    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "body"))
+
+
+def _words(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``words`` in place of ``body``: all words of a line, or its whole
+    sequence behind a blank if it is short. Lines without words are left out."""
+    blank = F.translate(F.lower("body"), SPACES, " " * len(SPACES))
+    cut = lines.withColumn("words", F.array_remove(F.split(blank, " "), "")).drop("body").filter(F.size("words") > 0)
+    whole = F.array(F.concat(F.lit(" "), F.array_join("words", " ")))
+    return cut.withColumn("words", F.when(F.size("words") < SHORT, whole).otherwise(F.col("words")))
 
 
 def _slot(token: Column) -> Column:
@@ -56,7 +57,8 @@ def _literal(values: list[int], kind: str) -> Column:
 
 def _rarity(docs: DataFrame) -> Column:
     """Rank by count of each of COUNTERS word classes, as an array constant."""
-    counted = _lines(docs).select(F.explode("tokens").alias("t")).groupBy(_slot(F.col("t")).alias("slot")).agg(F.count("*").alias("n"))
+    tokens = _words(_lines(docs)).select(F.explode("words").alias("w")).select(F.xxhash64("w").alias("t"))
+    counted = tokens.groupBy(_slot(F.col("t")).alias("slot")).agg(F.count("*").alias("n"))
     ranks = [0] * COUNTERS
     for rank, row in enumerate(sorted(counted.collect(), key=lambda r: (r["n"], r["slot"]))):  # at most COUNTERS rows
         ranks[row["slot"]] = rank
@@ -64,14 +66,15 @@ def _rarity(docs: DataFrame) -> Column:
 
 
 def _keyed(lines: DataFrame, rarity: Column) -> DataFrame:
-    """Lines with ``keys``, their words as rank and hash in one number, sorted."""
+    """Lines with ``keys``, their distinct tokens as rank and hash in one number, sorted."""
     low = (1 << HASH_BITS) - 1
 
     def key(t: Column) -> Column:
         rank = F.element_at(rarity, _slot(t) + 1).cast("bigint")
         return F.shiftleft(rank, HASH_BITS).bitwiseOR(t.bitwiseAND(F.lit(low)))
 
-    keyed = lines.withColumn("keys", F.sort_array(F.transform("tokens", key)))
+    tokens = F.array_distinct(F.transform("words", lambda w: F.xxhash64(w)))
+    keyed = _words(lines).withColumn("keys", F.sort_array(F.transform(tokens, key)))
     return keyed.select("doc_id", "line", "keys", F.xxhash64("keys").alias("h1"), F.xxhash64(F.lit(1), "keys").alias("h2"))
 
 
@@ -99,16 +102,16 @@ def _pairs(mine: DataFrame, other: DataFrame) -> DataFrame:
 def _matched(pairs: DataFrame, classes: DataFrame, docs: DataFrame, rarity: Column) -> DataFrame:
     """(b1, b2) of classes with a verified match among ``pairs``.
 
-    The sets are made again from the documents that hold a first line; a bit
-    table of fixed size picks them before anything is shuffled.
+    The sets are made again from the first lines of the classes in them; a bit
+    table of fixed size picks these before their words are cut.
     """
     ends = pairs.select(F.col("b1").alias("h1"), F.col("b2").alias("h2")).unionByName(pairs.select(F.col("a1").alias("h1"), F.col("a2").alias("h2")))
     wanted = classes.join(ends.distinct(), ["h1", "h2"], "left_semi").select(F.col("h1").alias("w1"), F.col("h2").alias("w2"), "first")
 
-    def place(doc: Column) -> Column:
-        return F.pmod(F.xxhash64(doc.cast("string")), F.lit(64 * FILTER_WORDS))
+    def place(doc: Column, line: Column) -> Column:
+        return F.pmod(F.xxhash64(doc.cast("string"), line), F.lit(64 * FILTER_WORDS))
 
-    at = place(F.col("first.doc"))
+    at = place(F.col("first.doc"), F.col("first.line"))
     words = wanted.select(F.floor(at / 64).cast("int").alias("word"), (at % 64).cast("int").alias("bit")).groupBy("word").agg(
         F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")
     )
@@ -116,10 +119,10 @@ def _matched(pairs: DataFrame, classes: DataFrame, docs: DataFrame, rarity: Colu
     for row in words.collect():  # at most FILTER_WORDS rows
         table[row["word"]] = row["bits"]
     bits = _literal(table, "bigint")
-    p = place(F.col("doc_id"))
+    p = place(F.col("doc_id"), F.col("line"))
     known = F.element_at(bits, F.floor(p / 64).cast("int") + 1)
-    picked = docs.withColumn("__at", (p % 64).cast("int")).withColumn("__known", known).filter("shiftrightunsigned(__known, __at) & 1L = 1L")
-    made = _keyed(_lines(picked.select("doc_id", "text")), rarity).select("h1", "h2", "keys", _first().alias("at"))
+    picked = _lines(docs).withColumn("bit", (p % 64).cast("int")).withColumn("known", known).filter("shiftrightunsigned(known, bit) & 1L = 1L")
+    made = _keyed(picked.select("doc_id", "line", "body"), rarity).select("h1", "h2", "keys", _first().alias("at"))
     sets = made.join(wanted, (F.col("h1") == F.col("w1")) & (F.col("h2") == F.col("w2")) & (F.col("at") == F.col("first")))
     sets = written_table(sets.groupBy("h1", "h2").agg(F.first("keys").alias("keys")), "line-sets")
     a, b = sets.toDF("a1", "a2", "keys_a"), sets.toDF("b1", "b2", "keys_b")
@@ -131,17 +134,18 @@ def _matched(pairs: DataFrame, classes: DataFrame, docs: DataFrame, rarity: Colu
 def repeated_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, line) of the lines to remove, lines numbered from 0.
 
-    Lines with fewer than WIDTH words always stay, and so does the
-    first line of all that are alike. Rows that repeat a document id and line
-    number with equal words are one line and share its decision. Null and empty
-    texts have no lines to remove. Other columns are not read.
+    The first line of all that are alike stays, and so do lines without words.
+    Rows that repeat a document id and line number with equal words are one line
+    and share its decision. Null and empty texts have no lines to remove. Other
+    columns are not read.
     """
     given = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     rarity = _rarity(given)
-    keyed = _keyed(_lines(given), rarity)
     n = F.size("keys")
     prefix = F.slice("keys", F.lit(1), (n - F.ceil(n * PERCENT / 100) + 1).cast("int"))
-    classes = keyed.groupBy("h1", "h2").agg(F.min(_first()).alias("first"), F.first(n).alias("n"), F.first(prefix).alias("prefix"))
+    keyed = _keyed(_lines(given), rarity).select("doc_id", "line", "h1", "h2", n.alias("n"), prefix.alias("prefix"))
+    lines = written_table(keyed, "line-keys")
+    classes = lines.groupBy("h1", "h2").agg(F.min(_first()).alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     classes = written_table(classes.withColumn("node", F.monotonically_increasing_id()), "line-classes")
     # narrow rows first: most prefix words occur in one class only
     index = classes.select(F.posexplode("prefix").alias("pos", "key"), "n", "node")
@@ -160,8 +164,7 @@ def repeated_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     fate = classes.select("h1", "h2", "first").join(
         gone.withColumnsRenamed({"b1": "h1", "b2": "h2"}).withColumn("matched", F.lit(True)), ["h1", "h2"], "left"
     )
-    lines = keyed.select("doc_id", "line", "h1", "h2", _first().alias("at"))
-    decided = lines.join(fate, ["h1", "h2"]).filter(F.col("matched").isNotNull() | (F.col("at") != F.col("first")))
+    decided = lines.select("doc_id", "line", "h1", "h2", _first().alias("at")).join(fate, ["h1", "h2"]).filter(F.col("matched").isNotNull() | (F.col("at") != F.col("first")))
     return decided.select("doc_id", "line").distinct()
 
 
@@ -171,13 +174,16 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
     empty text; a null text stays null with 0 lines."""
     if {"n_lines", "n_removed"} & set(docs.columns):
         raise ValueError("docs has a column named n_lines or n_removed")
-    lists = repeated_lines(docs, doc_id=doc_id, text=text).groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list("line").alias("__gone"))
-    joined = docs.join(lists, F.col(f"`{doc_id}`").eqNullSafe(F.col("__doc")), "left")
-    lines = F.split(F.col(f"`{text}`"), "\n")
-    gone = F.coalesce("__gone", F.array().cast("array<int>"))
-    kept = F.filter(F.transform(lines, lambda body, i: F.struct(i.alias("i"), body.alias("body"))), lambda s: ~F.array_contains(gone, s.i))
-    joined = joined.withColumn("n_lines", F.when(F.col(f"`{text}`").isNull(), 0).otherwise(F.size(lines)).cast("bigint"))
-    joined = joined.withColumn("n_removed", F.size(gone).cast("bigint")).withColumn(
-        text, F.when(F.col("n_removed") > 0, F.array_join(F.transform(kept, lambda s: s.body), "\n")).otherwise(F.col(f"`{text}`"))
+    lists = repeated_lines(docs, doc_id=doc_id, text=text).groupBy(F.col("doc_id").alias("of_doc")).agg(F.collect_list("line").alias("gone"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    joined = rows.join(lists, F.col(f"doc.`{doc_id}`").eqNullSafe(F.col("of_doc")), "left")
+    body = F.col(f"doc.`{text}`")
+    lines = F.split(body, "\n")
+    gone = F.coalesce("gone", F.array().cast("array<int>"))
+    kept = F.filter(F.transform(lines, lambda line, i: F.struct(i.alias("i"), line.alias("body"))), lambda s: ~F.array_contains(gone, s.i))
+    left = F.when(F.size(gone) > 0, F.array_join(F.transform(kept, lambda s: s.body), "\n")).otherwise(body)
+    return joined.select(
+        *[left.alias(c) if c == text else F.col(f"doc.`{c}`").alias(c) for c in docs.columns],
+        F.when(body.isNull(), 0).otherwise(F.size(lines)).cast("bigint").alias("n_lines"),
+        F.size(gone).cast("bigint").alias("n_removed"),
     )
-    return joined.drop("__doc", "__gone")

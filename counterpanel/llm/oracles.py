@@ -68,8 +68,8 @@ WITH cut AS (
 ), words AS (
   SELECT doc_id, line, regexp_extract_all(lower(body), '{WORDS}') AS w FROM cut
 ), tokens AS (
-  SELECT DISTINCT doc_id, line, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], '_'))) AS t
-  FROM words WHERE len(w) >= 5
+  SELECT DISTINCT doc_id, line, unnest(CASE WHEN len(w) >= 5 THEN w ELSE [chr(9) || array_to_string(w, chr(9))] END) AS t
+  FROM words WHERE len(w) > 0
 ), sizes AS (
   SELECT doc_id, line, count(*) AS n, string_agg(t, ' ' ORDER BY t) AS whole FROM tokens GROUP BY doc_id, line
 ), classes AS (

@@ -125,14 +125,25 @@ def test_line_dedup(docs):
     for doc, text in rows:
         for i, line in enumerate((text or "").split("\n")):
             w = WORD.findall(line.lower())
-            if len(w) >= 5:
-                lines.append(((doc is None, doc or 0, i), (doc, i), {tuple(w[k : k + 5]) for k in range(len(w) - 4)}))
+            if w:
+                lines.append(((doc is None, doc or 0, i), (doc, i), set(w) if len(w) >= 5 else {tuple(w)}))
     gone = {di for o, di, s in lines if any(p < o and 100 * len(s & t) >= 80 * len(s | t) for p, _, t in lines)}
     assert {tuple(r) for r in line_dedup.repeated_lines(clashing(docs)).collect()} == gone
     out = line_dedup.dedup_lines(docs)
     assert out.columns == [*docs.columns, "n_lines", "n_removed"] and out.count() == docs.count()
 
 
+def test_line_dedup_short_and_similar_lines(spark):
+    words = [f"w{i}" for i in range(20)]
+    texts = [(1, "Buy it now\n\n" + " ".join(words)), (2, "buy  IT now\n\n" + " ".join([*words[:7], "other", *words[8:]])), (3, "now buy it\na a a a a"), (4, "a")]
+    gone = line_dedup.repeated_lines(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert sorted(map(tuple, gone.collect())) == [(2, 0), (2, 2)]
+    named = spark.createDataFrame([(*r, 1, 2) for r in texts], "doc_id long, text string, __doc int, __gone int")
+    out = line_dedup.dedup_lines(named)
+    assert out.columns == [*named.columns, "n_lines", "n_removed"]
+    assert {r["doc_id"]: r["text"] for r in out.collect()}[2] == ""
+
+
 def test_tokens_round_trip(spark, docs, tmp_path):
     path = public_tokenizers.path("byte_bpe_50k.json")
     token_output.write_tokens(clashing(docs), f"file://{tmp_path}/t", path, segment_tokens=1000)
