@@ -5,16 +5,18 @@ words has one token, the whole sequence, and so meets equal lines only. Tokens a
 ordered by rarity, from a table of counts of fixed size over all lines, then by
 hash; both are packed in one number, so a sorted array is a line in rarity order.
 Lines with equal sets are one class. Two sets with Jaccard >= 0.8 share a token in
-their prefixes; the length filter and the positional filter drop most pairs that
-meet there, and the rest are verified on the whole sets. A line is removed if an
-earlier line (by document id, then line number) has an equal or similar set.
+their prefixes. Of the pairs that meet there most are dropped by the length filter,
+the positional filter and the parities of the sets' tokens in 128 classes, which
+bound how many tokens are in one set only; the rest are verified on the whole sets.
+A line is removed if an earlier line (by document id, then line number) has an
+equal or similar set.
 
 Words are cut twice, once for the counts and once for one narrow row a line, which
 all later steps read; whole sets are made again for lines in candidate pairs only.
 
-What is asked for is whether an earlier match exists, so each class first meets
-the earliest class of each of its prefix words; only classes that are still in
-the running then meet all earlier ones.
+What is asked for is whether an earlier match exists. Classes of a word with a short
+list all meet. In a long list, each class first meets the earliest class alone; only
+classes that are still without a match then meet all earlier ones.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ HASH_BITS = 42
 FILTER_WORDS = 1 << 15  # 64-bit words of the set of lines cut again for verification
 SHORT = 5  # lines with fewer words are compared as sequences
 SPACES = "\t\x0b\x0c\r"  # read as blanks; lines end at \n
+LONG = 256  # classes of a word; longer lists meet their earliest class first
+PARITY = 64  # token classes in each of two parity numbers
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -37,13 +41,20 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "body"))
 
 
+def _blanks(text: Column, spaces: str) -> Column:
+    """Lower-case text with ``spaces`` as blanks."""
+    text = F.lower(text)
+    for c in spaces:
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return text
+
+
 def _words(lines: DataFrame) -> DataFrame:
     """``lines`` with ``words`` in place of ``body``: all words of a line, or its whole
-    sequence behind a blank if it is short. Lines without words are left out."""
-    blank = F.translate(F.lower("body"), SPACES, " " * len(SPACES))
-    cut = lines.withColumn("words", F.array_remove(F.split(blank, " "), "")).drop("body").filter(F.size("words") > 0)
+    sequence behind a blank if it is short, or none."""
+    cut = lines.withColumn("words", F.array_remove(F.split(_blanks(F.col("body"), SPACES), " "), "")).drop("body")
     whole = F.array(F.concat(F.lit(" "), F.array_join("words", " ")))
-    return cut.withColumn("words", F.when(F.size("words") < SHORT, whole).otherwise(F.col("words")))
+    return cut.withColumn("words", F.when(F.size("words").between(1, SHORT - 1), whole).otherwise(F.col("words")))
 
 
 def _slot(token: Column) -> Column:
@@ -57,8 +68,8 @@ def _literal(values: list[int], kind: str) -> Column:
 
 def _rarity(docs: DataFrame) -> Column:
     """Rank by count of each of COUNTERS word classes, as an array constant."""
-    tokens = _words(_lines(docs)).select(F.explode("words").alias("w")).select(F.xxhash64("w").alias("t"))
-    counted = tokens.groupBy(_slot(F.col("t")).alias("slot")).agg(F.count("*").alias("n"))
+    words = docs.select(F.explode(F.split(_blanks(F.col("text"), SPACES + "\n"), " ")).alias("w")).filter("w <> ''")
+    counted = words.select(_slot(F.xxhash64("w")).alias("slot")).groupBy("slot").agg(F.count("*").alias("n"))
     ranks = [0] * COUNTERS
     for rank, row in enumerate(sorted(counted.collect(), key=lambda r: (r["n"], r["slot"]))):  # at most COUNTERS rows
         ranks[row["slot"]] = rank
@@ -83,30 +94,58 @@ def _first() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc"), F.col("line").alias("line"))
 
 
-def _pairs(mine: DataFrame, other: DataFrame) -> DataFrame:
-    """(b1, b2, nb, a1, a2, na): a class ``b`` and an earlier ``a`` that meet in a
-    prefix word and pass the length and the positional filter."""
-    a = other.select(
-        F.col("key").alias("k"), F.col("first").alias("first_a"), F.col("h1").alias("a1"), F.col("h2").alias("a2"),
-        F.col("n").alias("na"), F.col("pos").alias("pos_a"),
-    )
-    shared = F.least("pos", "pos_a") + 1 + F.least(F.col("n") - F.col("pos"), F.col("na") - F.col("pos_a")) - 1
+def _parity(keys: Column, half: int) -> Column:
+    """Parities of the number of keys in each class of their low bits, one half of them."""
+
+    def add(found: Column, k: Column) -> Column:
+        bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), k.bitwiseAND(F.lit(PARITY - 1)).cast("int"))
+        return F.when(k.bitwiseAND(F.lit(PARITY)) == half * PARITY, found.bitwiseXOR(bit)).otherwise(found)
+
+    return F.aggregate(keys, F.lit(0).cast("bigint"), add)
+
+
+def _other(rows: DataFrame) -> DataFrame:
+    """Columns of an index row, renamed for the second class of a pair."""
+    return rows.toDF(*[f"{c}_a" for c in rows.columns])
+
+
+def _passing(met: DataFrame) -> DataFrame:
+    """(b, nb, a, na): classes that meet in a prefix word and pass the filters."""
+    n, na = F.col("n"), F.col("n_a")
+    shared = F.least("pos", "pos_a") + F.least(n - F.col("pos"), na - F.col("pos_a"))
+    apart = F.bit_count(F.col("odd").bitwiseXOR(F.col("odd_a"))) + F.bit_count(F.col("odd2").bitwiseXOR(F.col("odd2_a")))
     passes = (
-        (F.col("na") * 100 >= F.col("n") * PERCENT) & (F.col("n") * 100 >= F.col("na") * PERCENT)
-        & (shared * (100 + PERCENT) >= (F.col("n") + F.col("na")) * PERCENT)
+        (na * 100 >= n * PERCENT) & (n * 100 >= na * PERCENT)
+        & (shared * (100 + PERCENT) >= (n + na) * PERCENT)
+        & (apart * (100 + PERCENT) <= (n + na) * (100 - PERCENT))
     )
-    met = mine.join(a, (F.col("key") == F.col("k")) & (F.col("first_a") < F.col("first")) & passes)
-    return met.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("n").alias("nb"), "a1", "a2", "na").distinct()
+    return met.filter(passes).select(F.col("node").alias("b"), n.alias("nb"), F.col("node_a").alias("a"), na.alias("na")).distinct()
+
+
+def _met(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs that pass, and the index rows of long lists that have yet to meet:
+    there, only the earliest class has met the others."""
+    index = classes.select(F.posexplode("prefix").alias("pos", "key"), "n", "node", "odd", "odd2", "first")
+    counted = index.groupBy("key").agg(F.count("*").alias("len"))
+    long = written_table(counted.filter(F.col("len") > LONG).select("key"), "line-long")
+    # the same columns on both sides, so that one shuffle serves both
+    short = index.drop("first").join(long, "key", "left_anti").repartition("key")
+    pairs = _passing(short.join(_other(short), (F.col("key") == F.col("key_a")) & (F.col("node_a") < F.col("node"))))
+    rows = written_table(index.join(long, "key", "left_semi"), "line-index")
+    heads = rows.groupBy("key").agg(F.min(F.struct("first", "node", "n", "pos", "odd", "odd2")).alias("head"))
+    heads = _other(heads.select("key", "head.*"))
+    headed = _passing(rows.join(heads, (F.col("key") == F.col("key_a")) & (F.col("node_a") != F.col("node"))))
+    return pairs.unionByName(headed), rows
 
 
 def _matched(pairs: DataFrame, classes: DataFrame, docs: DataFrame, rarity: Column) -> DataFrame:
-    """(b1, b2) of classes with a verified match among ``pairs``.
+    """Numbers ``b`` of the later class of each verified pair among ``pairs``.
 
     The sets are made again from the first lines of the classes in them; a bit
     table of fixed size picks these before their words are cut.
     """
-    ends = pairs.select(F.col("b1").alias("h1"), F.col("b2").alias("h2")).unionByName(pairs.select(F.col("a1").alias("h1"), F.col("a2").alias("h2")))
-    wanted = classes.join(ends.distinct(), ["h1", "h2"], "left_semi").select(F.col("h1").alias("w1"), F.col("h2").alias("w2"), "first")
+    ends = pairs.select(F.col("b").alias("node")).unionByName(pairs.select(F.col("a").alias("node"))).distinct()
+    wanted = classes.join(ends, "node", "left_semi").select("node", F.col("h1").alias("w1"), F.col("h2").alias("w2"), "first")
 
     def place(doc: Column, line: Column) -> Column:
         return F.pmod(F.xxhash64(doc.cast("string"), line), F.lit(64 * FILTER_WORDS))
@@ -124,11 +163,11 @@ def _matched(pairs: DataFrame, classes: DataFrame, docs: DataFrame, rarity: Colu
     picked = _lines(docs).withColumn("bit", (p % 64).cast("int")).withColumn("known", known).filter("shiftrightunsigned(known, bit) & 1L = 1L")
     made = _keyed(picked.select("doc_id", "line", "body"), rarity).select("h1", "h2", "keys", _first().alias("at"))
     sets = made.join(wanted, (F.col("h1") == F.col("w1")) & (F.col("h2") == F.col("w2")) & (F.col("at") == F.col("first")))
-    sets = written_table(sets.groupBy("h1", "h2").agg(F.first("keys").alias("keys")), "line-sets")
-    a, b = sets.toDF("a1", "a2", "keys_a"), sets.toDF("b1", "b2", "keys_b")
+    sets = written_table(sets.groupBy("node").agg(F.first("keys").alias("keys"), F.first("first").alias("first")), "line-sets")
     common = F.size(F.array_intersect("keys_a", "keys_b"))
-    verified = pairs.join(b, ["b1", "b2"]).join(a, ["a1", "a2"]).withColumn("common", common)
-    return verified.filter(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * PERCENT).select("b1", "b2").distinct()
+    verified = pairs.join(sets.toDF("b", "keys_b", "first_b"), "b").join(sets.toDF("a", "keys_a", "first_a"), "a").withColumn("common", common)
+    verified = verified.filter(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * PERCENT)
+    return verified.select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("b")).distinct()
 
 
 def repeated_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -143,29 +182,25 @@ def repeated_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     rarity = _rarity(given)
     n = F.size("keys")
     prefix = F.slice("keys", F.lit(1), (n - F.ceil(n * PERCENT / 100) + 1).cast("int"))
-    keyed = _keyed(_lines(given), rarity).select("doc_id", "line", "h1", "h2", n.alias("n"), prefix.alias("prefix"))
-    lines = written_table(keyed, "line-keys")
-    classes = lines.groupBy("h1", "h2").agg(F.min(_first()).alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    parities = [_parity(F.col("keys"), 0).alias("odd"), _parity(F.col("keys"), 1).alias("odd2")]
+    keyed = _keyed(_lines(given), rarity).select("doc_id", "line", "h1", "h2", n.alias("n"), prefix.alias("prefix"), *parities)
+    lines = written_table(keyed, "line-keys").filter("n > 0")
+    alike = [F.first(c).alias(c) for c in ("n", "prefix", "odd", "odd2")]
+    classes = lines.groupBy("h1", "h2").agg(F.min(_first()).alias("first"), *alike)
     classes = written_table(classes.withColumn("node", F.monotonically_increasing_id()), "line-classes")
-    # narrow rows first: most prefix words occur in one class only
-    index = classes.select(F.posexplode("prefix").alias("pos", "key"), "n", "node")
-    several = index.groupBy("key").agg(F.count("*").alias("len")).filter("len > 1").select("key")
-    met = index.join(several, "key", "left_semi").join(classes.select("node", "first", "h1", "h2"), "node")
-    rows = written_table(met.drop("node"), "line-index")
-    head = F.min(F.struct("first", "h1", "h2", "n", "pos"))
-    earliest = rows.groupBy("key").agg(head.alias("head")).select("key", "head.*")
-    pairs = written_table(_pairs(rows, earliest), "line-pairs")
+    pairs, rows = _met(classes)
+    pairs = written_table(pairs, "line-pairs")
     gone = written_table(_matched(pairs, classes, given, rarity), "line-matched")
-    still = rows.join(gone, (F.col("h1") == F.col("b1")) & (F.col("h2") == F.col("b2")), "left_anti")
-    rest = _pairs(still, rows).join(pairs.select("b1", "b2", "a1", "a2"), ["b1", "b2", "a1", "a2"], "left_anti")
-    rest = written_table(rest, "line-pairs-rest")
-    gone = gone.unionByName(_matched(rest, classes, given, rarity))
+    still = rows.join(gone.select(F.col("b").alias("node")), "node", "left_anti").select(*rows.columns)
+    rest = _passing(still.join(_other(rows), (F.col("key") == F.col("key_a")) & (F.col("first_a") < F.col("first"))))
+    rest = written_table(rest.join(pairs, ["b", "nb", "a", "na"], "left_anti"), "line-pairs-rest")
+    gone = gone.unionByName(_matched(rest, classes, given, rarity)).distinct()
     # of a class without a match the first line stays, of one with a match none
-    fate = classes.select("h1", "h2", "first").join(
-        gone.withColumnsRenamed({"b1": "h1", "b2": "h2"}).withColumn("matched", F.lit(True)), ["h1", "h2"], "left"
+    fate = classes.select("node", "h1", "h2", "first").join(
+        gone.select(F.col("b").alias("node"), F.lit(True).alias("matched")), "node", "left"
     )
-    decided = lines.select("doc_id", "line", "h1", "h2", _first().alias("at")).join(fate, ["h1", "h2"]).filter(F.col("matched").isNotNull() | (F.col("at") != F.col("first")))
-    return decided.select("doc_id", "line").distinct()
+    decided = lines.select("doc_id", "line", "h1", "h2", _first().alias("at")).join(fate, ["h1", "h2"])
+    return decided.filter(F.col("matched").isNotNull() | (F.col("at") != F.col("first"))).select("doc_id", "line").distinct()
 
 
 def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

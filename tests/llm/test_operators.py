@@ -120,7 +120,9 @@ def test_jaccard_components(docs):
     assert len(kept) == len({(c, d if n == 0 else None) for d, n, c in plain_components(listed(docs))})
 
 
-def test_line_dedup(docs):
+@pytest.mark.parametrize("long", [line_dedup.LONG, 2])
+def test_line_dedup(docs, monkeypatch, long):
+    monkeypatch.setattr(line_dedup, "LONG", long)
     rows, lines = listed(docs), []
     for doc, text in rows:
         for i, line in enumerate((text or "").split("\n")):
