@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from counterpanel.llm.memory import handing_back
 
@@ -106,7 +107,7 @@ class ItemIndex:
         return found
 
     def hits(self, text: str) -> list[tuple[int, int, int]]:
-        """(item_id, distance, end in the normalised text) of items found."""
+        """(place in the list of items, distance, end in the normalised text) of items found."""
         if not self.items:
             return []
         best: dict[int, tuple[int, int]] = {}
@@ -120,7 +121,7 @@ class ItemIndex:
                 found = self._climb(i, piece, start, text)
                 if found is not None and (i not in best or found < best[i]):
                     best[i] = found
-        return [(self.items[i][0], *found) for i, found in best.items()]
+        return [(i, *found) for i, found in best.items()]
 
 
 def find_items(
@@ -142,27 +143,29 @@ def find_items(
     characters) are found exactly only, empty or null ones never. Null and empty
     texts hold nothing. Items are matched in blocks of bounded size, each block
     against all rows; documents are not shuffled. Repeated rows give repeated
-    results, an empty side gives none.
+    results, an empty side gives none. Items that share an id, or have none, are
+    found on their own, each with its own length; ids are of any atomic type.
     """
     given = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), normalised(F.col(f"`{text}`")).alias("body"))
     given = given.filter("body <> ''")
     kind = given.schema["doc_id"].dataType.simpleString()
     item_kind = benchmark.schema[item_id].dataType.simpleString()
+    item_type = to_arrow_type(benchmark.schema[item_id].dataType)
     schema = f"doc_id {kind}, item_id {item_kind}, distance int, item_chars int"
     names = ["doc_id", "item_id", "distance", "item_chars"]
     found = docs.sparkSession.createDataFrame([], schema)
     for block in item_blocks(benchmark, item_id, item_text, block_chars):
-        sizes = {i: len(t) for i, t in block}
 
-        def match(batches: Iterator[pa.RecordBatch], block=block, sizes=sizes) -> Iterator[pa.RecordBatch]:
+        def match(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             index = ItemIndex(block, share)
             for batch in batches:
                 rows = [(at, *hit) for at, body in enumerate(batch.column(1)) for hit in index.hits(body.as_py())]
                 if rows:
                     at, items, distances, _ = zip(*rows, strict=True)
-                    chars = [sizes[i] for i in items]
+                    ids = pa.array([block[i][0] for i in items], item_type)
+                    chars = [len(block[i][1]) for i in items]
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(at)), pa.array(items), pa.array(distances, pa.int32()), pa.array(chars, pa.int32())],
+                        [batch.column(0).take(pa.array(at)), ids, pa.array(distances, pa.int32()), pa.array(chars, pa.int32())],
                         names=names,
                     )
 

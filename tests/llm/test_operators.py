@@ -235,6 +235,14 @@ def test_decontamination(spark, docs):
     assert decontaminate.find_items(data, bench.filter("item_id > 9")).count() == 0
 
 
+def test_decontamination_with_repeated_null_and_int_ids(spark):
+    long, short = "one item of the benchmark that is rather long for a test", "another shorter item of it"
+    bench = spark.createDataFrame([(7, long, 1), (7, short, 1), (None, short, 1)], "item_id int, text string, body int")
+    data = spark.createDataFrame([(1, f"x {long} y", 0), (2, f"x {short} y", 0), (2, f"x {short} y", 0), (None, long, 0)], "doc_id int, text string, body int")
+    got = sorted((r["doc_id"] or 0, r["item_id"] or 0, r["distance"], r["item_chars"]) for r in decontaminate.find_items(data, bench).collect())
+    assert got == [(0, 7, 0, len(long)), (1, 7, 0, len(long)), *[(2, i, 0, len(short)) for i in (0, 0, 7, 7)]]
+
+
 def test_distance_equals_dynamic_programming():
     rnd = random.Random(1)
     for _ in range(200):
@@ -305,6 +313,14 @@ def test_html(spark):
         ("<article><div class=lead>A lead.</div><blockquote><p>{long}</p></blockquote></article>", "A lead.\n{long}"),
         ("<div class='page has-sidebar'><h1>Head</h1><div><p>{long}</p></div><div class=sidebar>Side</div></div>", "Head\n{long}"),
         ("<main class=comments-open><p>{long}</p><div class=comments>One comment</div></main>", "{long}"),
+        ("<form action=x><input type=hidden name=state><div><h1>Head</h1><p>{long}</p></div></form>", "Head\n{long}"),
+        ("<div><p>{long}</p></div><form><p>Your name and all that you want to tell us</p><input name=a><textarea>t</textarea></form>", "{long}"),
+        ("<article><p>Also <button>x</button> ends <svg><title>t</title><g>k</g></svg>here.</p><p>{long}</p></article>", "Also ends here.\n{long}"),
+        ("<article><p>{long}</p><p>See <select><option>a<option>b</select> it</p></article>", "{long}\nSee it"),
+        ("<article><div><p>{long}</p><button>x</div><p>After.</p></article>", "{long}\nAfter."),
+        ("<article><p>{long}</p><section id=search-algorithms><p>Search.</p></section><div class=related-posts>No</div></article>", "{long}\nSearch."),
+        ("<article><p>{long}</p></article><article class=comment><p>A comment.</p></article>", "{long}"),
+        ("<div class=site-footer><p>{long}</p></div><div id=comments><p>{long}</p></div>", ""),
         ("<div class=post><p>{long}</p></div><div class=extra><a href=x>More to read</a></div>", "{long}"),
     ],
 )
@@ -313,7 +329,17 @@ def test_html_keeps_the_whole_article(spark, inner, want):
     body = "<html><body class=cookie-consent><nav>menu</nav>" + inner.format(long=long) + "<div class=footer>foot</div></body></html>"
     rows = [(i, f"http://a.org/{i}", body) for i in range(3)]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
-    assert {r["text"] for r in got} == {want.format(long=long.strip())}
+    assert [r["text"] for r in got] == [want.format(long=long.strip())] * 3
+
+
+def test_html_long_and_repeated_pages_and_other_columns(spark):
+    page = "<html><body><article>" + "".join(f"<p>Paragraph {i} of a long page.</p>" for i in range(20000)) + "</article></body></html>"
+    tie = "<html><body><div><p>One text here</p></div><div><p>Two text here</p></div></body></html>"
+    rows = [(1, "http://a.org/1", page, "x", 7)] * 2 + [(2, "http://b.org/", tie, "x", 7), (None, "http://c.org/", "<p>a</p>", "x", 7)]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, source string, salt int")).collect()
+    assert sorted((r["page_id"] or 0, r["n_chars"]) for r in got)[0] == (0, 1) and len(got) == 4
+    assert [r["text"].count("\n") for r in got if r["page_id"] == 1] == [19999] * 2
+    assert {r["text"] for r in got if r["page_id"] == 2} <= {"One text here", "One text here\nTwo text here"}
 
 
 def test_embeddings(spark):
