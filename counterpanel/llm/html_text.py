@@ -27,30 +27,58 @@ CONTAINERS = frozenset(
 )
 BREAKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 hr pre address figcaption caption summary legend hgroup".split())
 RAW = frozenset("script style title textarea noscript template iframe noembed noframes xmp".split())
-SKIPPED = frozenset("head nav header footer aside form button select option svg math dialog menu object audio video canvas".split())
+SKIPPED = frozenset("head nav header footer aside dialog menu".split())
+INLINE = frozenset("button select datalist svg math object audio video canvas".split())  # left out without ending a block
 # fixed values: class and id words of page furniture
 FURNITURE = frozenset(
     "ad ads advert adverts advertisement banner cookie cookies consent notice notices sidebar sidenav menu nav navbar "
     "navigation breadcrumb breadcrumbs header masthead footer comment comments reply replies disqus share sharing social "
     "related promo sponsor sponsored popup modal newsletter subscribe signup login search pagination pager widget toolbar".split()
 )
+STRICT = frozenset("footer comment comments reply replies disqus".split())  # never the main text, however large
+GENERIC = frozenset(  # words that say nothing about what a container holds
+    "area bar block bottom box container content form group holder inner item items left links list main outer panel "
+    "post posts right row section site slot top unit wrap wrapper".split()
+)
+MODIFIERS = frozenset("has with no without is show hide".split())  # begin words about the page, not the container
+UNSEEN = frozenset("hidden submit button image reset".split())  # input types that are no fields
+FIELD_TEXT = 200  # characters a field that make a form a wrapper of text
 KEEP_SHARE = 0.1  # of a host's votes that a path needs to be one of its winners
 INHERIT = 0.8
-LARGE = 0.8  # of a page's text that a container needs to be no furniture whatever its name
+LARGE = 0.8  # of a page's text that a container needs to be no furniture whatever its name, STRICT ones aside
+FORM_SHARE = 0.5  # of a page's text that a form needs to be its wrapper
 ROOTS = frozenset(("", "html", "body"))
 SALTS = 64
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<!--.*?(?:-->|\Z)|<[!?][^>]*+>", re.S)
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>")
 _NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_TYPE = re.compile(r"(?:^|\s)type\s*=\s*[\"']?([a-z]+)", re.I)
 _WORDS = re.compile(r"[a-z]+")
 
 
+def furniture(tokens: list[str], inside: bool) -> int:
+    """What class, id and role say: 0 nothing, 1 furniture, 2 STRICT furniture,
+    3 if a name is nothing else. ``inside`` main or article a name counts only if
+    all its words are furniture or generic."""
+    level = 0
+    for token in tokens:
+        words = _WORDS.findall(token)
+        if not words or words[0] in MODIFIERS or FURNITURE.isdisjoint(words):
+            continue
+        core = [w for w in words if w not in GENERIC]
+        if inside and not FURNITURE.issuperset(core):
+            continue
+        level = max(level, 3 if STRICT.issuperset(core) else 2 if core[-1] in STRICT else 1)
+    return level
+
+
 class Page:
     """Containers (parent, path, hidden, own score) and text blocks of a page."""
 
     def __init__(self, source: str) -> None:
         self.parents, self.paths, self.hidden, self.own = [-1], [""], [False], [0.0]
-        self.names, self.named, self.plain, self.size = [""], [False], [0], [0]  # furniture by name; text outside links; text
+        self.names, self.named, self.plain, self.size = [""], [0], [0], [0]  # furniture by name; text outside links; text
+        self.inside, self.fields = [False], [0]  # in main or article; form fields
         self.blocks: list[tuple[int, str]] = []  # container, text
         self._parse(source)
         self._hide_furniture()
@@ -60,6 +88,7 @@ class Page:
         text: list[str] = []
         linked = 0
         in_link = False
+        muted: list[str] = []  # open elements from an INLINE one on
         at, lower = 0, None
 
         def flush() -> None:
@@ -78,7 +107,7 @@ class Page:
         while at < len(source):
             lt = source.find("<", at)
             chunk = source[at : lt if lt >= 0 else len(source)]
-            if chunk:
+            if chunk and not muted:
                 chunk = entities.unescape(chunk)
                 text.append(chunk)
                 linked += len(chunk.strip()) if in_link else 0
@@ -86,14 +115,32 @@ class Page:
                 break
             m = _TAG.match(source, lt) or _LOOSE.match(source, lt)
             if m is None:
-                text.append("<")
+                if not muted:
+                    text.append("<")
                 at = lt + 1
                 continue
             at = m.end()
             if m.lastindex is None:
                 continue
             closing, name, attrs = m[1], m[2].lower(), m[3]
-            if name == "a":
+            if not closing and name in ("select", "textarea", "input"):
+                kind = _TYPE.search(attrs) if name == "input" else None
+                self.fields[stack[-1][1]] += kind is None or kind[1].lower() not in UNSEEN
+            if muted and name not in RAW:
+                if not closing:
+                    if (name in INLINE or name in CONTAINERS) and not attrs.endswith("/"):
+                        muted.append(name)
+                    continue
+                if name in muted:
+                    del muted[len(muted) - 1 - muted[::-1].index(name) :]
+                    continue
+                if all(name != opened for opened, _ in stack):
+                    continue
+                muted.clear()  # the end of what the element stands in ends it as well
+            if name in INLINE:
+                if not closing and not attrs.endswith("/"):
+                    muted.append(name)
+            elif name == "a":
                 in_link = not closing
             elif name == "br":
                 text.append(" ")
@@ -121,7 +168,7 @@ class Page:
 
     def _open(self, parent: int, name: str, attrs: str) -> int:
         found = {k.lower(): a or b or c for k, a, b, c in _NAMED.findall(attrs)} if attrs else {}
-        words = _WORDS.findall(f"{found.get('class', '')} {found.get('id', '')} {found.get('role', '')}".lower())
+        tokens = f"{found.get('class', '')} {found.get('id', '')} {found.get('role', '')}".lower().split()
         classes = sorted({re.sub(r"\d+", "#", c) for c in found.get("class", "").lower().split()})
         hidden = self.hidden[parent] or name in SKIPPED
         hidden = hidden or bool(attrs and re.search(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", attrs, re.I))
@@ -130,21 +177,31 @@ class Page:
         self.hidden.append(hidden)
         self.own.append(0.0)
         self.names.append(name)
-        self.named.append(name not in ROOTS and name not in ("main", "article") and not FURNITURE.isdisjoint(words))
+        level = 0 if name in ROOTS or name == "main" else furniture(tokens, self.inside[parent])
+        self.named.append(level if name != "article" or level == 3 else 0)
+        self.inside.append(self.inside[parent] or name in ("main", "article"))
+        self.fields.append(0)
         self.plain.append(0)
         self.size.append(0)
         return len(self.parents) - 1
 
     def _hide_furniture(self) -> None:
-        """Hide containers with a furniture word in their names, unless they hold
-        the main element or nearly all text; sum ``plain`` over what is in them."""
+        """Hide containers with furniture names, unless they hold the main element or
+        nearly all text and the name is not STRICT; hide forms that do not wrap the
+        page's text; sum ``plain`` over what is in the rest."""
         main = [name == "main" and not h for name, h in zip(self.names, self.hidden, strict=True)]
+        article = [name == "article" and not h for name, h in zip(self.names, self.hidden, strict=True)]
         for i in range(len(self.parents) - 1, 0, -1):
-            self.size[self.parents[i]] += self.size[i]
-            main[self.parents[i]] |= main[i]
+            up = self.parents[i]
+            self.size[up] += self.size[i]
+            self.fields[up] += self.fields[i]
+            main[up] |= main[i]
+            article[up] |= article[i] and self.named[i] < 2
         for i in range(1, len(self.parents)):
-            named = self.named[i] and not main[i] and self.size[i] < LARGE * self.size[0]
-            self.hidden[i] = self.hidden[i] or self.hidden[self.parents[i]] or named
+            named = self.named[i] and (self.named[i] > 1 or self.size[i] < LARGE * self.size[0]) and not main[i]
+            if self.names[i] == "form" and not main[i] and not article[i]:
+                named = named or self.size[i] < max(FORM_SHARE * self.size[0], FIELD_TEXT * self.fields[i])
+            self.hidden[i] = self.hidden[i] or self.hidden[self.parents[i]] or bool(named)
             if self.hidden[i]:
                 self.own[i], self.plain[i] = 0.0, 0
         self.blocks = [(where, words) for where, words in self.blocks if not self.hidden[where]]
