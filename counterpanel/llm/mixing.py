@@ -1,17 +1,17 @@
 """Mixing sources to target weights by a hypergeometric splitting tree.
 
 All of it is column expressions. Every source is a sequence of documents in md5
-order of their ids, repeated up to ``max_repeat`` times; the mix takes the first
-words of that sequence up to the source's target, so the taken part is a random
-sample, each document is taken at most once more than any other of its source,
-and a target is met to the word (the document at the end is cut).
-
-The taken sequence is cut into blocks of ``block_words``; a document copy belongs
-to the block of its first word. The block quotas of all sources are split among
-the output shards by a binary tree: at every node the blocks of the left half are
-drawn from the node's quotas by a multivariate hypergeometric draw, so quotas
-stay exact. A bijection of each source's blocks onto its slots says which blocks
-those are; shards are disjoint, and rows within one are ordered by hash.
+order of their ids, repeated ``max_repeat`` times and cut into blocks of
+``block_words`` words. A source's target is a quota of its blocks. The quotas of
+all sources are split among the output shards by a binary tree: at every node the
+left half gets a multivariate hypergeometric draw of the node's quotas, and half of
+the blocks that no quota needs. A shard so holds a range of every source's blocks in
+permuted order and draws its quota from that range: shards are disjoint, quotas are
+exact, and which words are taken follows from the tree. The last block drawn of a
+source is cut where its target ends, so targets are met to the word. Rows of a
+shard are ordered by hash.
+
+The words after a source's last whole block are taken only if all blocks are.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 BUCKETS = 1024  # parts of a source's order that are sorted on their own
 PRIME = (1 << 61) - 1  # larger than any number of blocks, so coprime to it
 SLICE = 4096  # slots per join key between blocks and shard quotas
+GROUP = 256  # sources that share a splitting tree
 
 
 def word_count(text: str = "text"):
@@ -91,43 +92,57 @@ def _draw(total: str, good: str, n: str, u: str) -> str:
                                      'x', CASE WHEN a.s <= {u} * mass THEN k ELSE a.x END), a -> a.x)), 1)), 1)), 1) END"""
 
 
-def shard_quotas(targets: DataFrame, depth: int, block_words: int, seed: int) -> DataFrame:
-    """(src, shard, first, quota): slots of each source's taken blocks by shard.
+def block_quotas(targets: DataFrame, max_repeat: int, block_words: int) -> DataFrame:
+    """(src, rank, whole, quota, spare): whole blocks of a source, drawn, not drawn.
+
+    A target beyond the whole blocks has one block more, the words that follow them.
+    """
+    whole = F.expr(f"source_size * {max_repeat} div {block_words}")
+    over = (F.col("words") > F.col("whole") * block_words).cast("bigint")
+    full = F.expr(f"(least(words, whole * {block_words}) + {block_words - 1}) div {block_words}")
+    listed = targets.withColumn("whole", whole).withColumn("quota", full + over)
+    return listed.select("src", "rank", "whole", "quota", (F.col("whole") + over - F.col("quota")).alias("spare"))
+
+
+def shard_quotas(quotas: DataFrame, depth: int, seed: int) -> DataFrame:
+    """(src, shard, quota, first, start): blocks that each shard draws of each source.
 
-    The root holds the block quota of every source (one array entry per source);
-    each level splits every node in two. Quotas of a source over all shards sum
-    to its number of blocks.
+    ``quotas`` has (src, rank, quota, spare). Each level splits every node in two,
+    quotas by the draw and spare blocks by half. A shard's blocks of a source are
+    numbered from ``start``, its drawn ones counted from ``first``. Quotas of a source
+    over all shards sum to its quota. GROUP sources at a time share a tree, so no row
+    grows with the number of sources; shards differ by a block for each such group.
     """
-    quota = F.ceil(F.col("words") / block_words).cast("bigint")
-    node = targets.select("rank", "src", quota.alias("q")).groupBy().agg(
-        F.sort_array(F.collect_list(F.struct("rank", "src", "q"))).alias("s")
+    node = quotas.groupBy(F.floor(F.col("rank") / GROUP).alias("grp")).agg(
+        F.sort_array(F.collect_list(F.struct("rank", "src", "quota", "spare"))).alias("s")
     )
-    node = node.select(F.lit(1).cast("bigint").alias("node"), F.col("s.src").alias("src"), F.col("s.q").alias("q"))
-    u = f"((conv(substr(md5(concat('{seed}:', node, ':', i)), 1, 12), 16, 10) + 0.5D) / 281474976710656D)"
+    node = node.select("grp", F.lit(1).cast("bigint").alias("node"), F.col("s.src").alias("src"), F.col("s.quota").alias("q"), F.col("s.spare").alias("sp"))
+    u = f"((conv(substr(md5(concat('{seed}:', grp, ':', node, ':', i)), 1, 12), 16, 10) + 0.5D) / 281474976710656D)"
     draw = _draw("st.total", "q[i]", "st.need", u)
     for _ in range(depth):
         left = F.expr(
             f"""aggregate(sequence(0, size(q) - 1),
                 named_struct('total', aggregate(q, 0L, (a, b) -> a + b),
-                             'need', CAST(floor((aggregate(q, 0L, (a, b) -> a + b) + node % 2) / 2) AS BIGINT),
+                             'need', (aggregate(q, 0L, (a, b) -> a + b) + node % 2) div 2,
                              'got', CAST(array() AS ARRAY<BIGINT>)),
                 (st, i) -> element_at(transform(array({draw}), x -> named_struct(
                     'total', st.total - q[i], 'need', st.need - x, 'got', concat(st.got, array(x)))), 1),
                 st -> st.got)"""
         )
-        node = node.withColumn("l", left).select(
-            "src",
-            F.explode(
-                F.array(
-                    F.struct((F.col("node") * 2).alias("node"), F.col("l").alias("q")),
-                    F.struct((F.col("node") * 2 + 1).alias("node"), F.zip_with("q", "l", lambda a, b: a - b).alias("q")),
-                )
-            ).alias("c"),
-        ).select("src", "c.node", "c.q")
-    leaves = node.select((F.col("node") - (1 << depth)).alias("shard"), F.explode(F.arrays_zip("src", "q")).alias("z"))
-    leaves = leaves.select("shard", "z.src", F.col("z.q").alias("quota"))
+        node = node.withColumn("l", left).withColumn("ls", F.expr("transform(sp, v -> (v + node % 2) div 2)"))
+        rest = [F.zip_with(a, b, lambda x, y: x - y).alias(a) for a, b in (("q", "l"), ("sp", "ls"))]
+        halves = F.array(
+            F.struct((F.col("node") * 2).alias("node"), F.col("l").alias("q"), F.col("ls").alias("sp")),
+            F.struct((F.col("node") * 2 + 1).alias("node"), *rest),
+        )
+        node = node.select("grp", "src", F.explode(halves).alias("c")).select("grp", "src", "c.node", "c.q", "c.sp")
+    leaves = node.select((F.col("node") - (1 << depth)).alias("shard"), F.explode(F.arrays_zip("src", "q", "sp")).alias("z"))
+    leaves = leaves.select("z.src", "shard", F.col("z.q").alias("quota"), F.col("z.sp").alias("spare"))
     order = Window.partitionBy("src").orderBy("shard")
-    return leaves.withColumn("first", F.sum("quota").over(order) - F.col("quota"))
+    first, start = F.sum("quota").over(order), F.sum(F.col("quota") + F.col("spare")).over(order)
+    return leaves.select(
+        "src", "shard", "quota", (first - F.col("quota")).alias("first"), (start - F.col("quota") - F.col("spare")).alias("start")
+    )
 
 
 def mix(
@@ -144,11 +159,12 @@ def mix(
     seed: int = 20,
     row: str | None = None,
 ) -> DataFrame:
-    """One row per document copy of the mix, and one with 0 words for the rest.
+    """One row per taken piece of a document copy, and one with 0 words for the rest.
 
     Columns: row (of the input: the column that ``row`` names, or a number given
-    here), doc_id, source, size, source_size, target, copy (0-based), words (taken of
-    this copy), shard, slot (of its block), order_key (sort key within the shard).
+    here), doc_id, source, size, source_size, target, copy (0-based), begin (words of
+    the document before the piece), words (taken), shard, slot (of its block),
+    order_key (sort key within the shard). A piece is what one block holds of a copy.
     Texts are read once, for their sizes, and do not travel.
 
     A null source is a source of its own, after all others. Null and empty texts
@@ -179,31 +195,38 @@ def mix(
         .join(targets, "src")
         .withColumn("place", F.col("before") + F.col("run"))
     )
+    quotas = written_table(block_quotas(targets, max_repeat, block_words), "mix-quotas")
     copy = F.explode(F.sequence(F.lit(0), F.lit(max_repeat - 1)))
-    copies = placed.withColumn("copy", copy).withColumn("at", F.col("copy") * F.col("source_size") + F.col("place"))
-    words = F.greatest(F.lit(0), F.least(F.col("size"), F.col("words") - F.col("at"))).cast("bigint")
-    copies = copies.withColumn("taken", words).filter((F.col("taken") > 0) | (F.col("copy") == 0))
+    copies = placed.join(quotas.select("src", "whole"), "src").withColumn("copy", copy)
+    copies = copies.withColumn("at", F.col("copy") * F.col("source_size") + F.col("place"))
+    held = F.sequence(F.expr(f"at div {block_words}"), F.expr(f"(at + greatest(size, 1) - 1) div {block_words}"))
+    pieces = copies.withColumn("block", F.explode(held))
 
-    # the block of the first word, sent to a slot by a bijection of the blocks
-    blocks = F.ceil(F.col("words") / block_words)
-    block = F.floor(F.col("at") / block_words)
+    # a bijection of a source's whole blocks onto slots; what follows them stays last
     wide = "decimal(38,0)"
+    offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), "src").cast("binary")), 1, 12), 16, 10)
     slot = F.pmod(
-        block.cast(wide) * F.lit(PRIME).cast(wide) + F.xxhash64(F.lit(seed), "src").cast(wide), blocks.cast(wide)
+        F.col("block").cast(wide) * F.lit(PRIME).cast(wide) + offset.cast(wide), F.greatest("whole", F.lit(1)).cast(wide)
     ).cast("bigint")
-    copies = copies.withColumn("slot", F.when(F.col("taken") > 0, slot))
-    quotas = shard_quotas(targets, shard_depth, block_words, seed).filter("quota > 0")
-    reach = F.sequence(F.floor(F.col("first") / SLICE), F.floor((F.col("first") + F.col("quota") - 1) / SLICE))
-    quotas = quotas.select(
-        F.col("src").alias("q_src"), "shard", "first", (F.col("first") + F.col("quota")).alias("last"), F.explode(reach).alias("slice")
-    )
+    pieces = pieces.withColumn("slot", F.when(F.col("block") < F.col("whole"), slot).otherwise(F.col("block")))
+    drawn = shard_quotas(quotas, shard_depth, seed).filter("quota > 0")
+    reach = F.sequence(F.expr(f"start div {SLICE}"), F.expr(f"(start + quota - 1) div {SLICE}"))
+    drawn = drawn.select(F.col("src").alias("q_src"), "shard", "quota", "first", "start", F.explode(reach).alias("slice"))
     hit = (
         (F.col("src") == F.col("q_src"))
-        & (F.floor(F.col("slot") / SLICE) == F.col("slice"))
-        & (F.col("slot") >= F.col("first"))
-        & (F.col("slot") < F.col("last"))
+        & (F.expr(f"slot div {SLICE}") == F.col("slice"))
+        & (F.col("slot") >= F.col("start"))
+        & (F.col("slot") < F.col("start") + F.col("quota"))
     )
-    return copies.join(quotas, hit, "left").select(
+    met = pieces.join(drawn, hit, "left")
+    # words of the block that are taken: all, but for the last one drawn of its source
+    used = F.least(F.lit(block_words), F.col("words") - (F.col("first") + F.col("slot") - F.col("start")) * block_words)
+    low = F.greatest(F.col("at"), F.col("block") * block_words)
+    high = F.least(F.col("at") + F.col("size"), F.col("block") * block_words + used)
+    taken = F.when(F.col("shard").isNull(), F.lit(0)).otherwise(F.greatest(F.lit(0), high - low)).cast("bigint")
+    met = met.withColumn("begin", low - F.col("at")).withColumn("taken", taken)
+    met = met.filter("taken > 0 OR (copy = 0 AND begin = 0)")
+    return met.select(
         "row",
         "doc_id",
         "source",
@@ -211,10 +234,11 @@ def mix(
         "source_size",
         "target",
         "copy",
+        "begin",
         F.col("taken").alias("words"),
-        "shard",
-        "slot",
-        F.xxhash64(F.lit(seed), "pick", "copy").alias("order_key"),
+        F.when(F.col("taken") > 0, F.col("shard")).alias("shard"),
+        F.when(F.col("taken") > 0, F.col("slot")).alias("slot"),
+        F.xxhash64(F.lit(seed), "pick", "copy", "begin").alias("order_key"),
     )
 
 
@@ -224,24 +248,56 @@ def taken_words(mixed: DataFrame) -> DataFrame:
     return mixed.groupBy(*keys).agg(F.sum("words").alias("taken")).drop("row")
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix as documents: one row per copy taken, in the columns of ``docs``.
-
-    A document whose copy is taken in part is cut after its last taken word. The mix
-    is made on narrow rows; texts meet it once, at the end, by the number of their
-    row in a table that is written first.
-    """
+def _runs(docs: DataFrame, shards: bool, **options) -> DataFrame:
+    """The mix as documents, with shard and order_key of each row if asked for."""
     text = options.get("text", "text")
     given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row"))
     given = written_table(given, "mix-rows")
     used = {options.get(k, k) for k in ("doc_id", "text", "source")}
     key = next(k for k in ("row", "row_", "row__", "row___") if k not in used)
     sized = given.select(F.col("row").alias(key), *[F.col(f"doc.`{c}`") for c in sorted(used)])
-    taken = mix(sized, row=key, **options)
-    taken = taken.filter("words > 0").select(F.col("row").alias("of_row"), "words", "size")
+    piece = F.struct("copy", "begin", "words", "shard", "order_key")
+    taken = mix(sized, row=key, **options).filter("words > 0").groupBy(F.col("row").alias("of_row"), "size")
+    # pieces of a copy that follow one another are one run, in the shard of the first
+    runs = F.expr(
+        """aggregate(pieces, slice(pieces, 1, 0), (a, p) -> CASE
+             WHEN size(a) > 0 AND element_at(a, -1).copy = p.copy AND element_at(a, -1).begin + element_at(a, -1).words = p.begin
+             THEN concat(slice(a, 1, size(a) - 1), array(named_struct('copy', p.copy, 'begin', element_at(a, -1).begin,
+                  'words', element_at(a, -1).words + p.words, 'shard', element_at(a, -1).shard, 'order_key', element_at(a, -1).order_key)))
+             ELSE concat(a, array(p)) END)"""
+    )
+    taken = taken.agg(F.sort_array(F.collect_list(piece)).alias("pieces")).select("of_row", "size", runs.alias("runs"))
     # the narrow side is held in memory a partition at a time, so texts are not sorted
     met = given.join(taken.hint("shuffle_hash"), F.col("row") == F.col("of_row"))
-    pieces = F.regexp_extract_all(F.col(f"doc.`{text}`"), F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
-    cut = F.when(F.col("words") < F.col("size"), F.array_join(F.slice(pieces, F.lit(1), F.col("words").cast("int")), ""))
-    columns = [F.coalesce(cut, F.col(f"doc.`{c}`")).alias(c) if c == text else F.col(f"doc.`{c}`").alias(c) for c in docs.columns]
-    return met.select(*columns)
+    body = F.col(f"doc.`{text}`")
+    words = F.when(F.exists("runs", lambda r: r["words"] < F.col("size")), F.regexp_extract_all(body, F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)))
+    cut = lambda w, r: F.array_join(F.slice(w, (r["begin"] + 1).cast("int"), r["words"].cast("int")), "")
+    one = lambda w, r: F.struct(r["shard"].alias("shard"), r["order_key"].alias("order_key"), F.when(r["words"] < F.col("size"), cut(w, r)).alias("cut"))
+    each = F.element_at(F.transform(F.array(words), lambda w: F.transform("runs", lambda r: one(w, r))), 1)
+    met = met.select("doc", F.explode(each).alias("run"))
+    columns = [F.coalesce("run.cut", body).alias(c) if c == text else F.col(f"doc.`{c}`").alias(c) for c in docs.columns]
+    return met.select(*columns, *([F.col("run.shard"), F.col("run.order_key")] if shards else []))
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The mix as documents: one row per run of taken words, in the columns of ``docs``.
+
+    A document is cut where a drawn block begins or ends; blocks of one copy that
+    follow one another give one row. The mix is made on narrow rows; texts meet it
+    once, at the end, by the number of their row in a table that is written first.
+    """
+    return _runs(docs, False, **options)
+
+
+def write_mix(docs: DataFrame, path: str, **options) -> None:
+    """Write the mixed documents by shard, each shard in shuffled order.
+
+    Parquet with a folder per ``shard``; ``order_key`` is kept and rises within the
+    files of a shard. ``docs`` must not have columns of these two names. A shard may
+    be written by several tasks, so none has to hold a whole one.
+    """
+    if {"shard", "order_key"} & set(docs.columns):
+        raise ValueError("columns shard and order_key are taken; rename them")
+    rows = _runs(docs, True, **options)
+    ordered = rows.repartitionByRange("shard", "order_key").sortWithinPartitions("shard", "order_key")
+    ordered.write.partitionBy("shard").parquet(path)

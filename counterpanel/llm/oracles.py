@@ -5,7 +5,7 @@ from __future__ import annotations
 WORDS = r"[^\x20\x09-\x0D]+"
 
 OP1 = rf"""
-WITH sized AS (
+WITH RECURSIVE sized AS (
   SELECT doc_id, source, CASE WHEN source IS NULL THEN 'n' ELSE 'i' || source END AS src,
          COALESCE(len(regexp_extract_all(text, '{WORDS}')), 0)::BIGINT AS size,
          md5(concat_ws(':', '20', doc_id::VARCHAR)) AS pick
@@ -26,15 +26,62 @@ WITH sized AS (
 ), targets AS (
   SELECT src, source_size, CASE WHEN w.level IS NULL THEN cap ELSE least(w.level * weight, cap) END AS target
   FROM levels, water w
+), quotas AS (
+  SELECT *, ((least(words, whole * 1024) + 1023) // 1024) + rest AS q, whole + rest - ((least(words, whole * 1024) + 1023) // 1024) - rest AS sp
+  FROM (SELECT *, (words > whole * 1024)::BIGINT AS rest
+        FROM (SELECT t.*, r.rank, floor(target)::BIGINT AS words, (2 * t.source_size) // 1024 AS whole FROM targets t JOIN ranked r USING (src)))
+), tree AS (
+  SELECT 0 AS level, (rank // 256)::BIGINT AS grp, 1::BIGINT AS node, 0 AS i, list(src ORDER BY rank) AS src, list(q::BIGINT ORDER BY rank) AS q,
+         list(sp::BIGINT ORDER BY rank) AS sp, []::BIGINT[] AS got, sum(q)::BIGINT AS total, ((sum(q) + 1) // 2)::BIGINT AS need
+  FROM quotas GROUP BY rank // 256
+  UNION ALL
+  SELECT n.level, grp, n.node, n.i, src, n.q, n.sp, n.got, n.total, n.need FROM (
+    SELECT grp, src, unnest(CASE WHEN i < len(q) THEN
+        [{{'level': level, 'node': node, 'i': i + 1, 'q': q, 'sp': sp, 'got': list_append(got, x), 'total': total - good, 'need': need - x}}]
+      WHEN level < 6 THEN
+        [{{'level': level + 1, 'node': 2 * node, 'i': 0, 'q': got, 'sp': sp_left, 'got': []::BIGINT[],
+          'total': list_sum(got)::BIGINT, 'need': list_sum(got)::BIGINT // 2}},
+         {{'level': level + 1, 'node': 2 * node + 1, 'i': 0, 'q': q_right, 'sp': sp_right, 'got': []::BIGINT[],
+          'total': list_sum(q_right)::BIGINT, 'need': (list_sum(q_right)::BIGINT + 1) // 2}}]
+      ELSE [] END) AS n
+    FROM (
+      SELECT *, CASE WHEN need <= 0 OR good <= 0 THEN 0 WHEN need >= total THEN good WHEN good >= total THEN need ELSE
+             lo + len(list_filter(range(1, len(w) + 1), lambda j: COALESCE(list_sum(w[1:j - 1]), 0) <= u * list_sum(w))) - 1 END::BIGINT AS x,
+             [(v + node % 2) // 2 for v in sp] AS sp_left, [sp[j] - (sp[j] + node % 2) // 2 for j in range(1, len(sp) + 1)] AS sp_right,
+             [q[j] - COALESCE(got[j], 0) for j in range(1, len(q) + 1)] AS q_right
+      FROM (
+        SELECT *, [exp(lw[j] - list_max(lw)) for j in range(1, len(lw) + 1)] AS w FROM (
+          SELECT *, [-lgamma(k + 1.0) - lgamma(good - k + 1.0) - lgamma(need - k + 1.0) - lgamma(total - good - need + k + 1.0)
+                     for k in range(lo, hi + 1)] AS lw
+          FROM (
+            SELECT *, greatest(0, need + good - total, floor(mean - 12 * sd)::BIGINT - 2)::BIGINT AS lo,
+                   least(need, good, ceil(mean + 12 * sd)::BIGINT + 2)::BIGINT AS hi
+            FROM (
+              SELECT *, need * (good / greatest(total, 1)) AS mean,
+                     sqrt(greatest(0, need * (good / greatest(total, 1)) * (1 - good / greatest(total, 1)) * ((total - need) / greatest(total - 1, 1)))) AS sd,
+                     (('0x' || substr(md5('20:' || grp || ':' || node || ':' || i), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656::DOUBLE AS u
+              FROM (SELECT *, COALESCE(q[i + 1], 0) AS good FROM tree)))))))
+), leaves AS (
+  SELECT node - 64 AS shard, unnest(src) AS src, unnest(q) AS q, unnest(sp) AS sp FROM tree WHERE level = 6 AND i = 0
+), drawn AS (
+  SELECT src, q, sum(q) OVER w - q AS first, sum(q + sp) OVER w - q - sp AS start FROM leaves WINDOW w AS (PARTITION BY src ORDER BY shard)
 ), placed AS (
-  SELECT s.*, t.source_size, t.target,
-         sum(size) OVER (PARTITION BY s.src ORDER BY pick, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS place
-  FROM sized s JOIN targets t ON s.src = t.src
+  SELECT s.*, t.source_size, t.target, t.words, t.whole, row_number() OVER () AS row,
+         (sum(size) OVER (PARTITION BY s.src ORDER BY pick, doc_id, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS place
+  FROM sized s JOIN quotas t ON s.src = t.src
+), copies AS (
+  SELECT *, unnest([place, source_size + place]) AS pos FROM placed
+), pieces AS (
+  SELECT *, unnest(range(pos // 1024, (pos + greatest(size, 1) - 1) // 1024 + 1)) AS block FROM copies
+), slots AS (
+  SELECT *, CASE WHEN block < whole THEN ((block::HUGEINT * 2305843009213693951 + ('0x' || substr(md5('20:' || src), 1, 12))::BIGINT)
+                                          % greatest(whole, 1))::BIGINT ELSE block END AS slot FROM pieces
+), taken AS (
+  SELECT s.row, sum(greatest(0, least(pos + size, block * 1024 + least(1024, words - (first + slot - start) * 1024)) - greatest(pos, block * 1024))) AS taken
+  FROM slots s JOIN drawn d ON s.src = d.src AND s.slot >= d.start AND s.slot < d.start + d.q GROUP BY s.row
 )
-SELECT doc_id, size, source_size, target,
-       (greatest(0, least(size, floor(target)::BIGINT - place))
-        + greatest(0, least(size, floor(target)::BIGINT - source_size - place)))::BIGINT AS taken
-FROM placed
+SELECT p.doc_id, p.size, p.source_size, p.target, COALESCE(t.taken, 0)::BIGINT AS taken
+FROM placed p LEFT JOIN taken t ON p.row = t.row
 """
 
 OP3 = rf"""

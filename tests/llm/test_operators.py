@@ -79,10 +79,14 @@ def test_mixing_quotas_and_documents(spark, docs):
     shard_of = {}
     for r in rows:  # disjoint: a slot of a source is in one shard
         assert shard_of.setdefault((r["source"], r["slot"]), r["shard"]) == r["shard"]
-    targets = spark.createDataFrame([("a", 0, 1000), ("b", 1, 37), ("c", 2, 0)], "src string, rank int, words long")
-    quotas = mixing.shard_quotas(targets, 3, 10, 1).collect()
-    for src, n in (("a", 100), ("b", 4), ("c", 0)):
-        assert sum(q["quota"] for q in quotas if q["src"] == src) == n and all(q["quota"] >= 0 for q in quotas)
+    targets = spark.createDataFrame([("a", 0, 100, 60), ("b", 1, 4, 0), ("c", 2, 0, 9)], "src string, rank int, quota long, spare long")
+    quotas = mixing.shard_quotas(targets, 3, 1).collect()
+    for src, n, spare in (("a", 100, 60), ("b", 4, 0), ("c", 0, 9)):
+        of = sorted((q for q in quotas if q["src"] == src), key=lambda q: q["shard"])
+        assert sum(q["quota"] for q in of) == n and all(q["quota"] >= 0 for q in of)
+        for a, b in zip(of, of[1:], strict=False):  # ranges do not overlap, draws are counted on
+            assert a["start"] + a["quota"] <= b["start"] and a["first"] + a["quota"] == b["first"]
+        assert of[-1]["start"] + of[-1]["quota"] <= n + spare
     per_shard = [sum(q["quota"] for q in quotas if q["shard"] == k) for k in range(8)]
     assert max(per_shard) - min(per_shard) <= 1
     texts = mixing.mixed_documents(docs)
@@ -90,6 +94,42 @@ def test_mixing_quotas_and_documents(spark, docs):
     assert sum(len(WORD.findall(r["text"])) for r in texts.collect()) == sum(r["words"] for r in mixing.mix(docs).collect())
 
 
+def test_mixing_follows_its_tree(spark, docs):
+    """Another tree takes other documents, and every target is still met to the word."""
+    taken = {}
+    for depth, words in ((0, 16), (3, 16), (3, 40)):
+        rows = mixing.mix(docs, block_words=words, shard_depth=depth).collect()
+        target = {r["source"]: int(r["target"]) for r in rows}
+        assert {s: sum(r["words"] for r in rows if r["source"] == s) for s in target} == target
+        spans = {}
+        for r in rows:  # a word of a copy is taken once
+            if r["words"]:
+                spans.setdefault((r["row"], r["copy"]), []).append((r["begin"], r["begin"] + r["words"]))
+                assert 0 <= r["shard"] < 1 << depth and r["begin"] + r["words"] <= r["size"]
+        for s in spans.values():
+            s.sort()
+            assert all(a[1] <= b[0] for a, b in zip(s, s[1:], strict=False))
+        taken[depth, words] = sorted((r["row"], r["copy"], r["begin"], r["words"]) for r in rows if r["words"])
+    assert len({str(t) for t in taken.values()}) == 3
+
+
+def test_mix_is_written_by_shard(spark, docs, tmp_path):
+    """Shards hold the mixed rows, cut at words of the document, in order of their keys."""
+    mixing.write_mix(docs, str(tmp_path / "mix"), block_words=16, shard_depth=2)
+    read = spark.read.parquet(str(tmp_path / "mix"))
+    plain = mixing.mixed_documents(docs, block_words=16, shard_depth=2)
+    rows = read.collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in rows) == sorted((str(r["doc_id"]), r["text"]) for r in plain.collect())
+    assert {r["shard"] for r in rows} == {0, 1, 2, 3}
+    whole = {}
+    for r in docs.collect():
+        whole.setdefault(r["doc_id"], []).append(r["text"] or "")
+    assert all(any(r["text"].strip() in t for t in whole[r["doc_id"]]) for r in rows)
+    for name in read.inputFiles():
+        keys = [r["order_key"] for r in spark.read.parquet(name).collect()]
+        assert keys == sorted(keys)
+
+
 def plain_components(rows):
     sets = []
     for _, text in rows:
