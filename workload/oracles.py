@@ -34,7 +34,7 @@ panel AS (
 panel AS (
   SELECT 'all' AS outcome, n_name AS unit, CAST(date_trunc('month', o_orderdate) AS DATE) AS t,
          SUM(cents) / 1e8 AS y
-  FROM src WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '2000-01-01' GROUP BY 1, 2, 3)""",
+  FROM src GROUP BY 1, 2, 3)""",
     "day": """panel AS (
   SELECT event_type AS outcome, 'G' || (user_id % 20) AS unit, CAST(ts AS DATE) AS t,
          SUM(CAST(ROUND(value * 100) AS BIGINT)) / 1e4 AS y FROM events GROUP BY 1, 2, 3)""",
@@ -69,7 +69,7 @@ study AS (
              (SELECT unnest([{", ".join(map(str, shifts))}]) AS shift) s)),
 usable AS (
   SELECT s.*, p.unit, p.t, p.y, r.role FROM study s JOIN panel p ON p.outcome = s.outcome
-  JOIN roles r ON r.unit = p.unit WHERE r.role = 'control' OR p.unit = s.treated),
+  JOIN roles r ON r.unit = p.unit WHERE (r.role = 'control' OR p.unit = s.treated){" AND p.t <= DATE '2001-07-31'" if kind == "month" else ""}),
 dated AS (
   SELECT *, t >= treatment_date AS is_post,
     row_number() OVER (PARTITION BY outcome, treated, placebo ORDER BY t) AS idx,
@@ -152,7 +152,7 @@ def q(name: str, ctes: str, select: str) -> None:
 # --- sources and checks ------------------------------------------------------
 
 q("scan_panel", f"{PANELS['quarter']},\n{DENSE}",
-  "SELECT t AS date, outcome || '/' || unit AS country, y AS \"DAP\" FROM dense WHERE outcome <> 'all'")
+  "SELECT t AS date, outcome || '/' || unit AS country, y AS \"DAP\" FROM dense")
 ORACLES["check_studies"] = """
 WITH r AS (SELECT DISTINCT o_orderpriority AS outcome,
     date_diff('month', CAST(date_trunc('month', o_orderdate) AS DATE), DATE '2000-01-01') * CAST(1.5 AS DOUBLE) AS placebo_shift FROM orders)
@@ -209,7 +209,7 @@ q("placebo_windows", studies("month", shifts=(0, 12, 24)), f"""SELECT {KEYS}, tr
   CAST(z.t1 AS INTEGER) AS "T1", CAST(coalesce(c.n_donors, 0) AS INTEGER) AS n_donors, shift > 0 AND shift < z.t1 AS overlaps_treatment
 FROM study JOIN sizes z USING ({KEYS}) LEFT JOIN counts c USING ({KEYS})""")
 q("complete_donors", studies(shifts=(0, 4)), f"""SELECT DISTINCT outcome, placebo, unit FROM members WHERE role = 'control'""")
-q("donor_pool_size", studies("day"), """SELECT outcome, placebo, n_donors FROM counts WHERE treated = 'G6' AND n_donors > 0""")
+q("donor_pool_size", studies("day"), """SELECT outcome, placebo, max(n_donors) AS n_donors FROM counts GROUP BY outcome, placebo""")
 q("study_panel", studies(), """SELECT outcome, treated, unit, role, t, CAST(idx AS INTEGER) AS period_idx, is_post, round(y, 8) AS y FROM cells""")
 
 # --- counterfactuals ----------------------------------------------------------

@@ -63,12 +63,8 @@ def quarterly_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def monthly_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Revenue by nation and month, 1996 to 1999."""
-    rows = orders_by_nation(spark, sf_dir).filter(
-        (F.col("o_orderdate") >= F.lit("1996-01-01").cast("timestamp"))
-        & (F.col("o_orderdate") < F.lit("2000-01-01").cast("timestamp"))
-    )
-    return _revenue(rows, F.lit("all"), "month")
+    """Revenue by nation and month of all orders."""
+    return _revenue(orders_by_nation(spark, sf_dir), F.lit("all"), "month")
 
 
 def daily_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,6 +92,9 @@ def nation_roles(spark: SparkSession, sf_dir: str, donors: tuple[str, ...] | Non
     return roles
 
 
+LAST_DAY = {"month": "2001-07-31"}  # the month after it has a single day
+
+
 @dataclass
 class Setup:
     """One panel with its studies; each step is built when first asked for."""
@@ -132,7 +131,7 @@ class Setup:
             "outcome",
             F.lit(self.treatment).cast("date").alias("treatment_date"),
             F.lit(None).cast("date").alias("start_date"),
-            F.lit(None).cast("date").alias("end_date"),
+            F.lit(LAST_DAY.get(self.kind)).cast("date").alias("end_date"),
         )
 
     @cached_property

@@ -64,7 +64,7 @@ def day(text: str) -> Column:
 def scan_panel(spark, sf_dir):
     """CSV scan with NA for missing cells, of a densified panel stored as CSV."""
     path = _fresh_folder(spark, "scan")
-    cells = shaping.densify(quarterly_panel(spark, sf_dir).filter("outcome <> 'all'"))
+    cells = shaping.densify(quarterly_panel(spark, sf_dir))
     stored = cells.select(F.col("t").alias("date"), F.concat_ws("/", "outcome", "unit").alias("country"), F.col("y").alias("DAP"))
     stored.write.csv(path, header=True, nullValue="NA")
     return src.read_csv(spark, path, src.PRICE_SCHEMA)
@@ -245,8 +245,7 @@ def complete_donors(spark, sf_dir):
 @query
 def donor_pool_size(spark, sf_dir):
     s = Setup(spark, sf_dir, "day")
-    sizes = st.donor_pool_size(s.packed).filter("n_donors > 0")
-    return _batch_tagged(s, sizes).select("outcome", "placebo", "n_donors")
+    return _batch_tagged(s, st.donor_pool_size(s.packed)).select("outcome", "placebo", "n_donors")
 
 
 @query
