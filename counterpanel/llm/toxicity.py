@@ -1,9 +1,11 @@
 """Toxicity by compression distance under two zstandard dictionaries.
 
-A dictionary is trained on windows of ordinary text. The toxic dictionary holds
-the same material and, nearest to the text, what is over-represented in toxic
-documents, so the shared language cancels out: a window's distance is its
-compressed length under the ordinary dictionary less that under the toxic one.
+The zstandard trainer makes one dictionary from windows of ordinary text and one
+from the words of toxic text that are over-represented there, each form as it stands
+between spaces; whole toxic windows hold mostly ordinary language. The
+toxic side gets its dictionary after the ordinary one, so the shared language cancels
+out: a window's distance is its compressed length under the ordinary dictionary less
+that under both.
 A document is described by how many of its windows reach each distance step, and
 a logistic calibration, fitted on labelled documents that the dictionaries have
 not seen, turns that into a score from 0 to 1.
@@ -27,7 +29,8 @@ from counterpanel.llm.memory import handing_back
 STEPS = np.array([2, 3, 4, 5, 6, 8, 10])  # bytes saved by the toxic dictionary
 WINDOW_WORDS = 6
 LEVEL = 3
-ORDINARY_BYTES = 16384
+ORDINARY_BYTES, TOXIC_BYTES = 16384, 4096
+TRAIN_WINDOWS = 60000  # ordinary windows that the trainer sees, evenly spread
 SAMPLE_TOXIC, SAMPLE_ORDINARY = 4000, 8000  # labelled documents learnt from, at most
 SAMPLE_CHARS = 16384  # of each such document, spread over its windows
 TRIM = ".,;:!?*$%&#|\"'()[]"
@@ -65,8 +68,8 @@ def features(text: str, ordinary, toxic) -> np.ndarray:
     return np.concatenate((np.log1p(reached), reached / len(saved), [math.log(len(saved))]))
 
 
-def _contrast(toxic: list[str], ordinary: list[str]) -> list[str]:
-    """Words over-represented in toxic documents, best first (G statistic)."""
+def _contrast(toxic: list[str], ordinary: list[str]) -> set[str]:
+    """Words over-represented in toxic documents (G statistic)."""
     a, b = Counter(), Counter()
     for counts, texts in ((a, toxic), (b, ordinary)):
         for text in texts:
@@ -83,22 +86,28 @@ def _contrast(toxic: list[str], ordinary: list[str]) -> list[str]:
         both = (k + b[word]) / (n + m)
         g = loglik(k, n, k / n) + loglik(b[word], m, b[word] / max(m, 1)) - loglik(k, n, both) - loglik(b[word], m, both)
         scored.append((g, word))
-    scored.sort(key=lambda x: (-x[0], x[1]))
-    least = max(6.0, 0.06 * scored[0][0]) if scored else 0.0
-    return [w for g, w in scored if g >= least][:400]
+    least = max(6.0, 0.06 * max(g for g, _ in scored)) if scored else 0.0
+    return {w for g, w in scored if g >= least}
 
 
-def _train(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
-    """Content of the ordinary and of the toxic dictionary."""
+def _dictionary(size: int, samples: list[bytes]) -> bytes:
+    """Content of a trained dictionary, or the samples if they are too few for the trainer."""
     import zstandard
 
-    samples = [w for text in ordinary for w in windows(text)][:: max(1, len(ordinary) // 400)][:60000]
     try:
-        base = zstandard.train_dictionary(ORDINARY_BYTES, samples).as_bytes()
-    except zstandard.ZstdError:  # too few windows for the trainer: they are the dictionary
-        base = b"".join(samples)[-ORDINARY_BYTES:] or b" " * 8
-    marks = " ".join(["", *reversed(_contrast(toxic, ordinary)), ""]).encode("utf-8", "replace")
-    return base, base + marks
+        return zstandard.train_dictionary(size, samples).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(samples)[-size:]
+
+
+def _train(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
+    """Content of the ordinary side's dictionary and of the toxic side's two."""
+    found = [w for text in ordinary for w in windows(text)]
+    base = _dictionary(ORDINARY_BYTES, found[:: max(1, -(-len(found) // TRAIN_WINDOWS))]) or b" " * 8
+    marks = _contrast(toxic, ordinary)
+    forms = sorted({w for text in toxic for w in text.lower().split() if w.strip(TRIM) in marks})
+    # the trainer keeps what repeats, so every form is shown to it alike
+    return base, base + _dictionary(TOXIC_BYTES, [f" {w} ".encode("utf-8", "replace") for w in forms] * 4)
 
 
 def _calibrate(x: np.ndarray, y: np.ndarray, odds: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
