@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from counterpanel.functions.session import remove_tables, tables_written, written_table
 from counterpanel.llm import decontaminate, jaccard, mixing, token_output, toxicity
-from counterpanel.llm.memory import BATCH_ROWS, BATCH_SETTING
+from counterpanel.llm.memory import BATCH_ROWS, BATCH_SETTING, hand_back
 from counterpanel.llm.queries import fresh_path, read
 
 
@@ -29,13 +29,15 @@ def stage(apply: Callable[[SparkSession, DataFrame, str], DataFrame]):
 
     A stage's result is written before the next stage is called, so the tables that
     went into it are not read again. Python workers get at most BATCH_ROWS rows at
-    a time, unless the session asks for less.
+    a time, unless the session asks for less. The driver hands back what the stage
+    before held, such as the classifier's sample.
     """
 
     @wraps(apply)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         app = spark.sparkContext.applicationId
         remove_tables(spark, _passing.pop(app, []))
+        hand_back()
         if int(spark.conf.get(BATCH_SETTING)) > BATCH_ROWS:
             spark.conf.set(BATCH_SETTING, BATCH_ROWS)
         before = set(tables_written(spark))

@@ -11,18 +11,20 @@ counts over all documents), then by hash. Documents with equal sets are one node
    by fragment, the partial overlaps of a pair are counted separately for each
    fragment, and summed per pair.
 
-What is asked for is reachability, so pairs are tried in three rounds: each node
-with the first node of an n-gram's list; with a few pivots of the list, if not
-yet in one component; and then every remaining pair between different
-components. No link between different components is left untested, and a large
-group of near copies costs about its size, not its square.
+What is asked for is reachability, so pairs are tried in turns: each node with the
+first node of an n-gram's list; then, between different components only, with
+pivots of long lists; with all others of the list. Of the pairs between two
+components the few with the most similar parities are verified first, the others
+only if the two are still apart. No link between different components is left
+untested, and of a large group of near copies few pairs are verified for each node
+that joins it. Lists meet as narrow rows; parities are joined to distinct pairs.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,7 @@ FRAGMENTS = 8
 PARITY_LONGS = 4  # at least; a set has as many parity bits as n-grams, rounded up to a power of two
 PIVOTS = 8
 PIVOT_LISTS = 64  # longer lists meet pivots before all pairs are tried
+FEW = 4  # pairs of two components that are verified before their others
 FILTER_BITS = 1 << 22  # of the set of documents that a verification reads
 
 
@@ -136,65 +139,95 @@ def _prefixes(docs: DataFrame, shared, width: int) -> DataFrame:
 
 
 def _postings(nodes: DataFrame) -> DataFrame:
-    """(gram, node, n, rep) of n-grams in two prefixes or more.
+    """(gram, node, n, rep, kind) of n-grams in two prefixes or more.
 
     ``rep`` is the first node of the n-gram's list whose size is compatible, null
-    for such nodes themselves. Lists are streamed in order, never held.
+    for such nodes themselves. ``kind`` is 0 in lists of two nodes, 2 in lists of
+    more than PIVOT_LISTS, else 1. Lists are streamed in order; at most PIVOT_LISTS
+    rows of one are held, until its kind is known.
     """
+    longest = PIVOT_LISTS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current = head = size = None
-        pending = False
+        held: list[tuple] = []  # of the current list, as long as its kind is open
+        length = 0
+        out: list[tuple] = []
+
+        def end() -> None:
+            if length > 1:
+                out.extend((*row, int(length > 2)) for row in held)
+            held.clear()
+
+        def made() -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True)) if out else [[]] * 5
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["gram", "node", "n", "rep", "kind"])
+
         for batch in batches:
             gram, n, node = (batch.column(i).to_numpy() for i in range(3))
             if not len(gram):
                 continue
             same = gram[1:] == gram[:-1]
             busy = np.concatenate(([True], same)) | np.concatenate((same, [True]))
-            out = []
             for g, k, v in zip(gram[busy].tolist(), n[busy].tolist(), node[busy].tolist(), strict=True):
+                rep = head
                 if g != current:
-                    current, head, size, pending = g, v, k, True
-                    continue
-                if pending:
-                    out.append((g, head, size, None))
-                    pending = False
-                if 100 * size < PERCENT * k:
+                    end()
+                    current, length = g, 0
+                    rep = None
+                elif 100 * size < PERCENT * k:
+                    rep = None
+                if rep is None:
                     head, size = v, k
-                    out.append((g, v, k, None))
-                else:
-                    out.append((g, v, k, head))
-            columns = list(zip(*out, strict=True)) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["gram", "node", "n", "rep"])
+                length += 1
+                if length <= longest:
+                    held.append((g, v, k, rep))
+                    continue
+                out.extend((*row, 2) for row in held)
+                held.clear()
+                out.append((g, v, k, rep, 2))
+            yield made()
+        if length <= longest:
+            end()
+        yield made()
 
     index = nodes.select(F.explode("prefix").alias("gram"), "n", "node")
-    return index.repartition("gram").sortWithinPartitions("gram", "n", "node").mapInArrow(handing_back(run), "gram bigint, node bigint, n bigint, rep bigint")
+    kinds = "gram bigint, node bigint, n bigint, rep bigint, kind bigint"
+    return index.repartition("gram").sortWithinPartitions("gram", "n", "node").mapInArrow(handing_back(run), kinds)
 
 
-def _may_link(na, nb, pa_, pb):
-    """Sizes and parity bits allow Jaccard >= PERCENT / 100.
-
-    With s = |A| + |B|, the symmetric difference is at most
-    s * (100 - PERCENT) / (100 + PERCENT), and at least the differing parities.
-    """
+def _differ(pa_, pb):
+    """Number of differing parity bits."""
 
     def folded(longer, half):  # with half as many classes, two of them are one
         return F.zip_with(F.slice(longer, F.lit(1), half), F.slice(longer, half + 1, half), lambda x, y: x.bitwiseXOR(y))
 
     la, lb = F.size(pa_), F.size(pb)
     pa_, pb = F.when(la > lb, folded(pa_, lb)).otherwise(pa_), F.when(lb > la, folded(pb, la)).otherwise(pb)
-    differ = F.aggregate(F.zip_with(pa_, pb, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, b: a + b)
-    sizes = (na * 100 >= nb * PERCENT) & (nb * 100 >= na * PERCENT)
-    return sizes & (differ * (100 + PERCENT) <= (na + nb) * (100 - PERCENT))
+    return F.aggregate(F.zip_with(pa_, pb, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, b: a + b)
+
+
+def _sizes_allow(na, nb):
+    return (na * 100 >= nb * PERCENT) & (nb * 100 >= na * PERCENT)
+
+
+def _parities_allow(na, nb, differ):
+    """With s = |A| + |B|, the symmetric difference is at most
+    s * (100 - PERCENT) / (100 + PERCENT), and at least the differing parities."""
+    return differ * (100 + PERCENT) <= (na + nb) * (100 - PERCENT)
 
 
 def _passing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Distinct (a, b) pairs, with sizes, that sizes and parities allow."""
+    """Distinct pairs (a, b, ...), with sizes and the number of differing parities,
+    that sizes and parities allow."""
     info = nodes.select("node", "n", "parity")
     a = info.toDF("a", "na", "parity_a")
     b = info.toDF("b", "nb", "parity_b")
-    joined = pairs.select("a", "b").distinct().join(a, "a").join(b, "b")
-    return joined.filter(_may_link(F.col("na"), F.col("nb"), F.col("parity_a"), F.col("parity_b"))).select("a", "b", "na", "nb")
+    joined = pairs.distinct().join(a, "a").join(b, "b").filter(_sizes_allow(F.col("na"), F.col("nb")))
+    joined = joined.withColumn("differ", _differ(F.col("parity_a"), F.col("parity_b")))
+    allowed = _parities_allow(F.col("na"), F.col("nb"), F.col("differ"))
+    return joined.filter(allowed).select(*pairs.columns, "na", "nb", "differ")
 
 
 def _fragments(docs: DataFrame, wanted: DataFrame, shared, cuts: np.ndarray, width: int) -> DataFrame:
@@ -244,11 +277,14 @@ def _fragments(docs: DataFrame, wanted: DataFrame, shared, cuts: np.ndarray, wid
     return one.select("node", "fragment", "grams")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shared, cuts: np.ndarray, width: int) -> DataFrame:
-    """The pairs (a, b) that link: partial overlaps by fragment, summed."""
+def _ends(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, fp, first_id) of the nodes in pairs."""
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = nodes.select("node", "fp", "first_id").join(ends, "node", "left_semi")
-    sets = written_table(_fragments(docs, wanted, shared, cuts, width), "fragments")
+    return nodes.select("node", "fp", "first_id").join(ends, "node", "left_semi")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link: partial overlaps by fragment, summed."""
     left = sets.toDF("a", "fragment", "grams_a")
     right = sets.toDF("b", "of_fragment", "grams_b")
     met = pairs.join(left, "a").join(right, (pairs["b"] == right["b"]) & (F.col("fragment") == F.col("of_fragment")))
@@ -257,6 +293,56 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shared, cuts:
     return total.filter(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * PERCENT).select("a", "b")
 
 
+def _likeliest(pairs: DataFrame) -> DataFrame:
+    """At most FEW pairs of each two components, that with the most similar parities
+    among them: the best of each of FEW random parts."""
+    names = ["a", "b", "na", "nb"]
+    best = F.struct((F.col("differ") / (F.col("na") + F.col("nb"))).alias("apart"), *names)
+    part = F.pmod(F.xxhash64("a", "b"), F.lit(FEW))
+    low, high = F.least("root_a", "root_b"), F.greatest("root_a", "root_b")
+    return pairs.groupBy(low.alias("low"), high.alias("high"), part.alias("part")).agg(F.min(best).alias("p")).select("p.*").select(*names)
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose nodes are in different components."""
+    root_a, root_b = roots.toDF("a", "at_a"), roots.toDF("b", "at_b")
+    met = pairs.join(root_a, "a", "left").join(root_b, "b", "left")
+    return met.filter(F.coalesce("at_a", "a") != F.coalesce("at_b", "b")).select(*pairs.columns)
+
+
+def _components(postings: DataFrame, nodes: DataFrame, fragments: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, root) of the nodes that are not their component's smallest.
+
+    ``fragments`` gives the sets of nodes (node, fp, first_id).
+    """
+    roots = nodes.sparkSession.createDataFrame([], "node bigint, root bigint")
+
+    def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        found = written_table(_verified(pairs, sets), "links")
+        # stars stand for the links before them
+        return roots if found.isEmpty() else stars(found.unionByName(roots.toDF("a", "b")))
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        return written_table(fragments(_ends(pairs, nodes)), "fragments")
+
+    first = postings.filter("rep IS NOT NULL").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    pairs = written_table(_passing(first, nodes), "pairs")
+    if not pairs.isEmpty():
+        roots = linked(pairs, sets_of(pairs))
+    pairs = written_table(_likeliest(_pivoted(postings, nodes, roots)), "pairs")
+    if not pairs.isEmpty():
+        roots = linked(pairs, sets_of(pairs))
+    pairs = written_table(_between(postings, nodes, roots), "pairs")
+    if not pairs.isEmpty():
+        sets = sets_of(pairs)
+        few = written_table(_likeliest(pairs), "pairs-few")
+        roots = linked(few, sets)
+        rest = written_table(_apart(pairs.join(few.select("a", "b"), ["a", "b"], "left_anti"), roots), "pairs-rest")
+        if not rest.isEmpty():
+            roots = linked(rest, sets)
+    return roots
+
+
 def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """One row per input row: doc_id, n_shingles, class_rows, component_id.
 
@@ -285,16 +371,7 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     nodes = written_table(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     postings = written_table(_postings(nodes), "postings")
 
-    first = postings.filter("rep IS NOT NULL").select(F.col("rep").alias("a"), F.col("node").alias("b"))
-    roots = spark.createDataFrame([], "node bigint, root bigint")  # of the nodes that are not their component's smallest
-    for turn in range(3):
-        pairs = _passing(first, nodes) if turn == 0 else _between(postings, nodes, roots, PIVOTS if turn == 1 else None)
-        pairs = written_table(pairs, "pairs")
-        if pairs.isEmpty():
-            continue
-        found = written_table(_verified(pairs, nodes, given, shared, cuts, width), "links")
-        # stars stand for the links before them
-        roots = stars(found.unionByName(roots.toDF("a", "b")))
+    roots = _components(postings, nodes, lambda wanted: _fragments(given, wanted, shared, cuts, width))
 
     named = nodes.select("fp", "node", "first_id", "class_rows").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = named.groupBy("root").agg(F.min("first_id").alias("component"))
@@ -323,47 +400,68 @@ def representatives(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     return alone.unionByName(again.dropDuplicates([doc_id, text]))
 
 
-def _between(postings: DataFrame, nodes: DataFrame, roots: DataFrame, pivots: int | None) -> DataFrame:
-    """Passing pairs of one n-gram's list whose components differ: with up to
-    ``pivots`` nodes of the list, or with all."""
-    labelled = postings.select("gram", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    # lists of two nodes were settled by the first round, lists in one component need nothing
+def _open_lists(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """(gram, node, n, root, main) of the lists in more than one component; ``main``
+    is the component that holds most of the list."""
+    labelled = rows.select("gram", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     by_root = labelled.groupBy("gram", "root").agg(F.count("*").alias("nodes"))
-    lists = by_root.groupBy("gram").agg(
-        F.sum("nodes").alias("len"), F.count("*").alias("roots"), F.max(F.struct("nodes", "root")).alias("most")
+    lists = by_root.groupBy("gram").agg(F.count("*").alias("roots"), F.max(F.struct("nodes", "root")).alias("most"))
+    return labelled.join(lists.filter("roots > 1").select("gram", F.col("most.root").alias("main")), "gram")
+
+
+def _other(rows: DataFrame) -> DataFrame:
+    """Rows renamed for the second node of a pair."""
+    return rows.toDF(*[f"{c}_b" for c in rows.columns])
+
+
+def _met(mine: DataFrame, other: DataFrame, condition) -> DataFrame:
+    """Pairs of one list, of different components, that ``condition`` and sizes allow."""
+    apart = (F.col("gram") == F.col("gram_b")) & (F.col("root") != F.col("root_b"))
+    return mine.join(other, apart & _sizes_allow(F.col("n"), F.col("n_b")) & condition)
+
+
+def _in_order(met: DataFrame, *more) -> DataFrame:
+    """(a, b, root_a, root_b, ...) of the pairs, the smaller node first."""
+    swap = F.col("node") < F.col("node_b")
+    return met.select(
+        F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b"),
+        F.when(swap, F.col("root")).otherwise(F.col("root_b")).alias("root_a"),
+        F.when(swap, F.col("root_b")).otherwise(F.col("root")).alias("root_b"), *more,
     )
-    lists = lists.filter("len > 2 AND roots > 1").select("gram", "len", F.col("most.root").alias("main"))
 
-    def rows(chosen: DataFrame, *more: str) -> DataFrame:
-        mine = labelled.join(chosen.select("gram", "main"), "gram").join(nodes.select("node", "parity", *more), "node")
-        return mine.select("gram", "node", "n", "root", "parity", *more, "main")
 
-    def meet(mine: DataFrame, other: DataFrame, extra) -> DataFrame:
-        allowed = _may_link(F.col("n"), F.col("nb"), F.col("parity"), F.col("parity_b"))
-        met = mine.join(other, (F.col("gram") == F.col("g")) & (F.col("root") != F.col("root_b")) & (F.col("node") != F.col("b")) & allowed & extra)
-        return met.select("node", "n", "b", "nb")
+def _sized(met: DataFrame) -> DataFrame:
+    """The pairs that parities allow, with sizes and differing parities as ``_passing`` has them."""
+    differ = _differ(F.col("parity"), F.col("parity_b"))
+    swap = F.col("node") < F.col("node_b")
+    na, nb = F.when(swap, F.col("n")).otherwise(F.col("n_b")), F.when(swap, F.col("n_b")).otherwise(F.col("n"))
+    return _in_order(met, na.alias("na"), nb.alias("nb"), differ.alias("differ")).distinct()
+
+
+def _pivoted(postings: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Passing pairs of long lists whose components differ: with up to PIVOTS nodes of the list."""
+    mine = _open_lists(postings.filter("kind = 2"), roots).drop("main").join(nodes.select("node", "parity"), "node")
+    slot = F.pmod(F.xxhash64("node"), F.lit(PIVOTS))
+    pivot = F.struct(F.xxhash64("node", F.lit(1)).alias("h"), "node", "n", "root", "parity")
+    other = mine.groupBy("gram", slot.alias("slot")).agg(F.min(pivot).alias("p")).select("gram", "p.node", "p.n", "p.root", "p.parity")
+    allowed = _parities_allow(F.col("n"), F.col("n_b"), _differ(F.col("parity"), F.col("parity_b")))
+    return _sized(_met(mine, _other(other), allowed))
 
-    names = ["g", "b", "nb", "root_b", "parity_b", "prefix_b"]
+
+def _between(postings: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """All passing pairs of one n-gram's list whose components differ."""
     # a pair has an end outside the component that holds most of its list: only
     # such nodes look for partners, and two of them meet once
     outside = F.col("root") != F.col("main")
-    once = (F.col("root_b") == F.col("main")) | (F.col("node") < F.col("b"))
-    long = lists.filter(f"len > {PIVOT_LISTS}")
-    if pivots is not None:
-        mine = rows(long)
-        other = mine.drop("main").toDF(*names[:5])
-        slot = F.pmod(F.xxhash64("b"), F.lit(pivots))
-        other = other.groupBy("g", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("b", F.lit(1)).alias("h"), *names[1:5])).alias("p"))
-        met = meet(mine, other.select("g", "p.b", "p.nb", "p.root_b", "p.parity_b"), F.lit(True))
-    else:
-        mine = rows(lists.filter(f"len <= {PIVOT_LISTS}"))
-        met = meet(mine.filter(outside), mine.drop("main").toDF(*names[:5]), once)
-        # in long lists a pair is made where its first common n-gram is, once
-        mine = rows(long, "prefix")
-        first = F.element_at(F.array_intersect("prefix", "prefix_b"), 1) == F.col("gram")
-        met = met.unionByName(meet(mine.filter(outside), mine.drop("main").toDF(*names), once & first))
-    swap = F.col("node") < F.col("b")
-    return met.select(
-        F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"),
-        F.when(swap, F.col("n")).otherwise(F.col("nb")).alias("na"), F.when(swap, F.col("nb")).otherwise(F.col("n")).alias("nb"),
-    ).distinct()
+    once = (F.col("root_b") == F.col("main")) | (F.col("node") < F.col("node_b"))
+    # lists of two nodes were settled by the first turn, lists in one component need nothing
+    mine = _open_lists(postings.filter("kind = 1").repartition("gram"), roots).select("gram", "node", "n", "root", "main")
+    short = _passing(_in_order(_met(mine.filter(outside), _other(mine.drop("main")), once)), nodes)
+    # in long lists a pair is made at its least common n-gram of such lists, once
+    mine = _open_lists(postings.filter("kind = 2"), roots)
+    info = mine.groupBy("node").agg(F.collect_set("gram").alias("grams")).join(nodes.select("node", "parity"), "node")
+    mine = mine.join(info, "node").select("gram", "node", "n", "root", "parity", "grams", "main")
+    allowed = _parities_allow(F.col("n"), F.col("n_b"), _differ(F.col("parity"), F.col("parity_b")))
+    least = F.array_min(F.array_intersect("grams", "grams_b")) == F.col("gram")
+    long = _sized(_met(mine.filter(outside), _other(mine.drop("main")), once & allowed & least))
+    return short.unionByName(long.select(*short.columns)).distinct()

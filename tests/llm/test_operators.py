@@ -160,6 +160,29 @@ def test_jaccard_components(docs):
     assert len(kept) == len({(c, d if n == 0 else None) for d, n, c in plain_components(listed(docs))})
 
 
+@pytest.mark.parametrize("long", [64, 8])
+def test_jaccard_verifies_few_pairs_of_a_large_group(spark, monkeypatch, long):
+    rng = random.Random(5)
+    rows = []
+    for group in range(3):  # near copies that chain: few of the pairs that pass the filters link
+        words = [f"w{group}x{i}" for i in range(140)]
+        for k in range(100):
+            at = rng.sample(range(0, 140, 4), 2)
+            rows.append((group * 1000 + k, " ".join(f"new{k}" if i in at else w for i, w in enumerate(words))))
+    tried = []
+    verified = jaccard._verified
+
+    def counted(pairs, *rest):
+        tried.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(jaccard, "_verified", counted)
+    monkeypatch.setattr(jaccard, "PIVOT_LISTS", long)
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got) == plain_components(rows)
+    assert sum(tried) < 4 * len(rows), tried
+
+
 @pytest.mark.parametrize("long", [line_dedup.LONG, 2])
 def test_line_dedup(docs, monkeypatch, long):
     monkeypatch.setattr(line_dedup, "LONG", long)
