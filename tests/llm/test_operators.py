@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from counterpanel.functions import session
 from counterpanel.llm import decontaminate, embedding_dedup, html_text, jaccard, line_dedup, mixing, personal_data, rans
 from counterpanel.llm import token_counts, token_output, toxicity
 from counterpanel.llm.encode import PieceEncoder
@@ -209,6 +210,27 @@ def test_line_dedup_short_and_similar_lines(spark):
     assert {r["doc_id"]: r["text"] for r in out.collect()}[2] == ""
 
 
+def test_line_dedup_lists_are_split_by_size(spark, monkeypatch):
+    """A word of lines of many sizes makes no long list, and no pair at a border of sizes is lost."""
+    monkeypatch.setattr(line_dedup, "LONG", 4)
+    texts = [" ".join(f"v{i}" for i in range(93))] * 10
+    texts += [" ".join(["shared", *(f"v{i}" for i in range(n - 1))]) for n in (5, 8, 12, 18, 27, 41, 62, 93)]
+    before = set(session.tables_written(spark))
+    gone = line_dedup.repeated_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r["doc_id"] for r in gone.collect()} == {*range(1, 10), 17}
+    index = [p for p in session.tables_written(spark) if p not in before and "/line-index-" in p]
+    assert index and all(spark.read.parquet(p).isEmpty() for p in index)
+    rows = []
+    for n in range(4, 140):
+        words = [f"n{n}x{i}" for i in range(n)]
+        least = -(-n * line_dedup.PERCENT // 100)
+        rows += [(10 * n, " ".join(words)), (10 * n + 1, " ".join(words[n - least:])), (10 * n + 2, " ".join(words[: least - 1]))]
+    sets = [(d, set(t.split()) if len(t.split()) > 4 else {t}) for d, t in rows]
+    want = {d for i, (d, s) in enumerate(sets) if any(100 * len(s & t) >= line_dedup.PERCENT * len(s | t) for _, t in sets[:i])}
+    got = line_dedup.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"] for r in got.collect()} == want and len(want) > 130
+
+
 def test_tokens_round_trip(spark, docs, tmp_path):
     path = public_tokenizers.path("byte_bpe_50k.json")
     token_output.write_tokens(clashing(docs), f"file://{tmp_path}/t", path, segment_tokens=1000)
